@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import warc
+from . import flac, warc
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_bytes")
 
 
-QUERIES = {"op10_warc": op10_warc}
+def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a FLAC stream, decoded and described."""
+    return flac.read_media(flac.to_media(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op5_flac": op5_flac, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {}
