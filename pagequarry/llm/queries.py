@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, warc
+from . import decontaminate, flac, mixing, warc
 from .common import read
 
 
@@ -16,11 +16,50 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_bytes")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's uses in a mixture of 97 % of the largest entropy, no source read more than four times."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
+    return decontaminate.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as a FLAC stream, decoded and described."""
     return flac.read_media(flac.to_media(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_flac": op5_flac, "op10_warc": op10_warc}
+QUERIES = {"op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op10_warc": op10_warc}
+
+_OP6 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, array_to_string(w[s : s + 9], ' ') AS win, least(len(w), 10) AS n FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT dw.doc_id, dw.s, dw.n, bw.item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT item)), ',')) AS items_sha256 FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+_OP4 = r"""
+WITH RECURSIVE sized AS MATERIALIZED (SELECT doc_id, source, coalesce('s' || source, 'n') AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+sources AS MATERIALIZED (SELECT key, CAST(sum(n_tokens) AS DOUBLE) AS t, ln(sum(n_tokens)) - ln(max(sum(n_tokens)) OVER ()) AS l FROM sized GROUP BY key HAVING sum(n_tokens) > 0),
+be AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN m ELSE lo END, CASE WHEN ok THEN hi ELSE m END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m, (SELECT ln(sum(exp((lo + hi) / 2 * l))) - sum(exp((lo + hi) / 2 * l) * (lo + hi) / 2 * l) / sum(exp((lo + hi) / 2 * l)) >= 0.97 * ln(count(*)) - 1e-12 FROM sources) AS ok FROM be WHERE i < 24)),
+br AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE m END, CASE WHEN ok THEN m ELSE hi END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m, (SELECT max(t / exp((lo + hi) / 2 * l)) * max(exp((lo + hi) / 2 * l) / t) <= 4.0 + 1e-9 FROM sources) AS ok FROM br WHERE i < 24)),
+a AS MATERIALIZED (SELECT round(greatest((SELECT CASE WHEN (SELECT -sum(t / z * ln(t / z)) >= 0.97 * ln(count(*)) - 1e-12 FROM (SELECT t, sum(t) OVER () AS z FROM sources)) THEN 1 ELSE lo END FROM be WHERE i = 24), (SELECT CASE WHEN (SELECT max(t) / min(t) <= 4.0 + 1e-9 FROM sources) THEN 0 ELSE hi END FROM br WHERE i = 24)), 6) AS alpha),
+w AS (SELECT key, t, exp(alpha * l) AS p, alpha FROM sources, a),
+planned AS MATERIALIZED (SELECT key, CAST(t AS BIGINT) AS t, alpha, p / (SELECT sum(p) FROM w) AS weight, CAST(floor((SELECT max(t / p) FROM w) * p + 0.001) AS BIGINT) AS budget FROM w),
+used AS (SELECT s.doc_id, s.source, s.key, s.n_tokens, p.alpha, p.weight, p.budget, p.budget // p.t AS fulls, p.budget % p.t AS rest, unnest(range(0, CASE WHEN s.n_tokens = 0 THEN 1 WHEN p.budget % p.t > 0 THEN p.budget // p.t + 1 ELSE p.budget // p.t END)) AS epoch FROM sized s JOIN planned p USING (key)),
+placed AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY key, epoch ORDER BY md5(doc_id || ':' || epoch || ':0'), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tokens_before FROM used)
+SELECT doc_id, source, n_tokens, epoch, CAST(tokens_before // 1048576 AS BIGINT) AS block, md5(key || ':' || epoch || ':' || CAST(tokens_before // 1048576 AS BIGINT) || ':0') AS block_key, CAST(tokens_before AS BIGINT) AS tokens_before, alpha, weight, budget AS budget_tokens
+FROM placed WHERE epoch < fulls OR tokens_before < rest OR n_tokens = 0
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": _OP4.replace("\\\\", "\\"), "op6_decontaminate": _OP6.replace("\\\\", "\\")}
