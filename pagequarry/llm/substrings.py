@@ -43,18 +43,22 @@ from . import textkernel as tk
 from .common import ident
 
 WINDOW, ANCHOR = 20, 10
-PATHS = "anchor long, path long, id long, start int, size int, done boolean"
+PATHS = "anchor long, path long, id long, start int, size int, twice boolean, done boolean"
 SPANS = "id long, start int, size int, anchor long"
 
 
 def paths_of(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Paths of a batch: (anchor, path hash, document index, start in the document, windows)."""
+    """Paths of a batch: (anchor, path hash, document index, start in the document, windows, whether the anchor stands in it twice).
+
+    Only a path with its anchor twice can hold a window twice.  One occurrence covers `window - anchor + 1` windows at most;
+    in a path no longer than that, two occurrences stand in one of its windows together.
+    """
     starts, ends, woff = tk.word_spans(buf, off)
     h = tk.word_hashes(buf, starts, ends)
     n = len(h)
     if n < window:
         z = np.zeros(0, np.int64)
-        return z.view(np.uint64), z.view(np.uint64), z, z, z
+        return z.view(np.uint64), z.view(np.uint64), z, z, z, z > 0
     a, _ = tk.windows(h, woff, anchor)
     width = window - anchor + 1
     low, have = a[: n - anchor + 1], 1  # the least of `have` anchors from each position on, doubled and then shifted
@@ -74,7 +78,12 @@ def paths_of(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, anchor: int
     last[:-1] &= ~fits[1:] | first[1:]
     size = np.flatnonzero(last) - lo + 1
     d = doc[lo]
-    return low[lo], tk.spans_hash(h, lo, lo + size + window - 1), d, lo - woff[d], size
+    times = np.zeros(count, np.int8)
+    for j in range(width):
+        times += a[j : j + count] == low
+    sums = np.concatenate([[0], np.cumsum(times > 1)])
+    twice = (sums[lo + size] > sums[lo]) | (size > width)
+    return low[lo], tk.spans_hash(h, lo, lo + size + window - 1), d, lo - woff[d], size, twice
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +91,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b["id"].to_numpy(zero_copy_only=False)
         for i, _, buf, off in tk.chunks(b["text"]):
-            anchor, path, d, start, size = paths_of(buf, off)
+            anchor, path, d, start, size, twice = paths_of(buf, off)
             if not len(anchor):
                 continue
             key = ids[i + d]
@@ -96,7 +105,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tie[1:] = (a[1:] == a[:-1]) & (p[1:] == p[:-1]) & (z[1:] == z[:-1]) & ~done[1:]
             for j in np.flatnonzero(tie):
                 done[j] = done[j - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(np.ascontiguousarray(a))), pa.array(tk.signed(np.ascontiguousarray(p))), pa.array(k), pa.array(s.astype(np.int32)), pa.array(z.astype(np.int32)), pa.array(done)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(np.ascontiguousarray(a))), pa.array(tk.signed(np.ascontiguousarray(p))), pa.array(k), pa.array(s.astype(np.int32)), pa.array(z.astype(np.int32)), pa.array(twice[order]), pa.array(done)], names)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +135,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fk, fs = np.where(first < 0, held[0], fk), np.where(first < 0, held[1], fs)
         repeat = same_p & ((k != fk) | (s != fs))
         several = np.bincount(group, weights=~same_p, minlength=int(group.max(initial=0)) + 1) > 1
-        # one occurrence of an anchor covers WINDOW - ANCHOR + 1 windows; a longer path holds it twice and may repeat itself
-        open_up = ~repeat & (several[group] | (z > WINDOW - ANCHOR + 1))
+        open_up = ~repeat & (several[group] | t["twice"].to_numpy())
         if branching is not None:
             open_up |= ~repeat & (a == branching)
         out = repeat | open_up
