@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, mixing, substrings, warc
+from . import decontaminate, flac, jaccard, mixing, substrings, warc
 from .common import read
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class."""
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through WARC archives and back."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))
@@ -36,7 +41,7 @@ def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_media(flac.to_media(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op10_warc": op10_warc}
+QUERIES = {"op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op10_warc": op10_warc}
 
 _OP6 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
