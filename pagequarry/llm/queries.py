@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, jaccard, mixing, substrings, warc
+from . import decontaminate, flac, jaccard, mixing, substrings, toxicity, warc
 from .common import read
 
 
@@ -21,6 +21,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_bytes")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels outside the held-out fold."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 20-word passages that start earlier."""
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
@@ -41,7 +47,7 @@ def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_media(flac.to_media(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op10_warc": op10_warc}
 
 _OP6 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
