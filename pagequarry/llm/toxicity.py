@@ -228,7 +228,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(CALIBRATE)) == 0
-    return cut(texts.join(F.broadcast(known), "doc_id").select("text", "toxic", held.alias("held")))  # known has max_train rows of two numbers at most
+    # known has max_train rows of two numbers at most; the texts are read again for each use rather than stored
+    return texts.join(F.broadcast(cut(known)), "doc_id").select("text", "toxic", held.alias("held"))
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
