@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, jaccard, mixing, substrings, toxicity, warc
-from .common import read
+from . import contextmix, decontaminate, flac, jaccard, mixing, substrings, toxicity, warc
+from .common import fold, read
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_contextmix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under the model of the nine training folds of ten."""
+    docs = read(spark, sf_dir, "documents")
+    return contextmix.score(docs, contextmix.learn(docs.filter(fold(folds=10) != 0)))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 20-word passages that start earlier."""
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
@@ -47,7 +53,7 @@ def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_media(flac.to_media(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_contextmix": op2_contextmix, "op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op10_warc": op10_warc}
 
 _OP6 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
