@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contextmix, decontaminate, flac, jaccard, mixing, substrings, toxicity, warc
+from . import contextmix, decontaminate, flac, jaccard, licenses, mixing, substrings, toolcalls, toxicity, warc
 from .common import fold, read
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence notices."""
+    return licenses.judge(read(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+def op9_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a tool call with its result."""
+    schemas = spark.createDataFrame([("reply", "text", "string", True), ("reply", "turn", "integer", True)], "tool string, field string, type string, required boolean")
+    calls, results = toolcalls.from_turns(read(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, schemas)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class."""
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
@@ -53,7 +65,7 @@ def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_media(flac.to_media(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_contextmix": op2_contextmix, "op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op8_jaccard": op8_jaccard, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_contextmix": op2_contextmix, "op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op8_jaccard": op8_jaccard, "op9_toolcalls": op9_toolcalls, "op10_warc": op10_warc}
 
 _OP6 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -84,4 +96,30 @@ SELECT doc_id, source, n_tokens, epoch, CAST(tokens_before // 1048576 AS BIGINT)
 FROM placed WHERE epoch < fulls OR tokens_before < rest OR n_tokens = 0
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": _OP4.replace("\\\\", "\\"), "op6_decontaminate": _OP6.replace("\\\\", "\\")}
+_NOTICES = ", ".join("('%s', '%s')" % (k, t.replace("'", "''")) for k, texts in licenses.NOTICES.items() for t in texts)
+
+_OP7 = rf"""
+WITH t AS (SELECT license_id, template, list_filter(regexp_split_to_array(lower(template), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM (VALUES {_NOTICES}) v(license_id, template)),
+tg AS (SELECT DISTINCT license_id, template, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT license_id, template, w, unnest(range(1, len(w))) AS i FROM t)),
+tb AS (SELECT license_id, template, gram, count(*) OVER (PARTITION BY license_id, template) AS b FROM tg),
+l AS (SELECT doc_id, unit, x FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS unit FROM documents) UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))),
+u AS (SELECT doc_id, unit, list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda y: y <> '') AS w FROM l),
+ug AS (SELECT DISTINCT doc_id, unit, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, unit, w, unnest(range(1, len(w))) AS i FROM u)),
+ub AS (SELECT doc_id, unit, gram, count(*) OVER (PARTITION BY doc_id, unit) AS a FROM ug),
+m AS (SELECT doc_id, unit, license_id, round(2 * count(*) / (a + b), 6) AS dice FROM ub JOIN tb USING (gram) GROUP BY doc_id, unit, a, license_id, template, b HAVING round(2 * count(*) / (a + b), 6) >= 0.9),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license_id) AS k FROM m),
+p AS (SELECT doc_id, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS licenses, arg_min(license_id, (-dice, license_id)) AS best_license, max(dice) AS best_dice FROM r WHERE k = 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, best_license, best_dice FROM documents LEFT JOIN p USING (doc_id)
+"""
+
+_OP9 = r"""
+WITH c AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, text FROM conversations WHERE role = 'user'),
+f AS (SELECT *, turn <> min(turn) OVER (PARTITION BY call_id) AS repeated FROM c),
+r AS (SELECT 'call_' || conv_id || '_' || (turn - 1) AS call_id, arg_min(text, (turn, text)) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT f.conv_id, f.call_id, f.turn AS seq, f.turn AS position, 'reply' AS name, f.text IS NOT NULL AS valid, coalesce(r.n, 0) AS n_results,
+  CAST(CASE WHEN f.turn >= 2 AND NOT EXISTS (SELECT 1 FROM c d WHERE d.call_id = 'call_' || f.conv_id || '_' || (f.turn - 2)) THEN 1 ELSE 0 END AS BIGINT) AS missing, false AS cyclic, f.repeated,
+  '{"arguments":{"text":' || coalesce(CAST(to_json(f.text) AS VARCHAR), 'null') || ',"turn":' || f.turn || '},"id":"' || f.call_id || '","name":"reply","result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}' AS json
+FROM f LEFT JOIN r USING (call_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_licenses": _OP7, "op9_toolcalls": _OP9, "op4_mixing": _OP4.replace("\\\\", "\\"), "op6_decontaminate": _OP6.replace("\\\\", "\\")}
