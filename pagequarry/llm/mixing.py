@@ -33,6 +33,7 @@ from .common import cut, ident
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: candidates of a round, and rounds: the exponent is found to PROBES ** -ROUNDS
 PROBES, ROUNDS = 64, 4
+BROADCAST_SOURCES = 100_000
 OUT = ["doc_id", "source", "n_tokens", "epoch", "block", "block_key", "tokens_before", "alpha", "weight", "budget_tokens"]
 
 
@@ -100,8 +101,8 @@ def mix(docs: DataFrame, entropy_fraction: float = 0.97, max_epochs: float = 4.0
     alpha = exponent(sources, entropy_fraction, max_epochs, budget)
     planned = plan(sources, alpha, budget).withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("budget_tokens") / F.col("tokens"))).otherwise(0))
     planned = planned.withColumn("rest", F.col("budget_tokens") - F.col("full") * F.col("tokens"))
-    # the plan has a row for each source; the join is left to the optimiser, which broadcasts it where it is small
-    used = sized.join(planned, "key").withColumn("last", F.col("full") - F.when((F.col("rest") > 0) | (F.col("full") == 0), 0).otherwise(1))
+    # the plan has a row for each source: broadcast while they are few, which is counted, so that no source meets in one task
+    used = sized.join(F.broadcast(planned) if sources.count() <= BROADCAST_SOURCES else planned, "key").withColumn("last", F.col("full") - F.when((F.col("rest") > 0) | (F.col("full") == 0), 0).otherwise(1))
     used = used.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n_tokens") > 0, F.col("last")).otherwise(0))))
     used = used.withColumn("order_key", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("epoch").cast("string"), F.lit(str(seed)))))
     used = used.withColumn("part", F.substring("order_key", 1, 3))
