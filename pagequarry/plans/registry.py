@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import reference
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(reference.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(reference.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Recurring content themes of every site."""
+    return reference.content_themes(spark, sf_dir)
