@@ -40,6 +40,7 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,7 +53,9 @@ from . import textkernel as tk
 from .common import cut, fold
 
 ORDERS = 4
-SLOT_BITS = 22
+SLOT_BITS = 21
+#: steps of a doubling in which counts are kept
+STEPS = 12
 BLOCK = 1 << 14
 FREQUENT = 1 << 16
 CHUNK = 3_000_000
@@ -131,21 +134,37 @@ def contexts(g: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         yield bit, [((b + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for b in bases]
 
 
+COUNT = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
+
+
+def quantised(n: np.ndarray) -> np.ndarray:
+    """Counts as steps of their logarithm, in a byte."""
+    return np.clip(np.rint(STEPS * np.log2(1 + n)), 0, 255).astype(np.uint8)
+
+
 class Mixer(NamedTuple):
-    """The finished model: both counts of every slot of each order, the weights of each gate, and the refining table."""
+    """The finished model: both counts of every slot of each order (as `quantised`), the weights of each gate, and the refining table."""
 
     zeros: np.ndarray
     ones: np.ndarray
     weights: np.ndarray
     refine: np.ndarray
 
+    def packed(self) -> tuple:
+        """The same, small enough to send: tables that are mostly empty compress well."""
+        return (zlib.compress(self.zeros.tobytes(), 1), zlib.compress(self.ones.tobytes(), 1), self.weights, self.refine)
+
+    @staticmethod
+    def unpacked(x: tuple) -> Mixer:
+        return Mixer(*(np.frombuffer(zlib.decompress(b), np.uint8).reshape(ORDERS, 1 << SLOT_BITS) for b in x[:2]), *x[2:])
+
     def inputs(self, slots: list[np.ndarray], leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each predictor (and a constant), and the gate; leave: bits to be left out of their own counts."""
         n = len(slots[0])
         x = np.empty((ORDERS + 1, n), np.float32)
         gate = np.zeros(n, np.int64)
         for o, s in enumerate(slots):
-            n0, n1 = self.zeros[o][s], self.ones[o][s]
+            n0, n1 = COUNT[self.zeros[o][s]], COUNT[self.ones[o][s]]
             if leave is not None:
                 n0, n1 = np.maximum(n0 - (leave == 0), 0), np.maximum(n1 - (leave == 1), 0)
             x[o] = np.log((n1 + DELTA) / (n0 + DELTA))
@@ -180,7 +199,7 @@ def level_of(st: np.ndarray) -> np.ndarray:
 
 def blank() -> Mixer:
     st = np.arange(LEVELS) / 2 - (LEVELS - 1) / 4
-    return Mixer(np.zeros((ORDERS, 1 << SLOT_BITS), np.float32), np.zeros((ORDERS, 1 << SLOT_BITS), np.float32), np.tile(np.array([0.1, 0.15, 0.25, 0.5, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)))
+    return Mixer(np.zeros((ORDERS, 1 << SLOT_BITS), np.uint8), np.zeros((ORDERS, 1 << SLOT_BITS), np.uint8), np.tile(np.array([0.1, 0.15, 0.25, 0.5, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)))
 
 
 GATHERED = "kind int, key long, n long"
@@ -327,16 +346,16 @@ def learn(docs: DataFrame) -> Trained:
     table = bytes_.mapInArrow(_tally, "slot long, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
     slot = table["slot"].to_numpy()
     for side, name in ((model.zeros, "n0"), (model.ones, "n1")):
-        side.reshape(-1)[slot] = table[name].to_numpy()
+        side.reshape(-1)[slot] = quantised(table[name].to_numpy())
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
-    trained = bytes_.mapInArrow(lambda it: _train(shared.value)(it), "w binary, n double").agg(F.collect_list(F.struct("w", "n")).alias("rows")).first().rows  # one row of some kB a task
+    shared = sc.broadcast(model.packed())
+    trained = bytes_.mapInArrow(lambda it: _train(Mixer.unpacked(shared.value))(it), "w binary, n double").agg(F.collect_list(F.struct("w", "n")).alias("rows")).first().rows  # one row of some kB a task
     if trained:
         total = sum(r.n for r in trained)
         weights = sum(np.frombuffer(r.w).reshape(GATES, ORDERS + 1) * (r.n / total) for r in sorted(trained, key=lambda r: (r.n, bytes(r.w))))
         model = model._replace(weights=weights.astype(np.float32))
-        shared = sc.broadcast(model)
-        levels = bytes_.mapInArrow(lambda it: _calibrate(shared.value)(it), "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
+        shared = sc.broadcast(model.packed())
+        levels = bytes_.mapInArrow(lambda it: _calibrate(Mixer.unpacked(shared.value))(it), "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
         refine = model.refine.copy().reshape(-1)
         for r in levels:
             refine[r.at] = (r.n1 + 20 * refine[r.at]) / (r.n0 + r.n1 + 20)
@@ -355,7 +374,8 @@ ROWS = "rid long, doc_id long, held_out boolean, kind int, word long, n long, kn
 
 def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0) with what needs no join, and one for each of its less frequent words (kind 1), whose probability is a * c + b."""
-    mixer, (keys, counts), ends, total, new = trained
+    packed, (keys, counts), ends, total, new = trained
+    mixer = Mixer.unpacked(packed)
     names = [x.split()[0] for x in ROWS.split(", ")]
     value = np.log10(counts + 0.1)
     for b in batches:
@@ -394,7 +414,7 @@ def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 def score(docs: DataFrame, trained: Trained, folds: int = 10) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
-    shared = docs.sparkSession.sparkContext.broadcast((trained.mixer, trained.frequent, trained.ends, trained.tokens, trained.new))
+    shared = docs.sparkSession.sparkContext.broadcast((trained.mixer.packed(), trained.frequent, trained.ends, trained.tokens, trained.new))
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), (fold(folds=folds) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(lambda it: _score(shared.value, it), ROWS)
     counted = rows.join(trained.counts.select(F.lit(1).alias("kind"), "word", "c"), ["kind", "word"], "left")
