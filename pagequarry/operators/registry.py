@@ -123,17 +123,18 @@ def _keeps(field: Field) -> Callable[[Column], Column]:
 
 def prune(docs: DataFrame, fields: list[Field]) -> DataFrame:
     """Lists without their empty entries; texts of string lists trimmed. Adds pruned: how many entries went, by path."""
-    out, gone = docs, []
-    for f in fields:
-        if f.kind not in ("objectList", "stringList"):
-            continue
-        x = F.col(f.path)
-        kept = F.filter(x, _keeps(f))
+    lists = [f for f in fields if f.kind in ("objectList", "stringList")]
+    if not lists:
+        return docs
+    size = lambda x: F.size(F.coalesce(x, F.array()))
+    gone = F.array(*[F.struct(F.lit(f.path).alias("path"), (size(F.col(f.path)) - size(F.filter(f.path, _keeps(f)))).cast("long").alias("removed")) for f in lists])
+    out = docs.withColumn("pruned", F.filter(gone, lambda g: g["removed"] > 0))
+    for f in lists:
+        kept = F.filter(f.path, _keeps(f))
         kept = kept if f.kind == "objectList" else F.transform(kept, F.trim)
-        gone.append(F.struct(F.lit(f.path).alias("path"), (F.size(F.coalesce(x, F.array())) - F.size(F.coalesce(kept, F.array()))).cast("long").alias("removed")))
         head, _, tail = f.path.partition(".")
         out = out.withColumn(head, F.col(head).withField(tail, kept) if tail else kept)
-    return out.withColumn("pruned", F.filter(F.array(*gone), lambda g: g["removed"] > 0)) if gone else out
+    return out
 
 
 def is_reviewed(value: Column, placeholder: Column) -> Column:

@@ -47,11 +47,11 @@ def themes(sources: DataFrame, keys: list[str], stopwords: list[str], k: int = 1
 
 def industry(offers: DataFrame, keys: list[str], generic: list[str]) -> DataFrame:
     """(keys, industry, n): the most frequent category (keys, ord, category), at least twice or the only one; its first spelling."""
-    shown = offers.withColumn("k", F.lower(F.trim("category"))).filter((F.length("k") > 0) & ~F.col("k").isin(generic))
-    counted = shown.groupBy(*keys, "k").agg(F.count("*").alias("n"), F.min(F.struct("ord", F.trim("category").alias("label"))).alias("first"))
-    kinds = counted.withColumn("kinds", F.count("*").over(Window.partitionBy(*keys)))
-    best = top(kinds, keys, [F.desc("n"), F.col("first.ord")], 1)
-    return best.filter((F.col("n") >= 2) | (F.col("kinds") == 1)).select(*keys, F.col("first.label").alias("industry"), "n")
+    shown = offers.withColumn("__k", F.lower(F.trim("category"))).filter((F.length("__k") > 0) & ~F.col("__k").isin(generic))
+    counted = shown.groupBy(*keys, "__k").agg(F.count("*").alias("n"), F.min(F.struct("ord", F.trim("category").alias("label"))).alias("__first"))
+    kinds = counted.withColumn("__kinds", F.count("*").over(Window.partitionBy(*keys)))
+    best = top(kinds, keys, [F.desc("n"), F.col("__first.ord")], 1)
+    return best.filter((F.col("n") >= 2) | (F.col("__kinds") == 1)).select(*keys, F.col("__first.label").alias("industry"), "n")
 
 
 def founding_year(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,8 +80,8 @@ def grouping_verdicts(labels: DataFrame, keys: list[str]) -> DataFrame:
 
 def languages(signals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, main, alternates): the first page's language (keys, ord, main, alternates) and all others but that, in order."""
-    agg = signals.groupBy(*keys).agg(F.min(F.when(F.col("main").isNotNull(), F.struct("ord", "main"))).alias("m"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "alternates"))), lambda s: s["alternates"])).alias("a"))
-    return agg.select(*keys, F.col("m.main").alias("main"), F.array_except(F.array_distinct("a"), F.array(F.coalesce("m.main", F.lit("")))).alias("alternates"))
+    agg = signals.groupBy(*keys).agg(F.min(F.when(F.col("main").isNotNull(), F.struct("ord", "main"))).alias("__m"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "alternates"))), lambda s: s["alternates"])).alias("__a"))
+    return agg.select(*keys, F.col("__m.main").alias("main"), F.array_except(F.array_distinct("__a"), F.array(F.coalesce("__m.main", F.lit("")))).alias("alternates"))
 
 
 def gender(pronouns: Column) -> Column:
