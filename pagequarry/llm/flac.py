@@ -54,9 +54,8 @@ def _crc_table(poly: int, bits: int) -> np.ndarray:
 
 _CRC8, _CRC16 = _crc_table(0x07, 8).astype(np.uint8), _crc_table(0x8005, 16)
 #: the CRC-16 of two bytes at once
-_CRC16_PAIR = (_CRC16[np.arange(1 << 16) >> 8] << np.uint16(8)).astype(np.uint16)
-_CRC16_PAIR = (_CRC16_PAIR ^ ((np.arange(1 << 16) & 0xFF) << 8).astype(np.uint16)).astype(np.uint16)
-_CRC16_PAIR = ((_CRC16_PAIR << np.uint16(8)) ^ _CRC16[_CRC16_PAIR >> np.uint16(8)]).astype(np.uint16)
+_CRC16_PAIR = _CRC16[np.arange(1 << 16) >> 8]
+_CRC16_PAIR = (_CRC16_PAIR << np.uint16(8)) ^ _CRC16[(_CRC16_PAIR >> np.uint16(8)) ^ (np.arange(1 << 16) & 0xFF).astype(np.uint16)]
 
 
 class BadStream(ValueError):
