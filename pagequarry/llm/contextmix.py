@@ -10,7 +10,12 @@ share of words seen once, which estimates how many words are new.
 The spelling model codes the tokens as bytes (A-Z in lower case, each word
 followed by a space, a line feed as the end), bit by bit.  For each bit,
 `ORDERS` predictors look up how often it was 0 and 1 after the last 1, 2, 3 and
-4 bytes and the byte's earlier bits, in hashed tables of a fixed size.  Their
+4 bytes and the byte's earlier bits, in hashed tables whose sizes follow the
+number of distinct contexts of their order, up to 2**`MOST_BITS` slots; contexts
+of one slot share its counts.  A count is kept in a byte, as its logarithm in
+steps of 1/`STEPS` of a doubling; where the larger of a slot's two counts is
+over the greatest of these values, both are halved together until it fits, so
+that their ratio stays.  Their
 log odds are combined with weights from a set that a gate selects by how much
 the two longest contexts have been seen, and a last adaptive table refines the
 mixed probability.  Every bit's two probabilities add up to one and so do the
@@ -53,10 +58,14 @@ from . import textkernel as tk
 from .common import cut, fold
 
 ORDERS = 4
+#: slots of the table by which `distinct` finds repeats, and of each order's table before anything is learnt
 SLOT_BITS = 21
+#: bounds of the slots of an order's table, and the slots for each distinct gram that it codes
+LEAST_BITS, MOST_BITS, ROOM = 16, 24, 4
 #: steps of a doubling in which counts are kept
 STEPS = 12
-BLOCK = 1 << 14
+#: grams whose bits are counted at once
+BLOCK = 1 << 17
 FREQUENT = 1 << 16
 CHUNK = 3_000_000
 END, GAP = 0x0A, 0x20
@@ -124,39 +133,48 @@ def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([g[first], more]), inverse
 
 
-def contexts(g: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For each of the eight bits: the bit, and its slot in the table of each order."""
+def contexts(g: np.ndarray, bits: tuple[int, ...] = (SLOT_BITS,) * ORDERS) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For each of the eight bits: the bit, and for each order its slot in the tables of 2**bits slots that lie one behind the other."""
     byte = g & np.uint64(0xFF)
     bases = [tk.mix((g >> np.uint64(8) & np.uint64((1 << 8 * o) - 1)) + np.uint64(o << 40)) for o in range(1, ORDERS + 1)]
+    start = np.concatenate([[0], np.cumsum([1 << b for b in bits])])
     for i in range(8):
         node = np.uint64(1 << i) | byte >> np.uint64(8 - i)
         bit = (byte >> np.uint64(7 - i) & np.uint64(1)).astype(np.int8)
-        yield bit, [((b + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for b in bases]
+        yield bit, [start[o] + ((b + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits[o])).astype(np.int64) for o, b in enumerate(bases)]
 
 
 COUNT = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
 
 
-def quantised(n: np.ndarray) -> np.ndarray:
-    """Counts as steps of their logarithm, in a byte."""
-    return np.clip(np.rint(STEPS * np.log2(1 + n)), 0, 255).astype(np.uint8)
+def quantised(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both counts as steps of their logarithm, in a byte each; counts beyond the last step are halved together until they fit."""
+    most = np.maximum(np.maximum(n0, n1), 1).astype(np.float64)
+    half = 0.5 ** np.maximum(np.ceil(np.log2(most / (2 ** (255 / STEPS) - 1))), 0)
+    return tuple(np.clip(np.rint(STEPS * np.log2(1 + n * half)), 0, 255).astype(np.uint8) for n in (n0, n1))
+
+
+def sizes(grams_: list[int]) -> tuple[int, ...]:
+    """The bits of each order's table for that many distinct grams."""
+    return tuple(min(max(int(np.ceil(np.log2(ROOM * max(n, 1)))), LEAST_BITS), MOST_BITS) for n in grams_)
 
 
 class Mixer(NamedTuple):
-    """The finished model: both counts of every slot of each order (as `quantised`), the weights of each gate, and the refining table."""
+    """The finished model: both counts of every slot (as `quantised`), the weights of each gate, the refining table, and the bits of each order's table."""
 
     zeros: np.ndarray
     ones: np.ndarray
     weights: np.ndarray
     refine: np.ndarray
+    bits: tuple[int, ...]
 
     def packed(self) -> tuple:
         """The same, small enough to send: tables that are mostly empty compress well."""
-        return (zlib.compress(self.zeros.tobytes(), 1), zlib.compress(self.ones.tobytes(), 1), self.weights, self.refine)
+        return (zlib.compress(self.zeros.tobytes(), 1), zlib.compress(self.ones.tobytes(), 1), self.weights, self.refine, self.bits)
 
     @staticmethod
     def unpacked(x: tuple) -> Mixer:
-        return Mixer(*(np.frombuffer(zlib.decompress(b), np.uint8).reshape(ORDERS, 1 << SLOT_BITS) for b in x[:2]), *x[2:])
+        return Mixer(*(np.frombuffer(zlib.decompress(b), np.uint8) for b in x[:2]), *x[2:])
 
     def inputs(self, slots: list[np.ndarray], leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each predictor (and a constant), and the gate; leave: bits to be left out of their own counts."""
@@ -164,9 +182,11 @@ class Mixer(NamedTuple):
         x = np.empty((ORDERS + 1, n), np.float32)
         gate = np.zeros(n, np.int64)
         for o, s in enumerate(slots):
-            n0, n1 = COUNT[self.zeros[o][s]], COUNT[self.ones[o][s]]
+            n0, n1 = COUNT[self.zeros[s]], COUNT[self.ones[s]]
             if leave is not None:
-                n0, n1 = np.maximum(n0 - (leave == 0), 0), np.maximum(n1 - (leave == 1), 0)
+                # counts in the last doubling may have been halved; one sighting more or less says nothing there
+                few = np.maximum(n0, n1) < COUNT[255 - STEPS]
+                n0, n1 = np.maximum(n0 - (few & (leave == 0)), 0), np.maximum(n1 - (few & (leave == 1)), 0)
             x[o] = np.log((n1 + DELTA) / (n0 + DELTA))
             if o >= ORDERS - 2:
                 gate = gate * (len(EDGES) + 1) + np.searchsorted(EDGES, n0 + n1, "right")
@@ -187,7 +207,7 @@ class Mixer(NamedTuple):
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 probability of each packed byte after its context."""
         out = np.zeros(len(g))
-        for bit, slots in contexts(g):
+        for bit, slots in contexts(g, self.bits):
             p = self.refined(*(lambda x, gate: (self.mix(x, gate), gate))(*self.inputs(slots)))
             out += np.log10(np.where(bit, p, 1 - p))
         return out
@@ -197,9 +217,10 @@ def level_of(st: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((st + (LEVELS - 1) / 4) * 2), 0, LEVELS - 1).astype(np.int64)
 
 
-def blank() -> Mixer:
+def blank(bits: tuple[int, ...] = (SLOT_BITS,) * ORDERS) -> Mixer:
     st = np.arange(LEVELS) / 2 - (LEVELS - 1) / 4
-    return Mixer(np.zeros((ORDERS, 1 << SLOT_BITS), np.uint8), np.zeros((ORDERS, 1 << SLOT_BITS), np.uint8), np.tile(np.array([0.1, 0.15, 0.25, 0.5, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)))
+    slots = sum(1 << b for b in bits)
+    return Mixer(np.zeros(slots, np.uint8), np.zeros(slots, np.uint8), np.tile(np.array([0.1, 0.15, 0.25, 0.5, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)), bits)
 
 
 GATHERED = "kind int, key long, n long"
@@ -238,21 +259,37 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], ["kind", "key", "n"])
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of both bits by order and slot, of one task's packed bytes: blocks of the slots that were used."""
-    zeros, ones = (np.zeros((ORDERS, 1 << SLOT_BITS), np.float32) for _ in range(2))
-    seen = False
+def _tally(bits: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of both bits by slot, of a task's packed bytes."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = list(contexts(g, bits))
+            one = np.concatenate([bit for bit, _ in rows]) * np.tile(n, 8)
+            every = np.tile(n, 8)
+            for o in range(ORDERS):
+                u, inverse = np.unique(np.concatenate([slots[o] for _, slots in rows]), return_inverse=True)
+                n1 = np.bincount(inverse, one, len(u))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array((np.bincount(inverse, every, len(u)) - n1).astype(np.int64)), pa.array(n1.astype(np.int64))], ["slot", "n0", "n1"])
+
+        for b in batches:
+            held.append((b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()))
+            if sum(len(g) for g, _ in held) >= BLOCK:
+                yield from out()
+                held = []
+        if held:
+            yield from out()
+
+    return run
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots with both counts as `quantised`."""
     for b in batches:
-        g, n = b["key"].to_numpy().view(np.uint64), b["n"].to_numpy().astype(np.float64)
-        for bit, slots in contexts(g):
-            for o, s in enumerate(slots):
-                for side, m in ((zeros, bit == 0), (ones, bit == 1)):
-                    u, inverse = np.unique(s[m], return_inverse=True)
-                    side[o][u] += np.bincount(inverse, n[m], len(u))
-        seen = seen or len(g) > 0
-    for o in range(ORDERS if seen else 0):
-        used = np.flatnonzero(zeros[o] + ones[o])
-        yield pa.RecordBatch.from_arrays([pa.array((used + (o << SLOT_BITS)).astype(np.int64)), pa.array(zeros[o][used].astype(np.float64)), pa.array(ones[o][used].astype(np.float64))], ["slot", "n0", "n1"])
+        q0, q1 = quantised(b["n0"].to_numpy(), b["n1"].to_numpy())
+        yield pa.RecordBatch.from_arrays([b["slot"].cast(pa.int32()), pa.array(q0.view(np.int8)), pa.array(q1.view(np.int8))], ["slot", "q0", "q1"])
 
 
 def _train(model: Mixer):
@@ -265,7 +302,7 @@ def _train(model: Mixer):
             for lo in range(0, len(keys), 4096):
                 g, n = keys[order[lo : lo + 4096]], np.sqrt(counts[order[lo : lo + 4096]])
                 total += float(n.sum())
-                for bit, slots in contexts(g):
+                for bit, slots in contexts(g, model.bits):
                     x, gate = model.inputs(slots, bit)
                     st = np.einsum("on,no->n", x, w[gate])
                     err = (bit - 1 / (1 + np.exp(-st))) * n
@@ -284,7 +321,7 @@ def _calibrate(model: Mixer):
         n0, n1 = np.zeros(GATES * LEVELS), np.zeros(GATES * LEVELS)
         for b in batches:
             g, n = b["key"].to_numpy().view(np.uint64), b["n"].to_numpy().astype(np.float64)
-            for bit, slots in contexts(g):
+            for bit, slots in contexts(g, model.bits):
                 x, gate = model.inputs(slots, bit)
                 at = gate * LEVELS + level_of(model.mix(x, gate))
                 n0 += np.bincount(at[bit == 0], n[bit == 0], GATES * LEVELS)
@@ -341,12 +378,15 @@ def learn(docs: DataFrame) -> Trained:
     """The model of all the given documents."""
     gathered = cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gather, GATHERED).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     bytes_ = gathered.filter("kind = 0").select("key", "n")
-    model = blank()
-    # the tables' size is fixed: at most ORDERS * 2**SLOT_BITS rows come back
-    table = bytes_.mapInArrow(_tally, "slot long, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
+    counted = bytes_.agg(*[F.approx_count_distinct(F.col("key").bitwiseAND((1 << 8 * (o + 1)) - 1)).alias(f"n{o}") for o in range(1, ORDERS + 1)]).first()
+    bits = sizes(list(counted))
+    model = blank(bits)
+    # at most ORDERS * 2**MOST_BITS rows of six bytes come back
+    table = bytes_.mapInArrow(_tally(bits), "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).mapInArrow(_shorten, "slot int, q0 byte, q1 byte").toArrow()
     slot = table["slot"].to_numpy()
-    for side, name in ((model.zeros, "n0"), (model.ones, "n1")):
-        side.reshape(-1)[slot] = quantised(table[name].to_numpy())
+    for side, name in ((model.zeros, "q0"), (model.ones, "q1")):
+        side[slot] = table[name].to_numpy().view(np.uint8)
+    del table, slot
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model.packed())
     trained = bytes_.mapInArrow(lambda it: _train(Mixer.unpacked(shared.value))(it), "w binary, n double").agg(F.collect_list(F.struct("w", "n")).alias("rows")).first().rows  # one row of some kB a task

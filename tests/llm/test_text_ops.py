@@ -130,6 +130,26 @@ def test_contextmix_probabilities_sum_to_one():
     assert (10 ** m.log10(g)).sum() == pytest.approx(1)
 
 
+def test_contextmix_keeps_the_ratio_of_large_counts():
+    import numpy as np
+
+    n0, n1 = np.array([4e9, 3e6, 9e6, 100, 0]), np.array([1e9, 3e7, 9e3, 7, 0])
+    q0, q1 = contextmix.quantised(n0, n1)
+    assert contextmix.COUNT[q0[:4]] / contextmix.COUNT[q1[:4]] == pytest.approx(n0[:4] / n1[:4], rel=0.07)
+    assert contextmix.COUNT[q0[3]] == pytest.approx(100, rel=0.03) and q0[4] == q1[4] == 0
+
+
+def test_contextmix_tables_follow_the_contexts():
+    import numpy as np
+
+    bits = contextmix.sizes([1 << 10, 1 << 17, 1 << 20, 1 << 30])
+    assert bits == (contextmix.LEAST_BITS, 19, 22, contextmix.MOST_BITS)
+    rows = list(contextmix.contexts(np.arange(5000, dtype=np.uint64) * np.uint64(77777), bits))
+    start = np.cumsum([0] + [1 << b for b in bits])
+    for _, slots in rows:
+        assert all(lo <= s.min() and s.max() < hi for s, lo, hi in zip(slots, start, start[1:], strict=False))
+
+
 def test_contextmix_edges(empty, odd):
     assert contextmix.score(empty, contextmix.learn(empty)).isEmpty()
     assert contextmix.score(odd, contextmix.learn(empty)).count() == 4
