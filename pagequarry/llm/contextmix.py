@@ -472,3 +472,22 @@ def score(docs: DataFrame, trained: Trained, folds: int = 10) -> DataFrame:
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), (F.col("sum") - F.col("n_tokens") * norm).alias("base_score"),
         "score", "n_bytes", (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
+
+
+def mixer_alone(docs: DataFrame, trained: Trained) -> DataFrame:
+    """One row, to tell what the bit mixer is worth by itself: n_bytes, bits_per_byte (every bit from the mixer, no counts, own words or matches), n_words, weight (the mean weight of a word's spelling in its probability), new."""
+    shared = docs.sparkSession.sparkContext.broadcast((trained.mixer.packed(), trained.new))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, new = shared.value
+        mixer = Mixer.unpacked(packed)
+        for b in batches:
+            for _, _, buf, off in tk.chunks(b["text"], CHUNK):
+                stream, doff, words, woff = streams(buf, off)
+                u, inverse = distinct(grams(stream, doff))
+                place, _, m, _ = own_words(words, woff)
+                weight = (1 - m) * (1 - OWN * place / (place + OWN_HALF)) * new
+                yield pa.RecordBatch.from_arrays([pa.array([len(stream)]), pa.array([float(mixer.log10(u)[inverse].sum())]), pa.array([len(words)]), pa.array([float(weight.sum())])], ["n_bytes", "cost", "n_words", "weight"])
+
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_bytes long, cost double, n_words long, weight double").agg(*[F.sum(c).alias(c) for c in ("n_bytes", "cost", "n_words", "weight")])
+    return sums.select("n_bytes", (-F.col("cost") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"), "n_words", (F.col("weight") / F.col("n_words")).alias("weight"), F.lit(trained.new).alias("new"))

@@ -150,6 +150,22 @@ def test_contextmix_tables_follow_the_contexts():
         assert all(lo <= s.min() and s.max() < hi for s, lo, hi in zip(slots, start, start[1:], strict=False))
 
 
+def test_contextmix_mixer_alone(docs, empty):
+    import numpy as np
+
+    trained = contextmix.learn(docs)
+    got = contextmix.mixer_alone(docs, trained).first()
+    raw = [[*WORD.findall((t or "").translate(LOWER))] for t in texts(docs).values()]
+    streams = [b"".join(w.encode() + b" " for w in ws) + b"\n" for ws in raw]
+    cost = 0.0
+    for s in streams:
+        g = contextmix.grams(np.frombuffer(s, np.uint8), np.array([0, len(s)]))
+        cost -= trained.mixer.log10(g).sum() / math.log10(2)
+    assert (got.n_bytes, got.n_words) == (sum(map(len, streams)), sum(map(len, raw)))
+    assert got.bits_per_byte == pytest.approx(cost / got.n_bytes) and 0 < got.weight <= got.new
+    assert contextmix.mixer_alone(empty, trained).first().n_bytes is None
+
+
 def test_contextmix_edges(empty, odd):
     assert contextmix.score(empty, contextmix.learn(empty)).isEmpty()
     assert contextmix.score(odd, contextmix.learn(empty)).count() == 4
