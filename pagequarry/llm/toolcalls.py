@@ -4,8 +4,11 @@
 results (conv_id, seq, call_id, content) by conversation and identifier.  A
 call's `after` lists the calls whose results it needs.  Calls keep the order of
 the conversation where that is a topological one; a call that comes before one
-it needs moves behind it, round by round, and a call that depends on itself is
-marked as part of a cycle.  Arguments are parsed as JSON and held against the
+it needs moves behind it, round by round until none has to.  Calls on a cycle,
+and no others, are marked as cyclic; what they need of their own cycle doesn't
+move them, and a call behind a cycle moves behind the call it needs.  Rounds are
+as many as the longest chain of backward references has links; the paths within
+cycles may be as many as the square of the calls on them.  Arguments are parsed as JSON and held against the
 tool's schema (tool, field, type, required).  Each call becomes one line of
 canonical JSON: keys sorted, no spaces.
 
@@ -28,8 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: rounds in which calls move behind those they need; what still has to move then is in a cycle, or at the end of so long a chain of backward references
-ROUNDS = 12
 KEY = ["conv_id", "call_id"]
 
 
@@ -47,29 +48,59 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """As `cut`, without the estimated size: joins multiply it, so over the rounds its digits would double each time and planning with them."""
+    kept = cut(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+
+
+def within_cycles(edges: DataFrame) -> DataFrame:
+    """Those of the edges (conv_id, call_id, need) that lie on a cycle: calls that need none or that none needs are peeled off, and what is left is held against its own paths, which double in length each round."""
+    left, n = edges, edges.count()
+    while n:
+        needing = left.select("conv_id", F.col("call_id").alias("need")).distinct()
+        needed = left.select("conv_id", F.col("need").alias("call_id")).distinct()
+        left = _settled(left.join(needing, ["conv_id", "need"], "left_semi").join(needed, KEY, "left_semi").select(*KEY, "need"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    paths, before = left, 0
+    while n > before:
+        further = paths.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("far"))
+        paths = _settled(paths.union(paths.join(further, ["conv_id", "need"]).select(*KEY, F.col("far").alias("need"))).distinct())
+        before, n = n, paths.count()
+    back = paths.select("conv_id", F.col("need").alias("call_id"), F.col("call_id").alias("need"))
+    return left.join(back, [*KEY, "need"], "left_semi")
+
+
 def positions(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, position, missing, cyclic): position sorts each call behind those it needs; missing counts needed calls that don't exist."""
+    """(conv_id, call_id, position, missing, cyclic): position sorts each call behind those it needs, but for those of its own cycle; missing counts needed calls that don't exist."""
     own = cut(calls.select(*KEY, F.col("seq").alias("position")))
     edges = calls.select(*KEY, F.explode("after").alias("need")).distinct()
     exists = own.select("conv_id", F.col("call_id").alias("need"), F.col("position").alias("need_position"))
     met = cut(edges.join(exists, ["conv_id", "need"], "left"))
     missing = met.filter("need_position IS NULL").groupBy(*KEY).agg(F.count("*").alias("missing"))
-    selfish = met.filter("need = call_id").select(*KEY, F.lit(True).alias("cyclic"))
+    cyclic = met.filter("need = call_id").select(*KEY, F.lit(True).alias("cyclic"))
     live = met.filter("need_position IS NOT NULL AND need <> call_id").select(*KEY, "need")
 
     def late(now: DataFrame) -> DataFrame:
         needed = now.select("conv_id", F.col("call_id").alias("need"), F.col("position").alias("need_position"))
-        return cut(live.join(now, KEY).join(needed, ["conv_id", "need"]).filter("need_position >= position").groupBy(*KEY).agg((F.max("need_position") + 1).alias("moved")))
-
-    now, cyclic = own, selfish
-    for i in range(ROUNDS + 1):
+        return cut(live.join(now, KEY).join(needed, ["conv_id", "need"]).filter("need_position >= position").groupBy(*KEY).agg(F.min("position").alias("position"), (F.max("need_position") + 1).alias("moved")))
+
+    now, moved = own, late(own)
+    if not moved.isEmpty():
+        # a cycle lies between the first call that comes too early and the last that such a call needs
+        span = moved.groupBy("conv_id").agg(F.min("position").alias("lo"), (F.max("moved") - 1).alias("hi"))
+        near = met.filter("need_position IS NOT NULL AND need <> call_id").join(own, KEY).join(span, "conv_id").filter("position BETWEEN lo AND hi AND need_position BETWEEN lo AND hi")
+        ring = cut(within_cycles(cut(near.select(*KEY, "need"))))
+        if not ring.isEmpty():
+            cyclic = cyclic.union(ring.select(*KEY, F.lit(True).alias("cyclic"))).distinct()
+            live = cut(live.join(ring, [*KEY, "need"], "left_anti"))
+            moved = late(now)
+    while not moved.isEmpty():
+        now = _settled(now.join(moved.select(*KEY, "moved"), KEY, "left").select(*KEY, F.coalesce("moved", "position").alias("position")))
         moved = late(now)
-        if moved.isEmpty():
-            break
-        if i == ROUNDS:
-            cyclic = selfish.union(moved.select(*KEY, F.lit(True).alias("cyclic"))).distinct()
-            break
-        now = cut(now.join(moved, KEY, "left").select(*KEY, F.coalesce("moved", "position").alias("position")))
     out = now.join(missing, KEY, "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long"))
     return out.join(cyclic, KEY, "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 

@@ -99,3 +99,16 @@ def test_toolcalls(spark):
     assert json.loads(got["e", 4].json)["arguments"] == "oops" and json.loads(got[None, 6].json) == {"arguments": None, "id": None, "name": "add", "result": None}
     assert [r.call_id for r in toolcalls.orphans(calls, results).collect()] == ["zz"]
     assert toolcalls.link(calls.limit(0), results, schemas).isEmpty()
+
+
+def test_toolcalls_long_chains_and_cycles(spark):
+    rows = [(1, i, f"a{i}", [f"a{i + 1}"] if i < 19 else []) for i in range(20)]  # each call needs the next one
+    rows += [(2, 0, "behind", ["p"]), (2, 1, "p", ["q"]), (2, 2, "q", ["r", "before"]), (2, 3, "r", ["p"]), (2, 4, "before", []), (2, 5, "between", ["r"]), (2, 6, "s", ["t", "between"]), (2, 7, "t", ["s"]), (2, 8, "u", ["u", "s"])]
+    calls = spark.createDataFrame(rows, "conv_id long, seq long, call_id string, after array<string>")
+    got = {r.call_id: r for r in toolcalls.positions(calls).collect()}
+    assert len(got) == len(rows)
+    assert {k for k, r in got.items() if r.cyclic} == {"p", "q", "r", "s", "t", "u"}
+    apart = [{"p", "q", "r"}, {"s", "t"}, {"u"}]
+    for _, _, call, after in rows:
+        for need in after:
+            assert got[need].position < got[call].position or any({need, call} <= c for c in apart)
