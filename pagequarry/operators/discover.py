@@ -81,3 +81,10 @@ def warnings(scans: DataFrame) -> Column:
             F.when(c("sitemap_types") > 0, "sitemap-fallback"), F.when(c("probed_types") > 0, "probed"), F.when(c("unmatched_types") > 0, "unmatched"), F.when(c("pages") == 1, "one-page"),
         )
     )
+
+
+def to_probe(pages: DataFrame, keys: list[str], probed: list[str], types: list[str]) -> DataFrame:
+    """(keys, missing): the types that can be probed for among those of which a site has no page."""
+    seen = pages.groupBy(*keys).agg(F.collect_set("page_type").alias("seen"))  # at most all types
+    unmatched = F.array_except(F.array(*[F.lit(t) for t in types]), F.col("seen"))
+    return seen.select(*keys, F.array_intersect(F.array(*[F.lit(t) for t in probed]), unmatched).alias("missing"))

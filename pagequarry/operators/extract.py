@@ -155,3 +155,21 @@ def vendors(pages: DataFrame, signatures: DataFrame) -> DataFrame:
     refs = explode_relation(pages, dom.third_party_refs)
     met = refs.join(F.broadcast(signatures), F.contains(F.lower("ref"), F.col("domain")))
     return keep_first(met, ["page_id", "label"], ["ord", "pos"]).select("page_id", F.col("label").alias("name"), "domain", "via")
+
+
+def sitemap_pages(roots: DataFrame, bodies: DataFrame, k: int = 3) -> DataFrame:
+    """(id, from_map, loc): the pages of a site's map; where the root (id, xml) is an index, those of up to k of its children, which bodies (id, loc, xml) holds."""
+    locs = sitemap_urls(roots)
+    own = locs.filter(~F.col("is_index")).select("id", F.lit("index").alias("from_map"), "loc")
+    chosen = child_sitemaps(locs.filter("is_index"), k).select("id", "loc")
+    below = sitemap_urls(bodies.join(chosen, ["id", "loc"], "left_semi").select("id", "xml"))
+    return own.unionByName(below.filter(~F.col("is_index")).select("id", F.lit("child").alias("from_map"), "loc"))
+
+
+def stylesheets(pages: DataFrame, k: int = 3) -> DataFrame:
+    """(page_id, place, sheet): the first k different stylesheets that a page links."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?i)(<link\s[^>]*>)"), 1)
+    rows = pages.select("page_id", "url", F.posexplode(tags).alias("pos", "tag")).filter(F.col("tag").rlike("(?i)\\srel=[\"']?[^\"'>]*stylesheet"))
+    href = F.regexp_extract("tag", "(?i)\\shref=[\"']?([^\"'\\s>]+)", 1)
+    linked = rows.withColumn("sheet", urls.resolve(href, F.col("url"))).filter("sheet IS NOT NULL")
+    return top(keep_first(linked, ["page_id", "sheet"], ["pos"]), ["page_id"], ["pos"], k, "place").select("page_id", "place", "sheet")

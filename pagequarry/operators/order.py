@@ -25,14 +25,15 @@ def top(df: DataFrame, keys: Cols, order: Cols, k: int, rank: str | None = None)
 
 def round_robin(df: DataFrame, keys: Cols, source: str, order: Cols, k: int) -> DataFrame:
     """The first k rows of each key, taken in turns from its sources in the order in which they first appear."""
-    turns = df.withColumn("__turn", F.row_number().over(Window.partitionBy(*keys, source).orderBy(*order)))
+    # no source can give more than k rows: what is beyond goes before anything is ranked across sources
+    turns = top(df, [*keys, source], order, k, "__turn")
     turns = turns.withColumn("__seat", F.min(F.struct(*order)).over(Window.partitionBy(*keys, source)))
     return top(turns, keys, ["__turn", "__seat"], k, "place").drop("__turn", "__seat")
 
 
 def interleave(df: DataFrame, keys: Cols, tier: str, order: Cols, k: int, dedupe: Cols) -> DataFrame:
     """Like round_robin over tiers, but repeats go after the cut: fewer than k rows may be left."""
-    turns = df.withColumn("__turn", F.row_number().over(Window.partitionBy(*keys, tier).orderBy(*order)))
+    turns = top(df, [*keys, tier], order, k, "__turn")
     return keep_first(top(turns, keys, ["__turn", tier], k, "place").drop("__turn"), [*keys, *dedupe], ["place"])
 
 

@@ -131,7 +131,7 @@ def prune(docs: DataFrame, fields: list[Field]) -> DataFrame:
     out = docs.withColumn("pruned", F.filter(gone, lambda g: g["removed"] > 0))
     for f in lists:
         kept = F.filter(f.path, _keeps(f))
-        kept = kept if f.kind == "objectList" else F.transform(kept, F.trim)
+        kept = kept if f.kind == "objectList" else F.transform(kept, lambda v: F.trim(v))
         head, _, tail = f.path.partition(".")
         out = out.withColumn(head, F.col(head).withField(tail, kept) if tail else kept)
     return out

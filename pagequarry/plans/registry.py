@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reference
+from . import profile, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(reference.QUERIES)
+    return {**reference.QUERIES, **profile.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return dict(reference.ORACLES)
+    return {**reference.ORACLES, **profile.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,13 +104,6 @@ def test_missing_store_is_empty(spark, tmp_path):
     assert tables.store(spark, str(tmp_path / "none"), "id int").isEmpty()
 
 
-def test_swap(spark, tmp_path):
-    a, b = str(tmp_path / "a"), str(tmp_path / "b")
-    tables.swap(spark.range(3).toDF("id"), a, b)
-    tables.swap(spark.read.parquet(a).filter("id > 0"), a, b)
-    assert spark.read.parquet(a).count() == 2
-
-
 def test_progress_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
