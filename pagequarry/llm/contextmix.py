@@ -1,35 +1,37 @@
 """Language-model scores by logistic context mixing, beside a unigram base score.
 
-A token's probability is mixed from four predictors: how often the word stands
-in the training documents, how often it stands before in the same text, what
-followed the same two words when they last stood in this text, and the word's
-spelling.  The third has an adaptive weight, its success in this text so far;
-the second's weight grows with what the text has shown; the fourth has the
-share of words seen once, which estimates how many words are new.
-
-The spelling model codes the tokens as bytes (A-Z in lower case, each word
-followed by a space, a line feed as the end), bit by bit.  For each bit,
-`ORDERS` predictors look up how often it was 0 and 1 after the last 1, 2, 3 and
-4 bytes and the byte's earlier bits, in hashed tables whose sizes follow the
-number of distinct contexts of their order, up to 2**`MOST_BITS` slots; contexts
-of one slot share its counts.  A count is kept in a byte, as its logarithm in
-steps of 1/`STEPS` of a doubling; where the larger of a slot's two counts is
-over the greatest of these values, both are halved together until it fits, so
-that their ratio stays.  Their
-log odds are combined with weights from a set that a gate selects by how much
-the two longest contexts have been seen, and a last adaptive table refines the
-mixed probability.  Every bit's two probabilities add up to one and so do the
-predictors' weights, so the probabilities of all texts add up to no more than
-one.
+Tokens are coded as bytes (A-Z in lower case, each word followed by a space, a
+line feed as the end), bit by bit.  For each bit, `PREDICTORS` predictors look
+up how often it was 0 and 1 before: after the last 1, 2, 3 and 4 bytes, and
+after the beginning of the same word, each together with the byte's earlier
+bits.  The last of them follows the words' counts: multiplied over a word's
+bits, its frequencies are the word's share among the training tokens.  The
+tables are hashed, their sizes follow the number of distinct contexts, up to
+2**`MOST_BITS` slots; of several contexts of a slot, the one seen most often keeps
+it, which a check of eight bits tells, and the others count as new.  A count is kept in
+a byte, as its logarithm in steps of 1/`STEPS` of a doubling; where the larger of
+a slot's two counts is over the greatest of these values, both are halved
+together until it fits, so that their ratio stays.  The predictors' log odds are
+combined with weights from a set that a gate selects by how much the context of
+four bytes and the word's beginning have been seen, and a table of levels
+refines the mixed probability.
+
+While a text is scored, its own words refine this further: experts take the
+mixer's probability of each token alone, or mixed with the token's share in the
+text so far (`OWN`), or with what followed the same two words when they last
+stood in it, weighted by its success so far.  The experts begin with equal
+weights, which follow their success in the text (Bayes' rule), so that the score
+is the logarithm of the mean of the experts' products.  Every bit's two
+probabilities add up to one and so do the experts' weights: the probabilities of
+all texts add up to no more than one.
 
 Learning is online in each of its parts and distributed over the corpus:
 predictors learn with the rate 1/n, which makes their state the counts of both
 bits, so that tasks' counts just add up; each task trains weights by online
 gradient steps over its part of the distinct contexts, each bit left out of
 its own counts, and the tasks' weights are averaged by the number of bits; the
-refining table is again counts.  All training documents are read.  Scoring
-then uses the finished model, so that a text's score doesn't depend on what
-stands beside it.
+refining table is again counts.  All training documents are read.  A text's
+score depends on the model and itself alone, not on what stands beside it.
 
 The base score is the sum of log10((c + 0.1) / (N + 0.1 * (V + 1))) over the
 tokens, c being a token's count in the training documents.  The counts of the
@@ -37,10 +39,11 @@ tokens, c being a token's count in the training documents.  The counts of the
 the documents' words in a join by the word's 64-bit hash, so that the
 vocabulary stays distributed.
 
-Nulls and edges: a null or empty text is its end alone.  Rows that repeat a
-doc_id or a text are scored each.  A null doc_id counts as the empty text for
-the folds.  With no training documents every count is 0.  Columns besides
-doc_id and text are not read.
+Nulls and edges: a null or empty text is its end alone.  Texts of any length are
+scored whole.  Rows that repeat a doc_id or a text are scored each.  A null
+doc_id counts as the empty text for the folds.  With no training documents every
+count is 0; empty tables give empty tables.  Columns besides doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,10 +61,12 @@ from . import textkernel as tk
 from .common import cut, fold
 
 ORDERS = 4
+#: a predictor for each order, and one for the word's beginning
+PREDICTORS = ORDERS + 1
 #: slots of the table by which `distinct` finds repeats, and of each order's table before anything is learnt
 SLOT_BITS = 21
 #: bounds of the slots of an order's table, and the slots for each distinct gram that it codes
-LEAST_BITS, MOST_BITS, ROOM = 16, 24, 4
+LEAST_BITS, MOST_BITS, ROOM = 16, 23, 4
 #: steps of a doubling in which counts are kept
 STEPS = 12
 #: grams whose bits are counted at once
@@ -70,14 +75,15 @@ FREQUENT = 1 << 16
 CHUNK = 3_000_000
 END, GAP = 0x0A, 0x20
 DELTA = 0.05
-RATE = 0.02
+#: distinct contexts of a training step, and the curvature that a gate's first weights count for
+STEP, STIFF = 4096, 50.0
 EDGES = np.array([1, 3, 12, 100])  # sightings at which a context counts as better known
 GATES = (len(EDGES) + 1) ** 2
 LEVELS = 33
 FLOOR = 1e-6
 KEEP = 2_000_000
-#: the most that the text's own words count for, the tokens after which it is half of that, and the match predictor's first success
-OWN, OWN_HALF, MATCH = 0.4, 60, (0.02, 1.0)
+#: what experts give to the text's own words at most, the tokens after which it is half of that, and the match predictor's first success
+OWN, OWN_HALF, MATCH = (0.0, 0.1, 0.4), 60, (0.02, 1.0)
 
 
 def streams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +118,18 @@ def grams(stream: np.ndarray, doff: np.ndarray) -> np.ndarray:
     return out
 
 
+def beginnings(stream: np.ndarray, doff: np.ndarray) -> np.ndarray:
+    """Each byte with a hash of the bytes of its word before it: 56 bits of hash and 8 of the byte."""
+    n = len(stream)
+    start = np.zeros(n, bool)
+    start[doff[:-1][doff[:-1] < n]] = True
+    start[1:] |= stream[:-1] == GAP
+    at = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    return tk.word_hashes(stream, at, np.arange(n)) >> np.uint64(8) << np.uint64(8) | stream
+
+
 def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and the place of each value among them, by a table of the last holder of each hash."""
+    """A place of each distinct value, and for each value its number among them, by a table of the last holder of each hash."""
     n = len(g)
     slot = (tk.mix(g) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     table = np.zeros(1 << SLOT_BITS, np.int32)
@@ -127,21 +143,22 @@ def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inverse = where[holder]
     rest = np.flatnonzero(~same)
     if not len(rest):
-        return g[first], inverse
-    more, back = np.unique(g[rest], return_inverse=True)
+        return first, inverse
+    _, at, back = np.unique(g[rest], return_index=True, return_inverse=True)
     inverse[rest] = len(first) + back
-    return np.concatenate([g[first], more]), inverse
+    return np.concatenate([first, rest[at]]), inverse
 
 
-def contexts(g: np.ndarray, bits: tuple[int, ...] = (SLOT_BITS,) * ORDERS) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For each of the eight bits: the bit, and for each order its slot in the tables of 2**bits slots that lie one behind the other."""
+def contexts(g: np.ndarray, w: np.ndarray, bits: tuple[int, ...] = (SLOT_BITS,) * PREDICTORS) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """For each of the eight bits of `grams` and their `beginnings`: the bit, and for each predictor its slot in the tables of 2**bits slots that lie one behind the other, and its check."""
     byte = g & np.uint64(0xFF)
-    bases = [tk.mix((g >> np.uint64(8) & np.uint64((1 << 8 * o) - 1)) + np.uint64(o << 40)) for o in range(1, ORDERS + 1)]
+    bases = [tk.mix((g >> np.uint64(8) & np.uint64((1 << 8 * o) - 1)) + np.uint64(o << 40)) for o in range(1, ORDERS + 1)] + [tk.mix((w >> np.uint64(8)) + np.uint64(0x77 << 56))]
     start = np.concatenate([[0], np.cumsum([1 << b for b in bits])])
     for i in range(8):
         node = np.uint64(1 << i) | byte >> np.uint64(8 - i)
         bit = (byte >> np.uint64(7 - i) & np.uint64(1)).astype(np.int8)
-        yield bit, [start[o] + ((b + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits[o])).astype(np.int64) for o, b in enumerate(bases)]
+        h = [(b + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) for b in bases]
+        yield bit, [start[o] + (x >> np.uint64(64 - bits[o])).astype(np.int64) for o, x in enumerate(h)], [(tk.mix(x) >> np.uint64(56)).astype(np.uint8) for x in h]
 
 
 COUNT = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
@@ -160,37 +177,39 @@ def sizes(grams_: list[int]) -> tuple[int, ...]:
 
 
 class Mixer(NamedTuple):
-    """The finished model: both counts of every slot (as `quantised`), the weights of each gate, the refining table, and the bits of each order's table."""
+    """The finished model: both counts of every slot (as `quantised`) and its check, the weights of each gate, the refining table, and the bits of each predictor's table."""
 
     zeros: np.ndarray
     ones: np.ndarray
+    checks: np.ndarray
     weights: np.ndarray
     refine: np.ndarray
     bits: tuple[int, ...]
 
     def packed(self) -> tuple:
         """The same, small enough to send: tables that are mostly empty compress well."""
-        return (zlib.compress(self.zeros.tobytes(), 1), zlib.compress(self.ones.tobytes(), 1), self.weights, self.refine, self.bits)
+        return (*(zlib.compress(x.tobytes(), 1) for x in self[:3]), *self[3:])
 
     @staticmethod
     def unpacked(x: tuple) -> Mixer:
-        return Mixer(*(np.frombuffer(zlib.decompress(b), np.uint8) for b in x[:2]), *x[2:])
+        return Mixer(*(np.frombuffer(zlib.decompress(b), np.uint8) for b in x[:3]), *x[3:])
 
-    def inputs(self, slots: list[np.ndarray], leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, slots: list[np.ndarray], checks: list[np.ndarray], leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each predictor (and a constant), and the gate; leave: bits to be left out of their own counts."""
         n = len(slots[0])
-        x = np.empty((ORDERS + 1, n), np.float32)
+        x = np.empty((PREDICTORS + 1, n), np.float32)
         gate = np.zeros(n, np.int64)
-        for o, s in enumerate(slots):
-            n0, n1 = COUNT[self.zeros[s]], COUNT[self.ones[s]]
+        for o, (s, check) in enumerate(zip(slots, checks, strict=True)):
+            own = self.checks[s] == check  # else the slot belongs to a context seen more often, and this one counts as new
+            n0, n1 = COUNT[self.zeros[s]] * own, COUNT[self.ones[s]] * own
             if leave is not None:
                 # counts in the last doubling may have been halved; one sighting more or less says nothing there
                 few = np.maximum(n0, n1) < COUNT[255 - STEPS]
                 n0, n1 = np.maximum(n0 - (few & (leave == 0)), 0), np.maximum(n1 - (few & (leave == 1)), 0)
             x[o] = np.log((n1 + DELTA) / (n0 + DELTA))
-            if o >= ORDERS - 2:
+            if o >= PREDICTORS - 2:
                 gate = gate * (len(EDGES) + 1) + np.searchsorted(EDGES, n0 + n1, "right")
-        x[ORDERS] = 0.3
+        x[PREDICTORS] = 0.3
         return x, gate
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -204,11 +223,11 @@ class Mixer(NamedTuple):
         p = self.refine[gate, lo] * (1 - part) + self.refine[gate, lo + 1] * part
         return np.clip((1 / (1 + np.exp(-st)) + p) / 2, FLOOR, 1 - FLOOR)
 
-    def log10(self, g: np.ndarray) -> np.ndarray:
-        """log10 probability of each packed byte after its context."""
+    def log10(self, g: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 probability of each byte (`grams` and `beginnings`) after its contexts."""
         out = np.zeros(len(g))
-        for bit, slots in contexts(g, self.bits):
-            p = self.refined(*(lambda x, gate: (self.mix(x, gate), gate))(*self.inputs(slots)))
+        for bit, slots, checks in contexts(g, w, self.bits):
+            p = self.refined(*(lambda x, gate: (self.mix(x, gate), gate))(*self.inputs(slots, checks)))
             out += np.log10(np.where(bit, p, 1 - p))
         return out
 
@@ -217,37 +236,46 @@ def level_of(st: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((st + (LEVELS - 1) / 4) * 2), 0, LEVELS - 1).astype(np.int64)
 
 
-def blank(bits: tuple[int, ...] = (SLOT_BITS,) * ORDERS) -> Mixer:
+def blank(bits: tuple[int, ...] = (SLOT_BITS,) * PREDICTORS) -> Mixer:
     st = np.arange(LEVELS) / 2 - (LEVELS - 1) / 4
     slots = sum(1 << b for b in bits)
-    return Mixer(np.zeros(slots, np.uint8), np.zeros(slots, np.uint8), np.tile(np.array([0.1, 0.15, 0.25, 0.5, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)), bits)
+    return Mixer(*(np.zeros(slots, np.uint8) for _ in range(3)), np.tile(np.array([0.05, 0.1, 0.15, 0.3, 0.4, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)), bits)
+
 
+GATHERED = "kind int, key long, began long, n long"
 
-GATHERED = "kind int, key long, n long"
 
+def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Parts (code, key, began, n) as one, with the counts of equal codes added up."""
+    code, key, began, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    codes, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+    return codes, key[first], began[first], np.bincount(inverse, n, len(codes)).astype(np.int64)
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+def code_of(g: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One value for a byte's contexts of all predictors."""
+    return tk.mix(w) ^ g
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's packed bytes (kind 0) and words (kind 1), and its number of ends (kind 2)."""
+    """Counts of a task's bytes with their contexts (kind 0) and words (kind 1), and its number of ends (kind 2)."""
     held: dict[int, list] = {0: [], 1: []}
+    names = [x.split()[0] for x in GATHERED.split(", ")]
     ends = 0
 
     def out(kind: int) -> pa.RecordBatch:
-        k, n = _merge(held[kind])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(tk.signed(k)), pa.array(n)], ["kind", "key", "n"])
+        _, k, w, n = _merge(held[kind])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(tk.signed(k)), pa.array(tk.signed(w)), pa.array(n)], names)
 
     for b in batches:
         for i, j, buf, off in tk.chunks(b["text"], CHUNK):
             stream, doff, words, _ = streams(buf, off)
             ends += j - i
-            for kind, v in ((0, grams(stream, doff)), (1, words)):
-                u, inverse = distinct(v)
-                held[kind].append((u, np.bincount(inverse, minlength=len(u))))
-                if sum(len(x) for x, _ in held[kind]) > KEEP:
+            g, w = grams(stream, doff), beginnings(stream, doff)
+            for kind, code, key, began in ((0, code_of(g, w), g, w), (1, words, words, np.zeros(len(words), np.uint64))):
+                first, inverse = distinct(code)
+                held[kind].append((code[first], key[first], began[first], np.bincount(inverse, minlength=len(first))))
+                if sum(len(x[0]) for x in held[kind]) > KEEP:
                     held[kind] = [_merge(held[kind])]
                     if len(held[kind][0][0]) > KEEP // 2:
                         yield out(kind)
@@ -256,27 +284,31 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held[kind]:
             yield out(kind)
     if ends:
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], ["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], names)
+
+
+def _bytes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return b["key"].to_numpy().view(np.uint64), b["began"].to_numpy().view(np.uint64), b["n"].to_numpy()
 
 
 def _tally(bits: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of both bits by slot, of a task's packed bytes."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        """Counts of both bits by slot and check, of a task's bytes."""
+        held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            g, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = list(contexts(g, bits))
-            one = np.concatenate([bit for bit, _ in rows]) * np.tile(n, 8)
+            g, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = list(contexts(g, w, bits))
+            one = np.concatenate([bit for bit, _, _ in rows]) * np.tile(n, 8)
             every = np.tile(n, 8)
-            for o in range(ORDERS):
-                u, inverse = np.unique(np.concatenate([slots[o] for _, slots in rows]), return_inverse=True)
+            for o in range(PREDICTORS):
+                u, inverse = np.unique(np.concatenate([slots[o] << 8 | checks[o] for _, slots, checks in rows]), return_inverse=True)
                 n1 = np.bincount(inverse, one, len(u))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array((np.bincount(inverse, every, len(u)) - n1).astype(np.int64)), pa.array(n1.astype(np.int64))], ["slot", "n0", "n1"])
+                yield pa.RecordBatch.from_arrays([pa.array(u >> 8), pa.array((u & 0xFF).astype(np.int32)), pa.array((np.bincount(inverse, every, len(u)) - n1).astype(np.int64)), pa.array(n1.astype(np.int64))], ["slot", "check", "n0", "n1"])
 
         for b in batches:
-            held.append((b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()))
-            if sum(len(g) for g, _ in held) >= BLOCK:
+            held.append(_bytes(b))
+            if sum(len(x[0]) for x in held) >= BLOCK:
                 yield from out()
                 held = []
         if held:
@@ -286,29 +318,38 @@ def _tally(bits: tuple[int, ...]):
 
 
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots with both counts as `quantised`."""
+    """Slots with their checks and both counts as `quantised`."""
     for b in batches:
         q0, q1 = quantised(b["n0"].to_numpy(), b["n1"].to_numpy())
-        yield pa.RecordBatch.from_arrays([b["slot"].cast(pa.int32()), pa.array(q0.view(np.int8)), pa.array(q1.view(np.int8))], ["slot", "q0", "q1"])
+        yield pa.RecordBatch.from_arrays([b["slot"].cast(pa.int32()), pa.array(b["check"].to_numpy().astype(np.uint8).view(np.int8)), pa.array(q0.view(np.int8)), pa.array(q1.view(np.int8))], ["slot", "check", "q0", "q1"])
 
 
 def _train(model: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One task's weights after an online pass over its packed bytes, and the weight of what it saw."""
+        """One task's weights after an online pass over its part, and the weight of what it saw.
+
+        Each step moves a gate's weights along its gradient, scaled by the inverse of the curvature of all that the gate has seen so far.
+        """
         w, total = model.weights.astype(np.float64), 0.0
+        curve = np.tile(np.eye(PREDICTORS + 1) * STIFF, (GATES, 1, 1))
         for b in batches:
-            keys, counts = b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()
-            order = np.argsort(tk.mix(keys))
-            for lo in range(0, len(keys), 4096):
-                g, n = keys[order[lo : lo + 4096]], np.sqrt(counts[order[lo : lo + 4096]])
+            keys, began, counts = _bytes(b)
+            order = np.argsort(code_of(keys, began))
+            for lo in range(0, len(keys), STEP):
+                at = order[lo : lo + STEP]
+                n = counts[at].astype(np.float64)
                 total += float(n.sum())
-                for bit, slots in contexts(g, model.bits):
-                    x, gate = model.inputs(slots, bit)
-                    st = np.einsum("on,no->n", x, w[gate])
-                    err = (bit - 1 / (1 + np.exp(-st))) * n
-                    mass = np.bincount(gate, n, GATES)
-                    for o in range(ORDERS + 1):
-                        w[:, o] += RATE * np.bincount(gate, err * x[o], GATES) / np.maximum(mass, 1) * np.minimum(mass / 64, 8)
+                for bit, slots, checks in contexts(keys[at], began[at], model.bits):
+                    x, gate = model.inputs(slots, checks, bit)
+                    x = x.astype(np.float64)
+                    p = 1 / (1 + np.exp(-np.clip(np.einsum("on,no->n", x, w[gate]), -30, 30)))
+                    err, steep = (bit - p) * n, np.maximum(p * (1 - p), 1e-4) * n
+                    by_gate = np.argsort(gate, kind="stable")
+                    edges = np.searchsorted(gate[by_gate], np.arange(GATES + 1))
+                    for k in np.flatnonzero(np.diff(edges)):
+                        m = by_gate[edges[k] : edges[k + 1]]
+                        curve[k] += (x[:, m] * steep[m]) @ x[:, m].T
+                        w[k] += np.linalg.solve(curve[k], x[:, m] @ err[m])
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([total])], ["w", "n"])
 
@@ -320,9 +361,9 @@ def _calibrate(model: Mixer):
         """How often bits were 1 at each gate and level of the mixed log odds."""
         n0, n1 = np.zeros(GATES * LEVELS), np.zeros(GATES * LEVELS)
         for b in batches:
-            g, n = b["key"].to_numpy().view(np.uint64), b["n"].to_numpy().astype(np.float64)
-            for bit, slots in contexts(g, model.bits):
-                x, gate = model.inputs(slots, bit)
+            g, w, n = _bytes(b)
+            for bit, slots, checks in contexts(g, w, model.bits):
+                x, gate = model.inputs(slots, checks, bit)
                 at = gate * LEVELS + level_of(model.mix(x, gate))
                 n0 += np.bincount(at[bit == 0], n[bit == 0], GATES * LEVELS)
                 n1 += np.bincount(at[bit == 1], n[bit == 1], GATES * LEVELS)
@@ -371,20 +412,22 @@ class Trained(NamedTuple):
     tokens: int
     types: int
     ends: int
-    new: float
 
 
 def learn(docs: DataFrame) -> Trained:
     """The model of all the given documents."""
-    gathered = cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gather, GATHERED).groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    bytes_ = gathered.filter("kind = 0").select("key", "n")
-    counted = bytes_.agg(*[F.approx_count_distinct(F.col("key").bitwiseAND((1 << 8 * (o + 1)) - 1)).alias(f"n{o}") for o in range(1, ORDERS + 1)]).first()
+    gathered = cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gather, GATHERED).groupBy("kind", "key", "began").agg(F.sum("n").alias("n")))
+    bytes_ = gathered.filter("kind = 0").select("key", "began", "n")
+    counted = bytes_.agg(*[F.approx_count_distinct(F.col("key").bitwiseAND((1 << 8 * (o + 1)) - 1)).alias(f"n{o}") for o in range(1, ORDERS + 1)], F.approx_count_distinct(F.shiftrightunsigned("began", 8))).first()
     bits = sizes(list(counted))
     model = blank(bits)
-    # at most ORDERS * 2**MOST_BITS rows of six bytes come back
-    table = bytes_.mapInArrow(_tally(bits), "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).mapInArrow(_shorten, "slot int, q0 byte, q1 byte").toArrow()
+    # at most PREDICTORS * 2**MOST_BITS rows of six bytes come back
+    # of the contexts of a slot, the one seen most often keeps it
+    tallied = bytes_.mapInArrow(_tally(bits), "slot long, check int, n0 long, n1 long").groupBy("slot", "check").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    kept = tallied.groupBy("slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "check", "n0", "n1")).alias("k")).select("slot", "k.check", "k.n0", "k.n1")
+    table = kept.mapInArrow(_shorten, "slot int, check byte, q0 byte, q1 byte").toArrow()
     slot = table["slot"].to_numpy()
-    for side, name in ((model.zeros, "q0"), (model.ones, "q1")):
+    for side, name in ((model.zeros, "q0"), (model.ones, "q1"), (model.checks, "check")):
         side[slot] = table[name].to_numpy().view(np.uint8)
     del table, slot
     sc = docs.sparkSession.sparkContext
@@ -392,7 +435,7 @@ def learn(docs: DataFrame) -> Trained:
     trained = bytes_.mapInArrow(lambda it: _train(Mixer.unpacked(shared.value))(it), "w binary, n double").agg(F.collect_list(F.struct("w", "n")).alias("rows")).first().rows  # one row of some kB a task
     if trained:
         total = sum(r.n for r in trained)
-        weights = sum(np.frombuffer(r.w).reshape(GATES, ORDERS + 1) * (r.n / total) for r in sorted(trained, key=lambda r: (r.n, bytes(r.w))))
+        weights = sum(np.frombuffer(r.w).reshape(GATES, PREDICTORS + 1) * (r.n / total) for r in sorted(trained, key=lambda r: (r.n, bytes(r.w))))
         model = model._replace(weights=weights.astype(np.float32))
         shared = sc.broadcast(model.packed())
         levels = bytes_.mapInArrow(lambda it: _calibrate(Mixer.unpacked(shared.value))(it), "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
@@ -401,20 +444,46 @@ def learn(docs: DataFrame) -> Trained:
             refine[r.at] = (r.n1 + 20 * refine[r.at]) / (r.n0 + r.n1 + 20)
         model = model._replace(refine=refine.reshape(GATES, LEVELS))
     words = gathered.filter("kind = 1").select(F.col("key").alias("word"), F.col("n").alias("c"))
-    sums = gathered.agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("words"), F.count_if(F.col("kind") == 1).alias("types"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("ends"), F.count_if((F.col("kind") == 1) & (F.col("n") == 1)).alias("once")).first()
+    sums = gathered.agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("words"), F.count_if(F.col("kind") == 1).alias("types"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).first()
     top = words.orderBy(F.col("c").desc(), "word").limit(FREQUENT).toArrow()
     keys = top["word"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     ends = sums.ends or 0
-    return Trained(model, words, (keys[order], top["c"].to_numpy()[order]), (sums.words or 0) + ends, sums.types + (ends > 0), ends, min(max((sums.once + 1) / ((sums.words or 0) + ends + 2), 1e-4), 0.5))
+    return Trained(model, words, (keys[order], top["c"].to_numpy()[order]), (sums.words or 0) + ends, sums.types + (ends > 0), ends)
+
 
+ROWS = "rid long, doc_id long, held_out boolean, kind int, word long, n long, known long, n_bytes long, base double, score double"
 
-ROWS = "rid long, doc_id long, held_out boolean, kind int, word long, n long, known long, n_bytes long, base double, score double, a double, b double"
+
+def experts(words: np.ndarray, woff: np.ndarray, coded: np.ndarray, n: int) -> np.ndarray:
+    """log10 probability of each document's words, by the Bayesian mixture of experts over the mixer's probabilities coded of them."""
+    doc = tk.doc_of(woff)
+    place, share, m, right = own_words(words, woff)
+    sums = []
+    for own in OWN:
+        weight = own * place / (place + OWN_HALF)
+        p = (1 - weight) * coded + weight * share
+        for q in (p, m * right + (1 - m) * p):
+            sums.append(np.bincount(doc, np.log10(np.maximum(q, 1e-300)), n))
+    top = np.max(sums, axis=0)
+    return top + np.log10(np.mean(10.0 ** (np.array(sums) - top), axis=0))
+
+
+def text_scores(mixer: Mixer, stream: np.ndarray, doff: np.ndarray, words: np.ndarray, woff: np.ndarray) -> np.ndarray:
+    """log10 probability of each document, its end included."""
+    g, w = grams(stream, doff), beginnings(stream, doff)
+    first, inverse = distinct(code_of(g, w))
+    cost = mixer.log10(g[first], w[first])[inverse]
+    by_byte = np.concatenate([[0], np.cumsum(cost)])
+    gaps = np.flatnonzero(stream == GAP)  # one after each word
+    begin = np.where(np.arange(len(words)) == woff[tk.doc_of(woff)], doff[tk.doc_of(woff)], np.concatenate([[0], gaps + 1])[: len(words)])
+    coded = 10 ** np.maximum(by_byte[gaps + 1] - by_byte[begin], -300.0)
+    return experts(words, woff, coded, len(doff) - 1) + cost[doff[1:] - 1]
 
 
 def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (kind 0) with what needs no join, and one for each of its less frequent words (kind 1), whose probability is a * c + b."""
-    packed, (keys, counts), ends, total, new = trained
+    """A row for each document (kind 0) with what needs no join, and one for each of its less frequent words (kind 1)."""
+    packed, (keys, counts), ends = trained
     mixer = Mixer.unpacked(packed)
     names = [x.split()[0] for x in ROWS.split(", ")]
     value = np.log10(counts + 0.1)
@@ -422,51 +491,35 @@ def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         rids = b["rid"].to_numpy()
         for i, j, buf, off in tk.chunks(b["text"], CHUNK):
             stream, doff, words, woff = streams(buf, off)
-            u, inverse = distinct(grams(stream, doff))
-            cost = mixer.log10(u)[inverse]
-            by_byte = np.concatenate([[0], np.cumsum(cost)])
-            doc = tk.doc_of(woff)
-            n = j - i
+            doc, n = tk.doc_of(woff), j - i
             at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
             top = keys[at] == words if len(keys) else np.zeros(len(words), bool)
             base = np.bincount(doc[top], value[at[top]], n) + np.log10(ends + 0.1)
             known = np.bincount(doc[top], minlength=n) + (ends > 0)
-            gaps = np.flatnonzero(stream == GAP)  # one after each word
-            begin = np.where(np.arange(len(words)) == woff[doc], doff[doc], np.concatenate([[0], gaps + 1])[: len(words)])
-            spelled = 10 ** np.maximum(by_byte[gaps + 1] - by_byte[begin], -300.0)
-            place, share, m, right = own_words(words, woff)
-            own = OWN * place / (place + OWN_HALF)
-            ca = (1 - m) * (1 - own) * (1 - new) / max(total, 1)
-            cb = m * right + (1 - m) * (own * share + (1 - own) * new * spelled)
-            size = np.diff(woff)
-            own_end = OWN * size / (size + OWN_HALF)
-            end = (1 - own_end) * ((1 - new) * ends / max(total, 1) + new * 10 ** cost[doff[1:] - 1])
-            logs = np.bincount(doc[top], np.log10(ca[top] * counts[at[top]] + cb[top]), n) + np.log10(end)
-            doubles = [pa.nulls(n, pa.float64())] * 2
-            yield pa.RecordBatch.from_arrays([b["rid"].slice(i, n), b["doc_id"].slice(i, n), b["held_out"].slice(i, n), pa.array(np.zeros(n, np.int32)), pa.array(rids[i:j]), pa.array(size + 1), pa.array(known), pa.array(np.diff(doff)), pa.array(base), pa.array(logs), *doubles], names)
+            scores = text_scores(mixer, stream, doff, words, woff)
+            yield pa.RecordBatch.from_arrays([b["rid"].slice(i, n), b["doc_id"].slice(i, n), b["held_out"].slice(i, n), pa.array(np.zeros(n, np.int32)), pa.array(rids[i:j]), pa.array(np.diff(woff) + 1), pa.array(known), pa.array(np.diff(doff)), pa.array(base), pa.array(scores)], names)
             r = np.flatnonzero(~top)
             if len(r):
-                k = len(r)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rids[i + doc[r]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(np.ones(k, np.int32)), pa.array(tk.signed(words[r])), pa.array(np.ones(k, np.int64)), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(ca[r]), pa.array(cb[r])], names
-                )
+                # a document's equal words go as one
+                _, first, times = np.unique(tk.mix(words[r]) ^ doc[r].astype(np.uint64), return_index=True, return_counts=True)
+                k, r = len(first), r[first]
+                yield pa.RecordBatch.from_arrays([pa.array(rids[i + doc[r]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(np.ones(k, np.int32)), pa.array(tk.signed(words[r])), pa.array(times), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
 
 
 def score(docs: DataFrame, trained: Trained, folds: int = 10) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
-    shared = docs.sparkSession.sparkContext.broadcast((trained.mixer.packed(), trained.frequent, trained.ends, trained.tokens, trained.new))
+    shared = docs.sparkSession.sparkContext.broadcast((trained.mixer.packed(), trained.frequent, trained.ends))
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), (fold(folds=folds) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(lambda it: _score(shared.value, it), ROWS)
     counted = rows.join(trained.counts.select(F.lit(1).alias("kind"), "word", "c"), ["kind", "word"], "left")
     other = F.col("kind") == 1
     parts = counted.select(
-        "rid", "doc_id", "held_out", "n_bytes",
-        F.when(other, F.log10(F.col("a") * F.coalesce("c", F.lit(0)) + F.col("b"))).otherwise(F.col("score")).alias("score"),
+        "rid", "doc_id", "held_out", "n_bytes", "score",
         F.when(other, 0).otherwise(F.col("n")).alias("n"),
         F.when(other, F.when(F.col("c") > 0, F.col("n")).otherwise(0)).otherwise(F.col("known")).alias("known"),
         F.when(other, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).otherwise(F.col("base")).alias("base"),
     )
-    per = parts.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_bytes")], F.sum("score").alias("score"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("sum"))
+    per = parts.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_bytes", "score")], F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("sum"))
     norm = F.log10(F.lit(trained.tokens + 0.1 * (trained.types + 1)))
     return per.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), (F.col("sum") - F.col("n_tokens") * norm).alias("base_score"),
@@ -475,19 +528,17 @@ def score(docs: DataFrame, trained: Trained, folds: int = 10) -> DataFrame:
 
 
 def mixer_alone(docs: DataFrame, trained: Trained) -> DataFrame:
-    """One row, to tell what the bit mixer is worth by itself: n_bytes, bits_per_byte (every bit from the mixer, no counts, own words or matches), n_words, weight (the mean weight of a word's spelling in its probability), new."""
-    shared = docs.sparkSession.sparkContext.broadcast((trained.mixer.packed(), trained.new))
+    """One row, to tell what the bit mixer is worth by itself, without the texts' own words: n_bytes, bits_per_byte."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained.mixer.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, new = shared.value
-        mixer = Mixer.unpacked(packed)
+        mixer = Mixer.unpacked(shared.value)
         for b in batches:
             for _, _, buf, off in tk.chunks(b["text"], CHUNK):
-                stream, doff, words, woff = streams(buf, off)
-                u, inverse = distinct(grams(stream, doff))
-                place, _, m, _ = own_words(words, woff)
-                weight = (1 - m) * (1 - OWN * place / (place + OWN_HALF)) * new
-                yield pa.RecordBatch.from_arrays([pa.array([len(stream)]), pa.array([float(mixer.log10(u)[inverse].sum())]), pa.array([len(words)]), pa.array([float(weight.sum())])], ["n_bytes", "cost", "n_words", "weight"])
-
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_bytes long, cost double, n_words long, weight double").agg(*[F.sum(c).alias(c) for c in ("n_bytes", "cost", "n_words", "weight")])
-    return sums.select("n_bytes", (-F.col("cost") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"), "n_words", (F.col("weight") / F.col("n_words")).alias("weight"), F.lit(trained.new).alias("new"))
+                stream, doff, _, _ = streams(buf, off)
+                g, w = grams(stream, doff), beginnings(stream, doff)
+                first, inverse = distinct(code_of(g, w))
+                yield pa.RecordBatch.from_arrays([pa.array([len(stream)]), pa.array([float(mixer.log10(g[first], w[first])[inverse].sum())])], ["n_bytes", "cost"])
+
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_bytes long, cost double").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("cost").alias("cost"))
+    return sums.select("n_bytes", (-F.col("cost") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"))

@@ -6,17 +6,26 @@ frame for each block of `BLOCK` samples.  A subframe is constant, verbatim, or
 a fixed linear predictor of order 0 to 4 with one partition of Rice-coded
 residuals, whichever is shortest.  Every frame has its CRC-8 and CRC-16.
 
-`decode` reads such streams back: it walks the metadata, finds the frames,
-verifies both checksums of each, decodes the Rice residuals and undoes the
-predictors, and compares the MD5.  `read_samples` uses the seek table to decode
-only the frames that hold a range of samples.
-
-All frames of a batch go side by side through numpy: step i handles sample i of
-every frame, so the work is a fixed number of array operations for each batch
-however many frames it has.
-
-Payloads are null-safe: null counts as empty, and an empty payload still has
-one padded block (see `pad`).  Long payloads only have more frames.
+`decode` reads streams back: it walks the metadata, verifies both checksums of
+each frame, decodes the Rice residuals and undoes the predictors, and compares
+the MD5.  Streams of the kind that `encode` writes take a fast way, all frames of
+a batch side by side through numpy: step i handles sample i of every frame, so
+the work is a fixed number of array operations for each batch however many
+frames it has.  Every other mono stream of 4 to 16 bits a sample (other block
+sizes, linear predictors up to order 32, partitioned residuals with escape
+codes, wasted bits), and those in which a frame's header can't be told from the
+data, are read by `sequential`, frame after frame, bit by bit.
+
+`read_samples` uses the seek table to decode only the frames that hold a range
+of samples; `pcm_blocks` gives the decoded samples as a table of blocks with
+their first sample and the offset of their frame in the stream, by which a block
+can be found again without the others.
+
+Nulls and edges: null texts count as empty, and an empty payload still has one
+padded block (see `pad`).  Long payloads only have more frames.  Rows are handled
+one by one, so repeated rows, shared or null identifiers and ties make no
+difference: equal texts give equal values.  Columns besides doc_id and text are
+not read, whatever their names.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 BLOCK = 192
 SEEK_EVERY = 16 * BLOCK
 RATE = 8000
@@ -224,16 +235,18 @@ def metadata(stream: bytes) -> tuple[dict, int]:
         raise BadStream("no FLAC marker")
     at, out, last = 4, {"points": []}, False
     while not last:
+        if at + 4 > len(stream):
+            raise BadStream("the metadata are cut short")
         last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         body = stream[at + 4 : at + 4 + size]
-        if kind == 0:
+        if kind == 0 and size >= 34 and len(body) == size:
             packed = int.from_bytes(body[10:18], "big")
             out |= {"block": struct.unpack(">H", body[:2])[0], "min_frame": int.from_bytes(body[4:7], "big"), "max_frame": int.from_bytes(body[7:10], "big"), "bits": (packed >> 36 & 31) + 1, "channels": (packed >> 41 & 7) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
         elif kind == 3:
-            out["points"] = [struct.unpack(">QQH", body[i : i + 18]) for i in range(0, size, 18)]
+            out["points"] = [struct.unpack(">QQH", body[i : i + 18]) for i in range(0, len(body) - 17, 18)]
         at += 4 + size
-    if "block" not in out or out["block"] != BLOCK or out["bits"] != 8 or out["channels"] != 1:
-        raise BadStream(f"only mono streams of 8-bit samples in blocks of {BLOCK} are read")
+    if "block" not in out or out["channels"] != 1 or not 4 <= out["bits"] <= 16:
+        raise BadStream("only mono streams of 4 to 16 bits a sample are read")
     return out, at
 
 
@@ -356,8 +369,151 @@ def _starts(streams: list[tuple[bytes, dict, int]], origin: np.ndarray) -> tuple
     return np.array(starts, np.int64), np.concatenate([np.arange(n) for n in counts]), np.array(ends, np.int64)
 
 
+class _Bits:
+    """A stream's bits from a byte on."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.pos = data, at * 8
+
+    def take(self, n: int) -> int:
+        if self.pos + n > len(self.data) * 8:
+            raise BadStream("the stream is cut short")
+        lo, hi = self.pos >> 3, (self.pos + n + 7) >> 3
+        self.pos += n
+        return int.from_bytes(self.data[lo:hi], "big") >> (hi * 8 - self.pos) & ((1 << n) - 1)
+
+    def signed(self, n: int) -> int:
+        v = self.take(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def zeros(self) -> int:
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def _checksum(data: bytes, table: np.ndarray, bits: int) -> int:
+    out = 0
+    for x in data:
+        out = (out << 8 & (1 << bits) - 1) ^ int(table[out >> (bits - 8) ^ x])
+    return out
+
+
+def _residuals(bits: _Bits, size: int, order: int) -> list[int]:
+    """Partitioned Rice codes; a partition with the escape parameter holds plain numbers."""
+    method = bits.take(2)
+    if method > 1:
+        raise BadStream("residuals of an unknown coding")
+    wide, parts, out = (4, 5)[method], bits.take(4), []
+    if size % (1 << parts) or size >> parts < order:
+        raise BadStream("partitions that don't fit the block")
+    for i in range(1 << parts):
+        n, k = (size >> parts) - (order if i == 0 else 0), bits.take(wide)
+        if k == (1 << wide) - 1:
+            width = bits.take(5)
+            out += [bits.signed(width) for _ in range(n)]
+        else:
+            for _ in range(n):
+                z = bits.zeros() << k | bits.take(k)
+                out.append(z >> 1 ^ -(z & 1))
+    return out
+
+
+#: coefficients of the fixed predictors, nearest sample first
+_FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
+
+
+def _subframe(bits: _Bits, size: int, depth: int) -> list[int]:
+    if bits.take(1):
+        raise BadStream("a subframe doesn't begin with a zero")
+    kind, wasted = bits.take(6), 0
+    if bits.take(1):
+        wasted = bits.zeros() + 1
+    depth -= wasted
+    if kind == 0:
+        out = [bits.signed(depth)] * size
+    elif kind == 1:
+        out = [bits.signed(depth) for _ in range(size)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind < 32 else kind - 31
+        out, shift, weights = [bits.signed(depth) for _ in range(order)], 0, _FIXED[order] if kind < 32 else []
+        if kind >= 32:
+            precision, shift = bits.take(4) + 1, bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise BadStream("a linear predictor of an unknown kind")
+            weights = [bits.signed(precision) for _ in range(order)]
+        for e in _residuals(bits, size, order):
+            out.append(e + (sum(w * out[-1 - i] for i, w in enumerate(weights)) >> shift))
+    else:
+        raise BadStream("a subframe of an unknown kind")
+    return [x << wasted for x in out]
+
+
+def frames_of(stream: bytes, at: int, depth: int) -> Iterator[tuple[int, list[int]]]:
+    """(offset, samples) of each frame from byte at on; where a frame ends follows from its bits."""
+    while at < len(stream):
+        bits = _Bits(stream, at)
+        if bits.take(15) != 0x7FFC:
+            raise BadStream("a frame doesn't begin with the sync code")
+        bits.take(1)
+        block, rate, channels, width = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
+        bits.take(1)
+        first = bits.take(8)
+        more = 0 if first < 0x80 else 8 - (first ^ 0xFF).bit_length()
+        if more == 1 or more > 7 or any(bits.take(8) >> 6 != 2 for _ in range(max(more - 1, 0))):
+            raise BadStream("a frame's number is wrong")
+        size = {1: 192, 6: 0, 7: 0}.get(block, 576 << block - 2 if 2 <= block <= 5 else 1 << block if block >= 8 else -1)
+        size = bits.take(8 if block == 6 else 16) + 1 if block in (6, 7) else size
+        bits.take({12: 8, 13: 16, 14: 16}.get(rate, 0))
+        if size < 0 or channels or width not in (0, {8: 1, 12: 2, 16: 4}.get(depth, 0)):
+            raise BadStream("a frame of an unknown size, or that isn't mono")
+        if bits.take(8) != _checksum(stream[at : (bits.pos >> 3) - 1], _CRC8, 8):
+            raise BadStream("a frame header or its CRC-8 is wrong")
+        samples = _subframe(bits, size, depth)
+        bits.pos = -(-bits.pos // 8) * 8
+        end = bits.pos >> 3
+        if bits.take(16) != _checksum(stream[at:end], _CRC16, 16):
+            raise BadStream("a frame's CRC-16 is wrong")
+        yield at, samples
+        at = end + 2
+
+
+def sequential(stream: bytes) -> list[int]:
+    """The samples of any mono stream, every checksum verified, frame after frame."""
+    info, at = metadata(stream)
+    out = [x for _, samples in frames_of(stream, at, info["bits"]) for x in samples]
+    if info["samples"] and len(out) != info["samples"]:
+        raise BadStream("the stream hasn't the number of samples that it says")
+    width = -(-info["bits"] // 8)
+    if any(info["md5"]) and hashlib.md5(b"".join(x.to_bytes(width, "little", signed=True) for x in out)).digest() != info["md5"]:
+        raise BadStream("the MD5 of the samples is wrong")
+    return out
+
+
+def _fast(info: dict) -> bool:
+    return info["block"] == BLOCK and info["bits"] == 8 and info["samples"] > 0
+
+
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream, every checksum verified."""
+    """The payload of each 8-bit stream, every checksum verified."""
+    fast = [i for i, s in enumerate(streams) if _fast(metadata(s)[0])]
+    out: list[bytes | None] = [None] * len(streams)
+    try:
+        for i, x in zip(fast, _decode_alike([streams[i] for i in fast]), strict=True):
+            out[i] = x
+    except (BadStream, IndexError):
+        pass  # one of them is of another kind or damaged: each is read by itself, and damage shows there
+    for i, s in enumerate(streams):
+        if out[i] is None:
+            if metadata(s)[0]["bits"] != 8:
+                raise BadStream("only samples of eight bits are payloads")
+            out[i] = bytes(x + 128 for x in sequential(s))
+    return out
+
+
+def _decode_alike(streams: list[bytes]) -> list[bytes]:
+    """`decode` for streams as `encode` writes them."""
     if not streams:
         return []
     parsed = []
@@ -452,3 +608,36 @@ def read_media(media: DataFrame) -> DataFrame:
                 )
 
     return media.mapInArrow(run, FEATURES)
+
+
+BLOCKS = "doc_id long, block long, first_sample long, samples int, frame_offset long, pcm binary"
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """BLOCKS of each row of `to_media`: the decoded samples frame by frame, each with its first sample and where its frame stands in the stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in BLOCKS.split(", ")]
+        for b in batches:
+            for doc_id, stream in zip(b["doc_id"].to_pylist(), b["media"].to_pylist(), strict=True):
+                info, at = metadata(stream)
+                rows, first = [], 0
+                for i, (offset, x) in enumerate(frames_of(stream, at, info["bits"])):
+                    rows.append((doc_id, i, first, len(x), offset, np.array(x, "<i1" if info["bits"] <= 8 else "<i2").tobytes()))
+                    first += len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
+
+    return media.select("doc_id", "media").mapInArrow(run, BLOCKS)
+
+
+def block_at(stream: bytes, frame_offset: int) -> bytes:
+    """The PCM of the frame at an offset of `pcm_blocks`, read without the frames before it."""
+    bits = metadata(stream)[0]["bits"]
+    return np.array(next(frames_of(stream, frame_offset, bits))[1], "<i1" if bits <= 8 else "<i2").tobytes()
+
+
+def store(media: DataFrame) -> DataFrame:
+    """The media column written to the shared folder and read from it."""
+    path = scratch(media.sparkSession, "media")
+    media.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.parquet(path)

@@ -19,7 +19,8 @@ too; the bisection collects at most `PROBES` rows a round.
 
 Nulls and edges: a null text has no words, documents without words are kept
 once, in epoch 0; null sources form a source of their own; equal documents
-are told apart by doc_id, and rows that repeat a doc_id share their place.  An
+are told apart by doc_id, and rows that share a doc_id or have none by a key of
+doc_id and text; their places among each other follow the key.  An
 empty table gives an empty table.  Other columns of the input are not read.
 """
 
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ident
+from .common import cut, ident, row_key
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: candidates of a round, and rounds: the exponent is found to PROBES ** -ROUNDS
@@ -94,9 +95,23 @@ def plan(sources: DataFrame, alpha: float, budget: int | None) -> DataFrame:
     return p.join(F.broadcast(z)).select("key", "tokens", F.coalesce(F.col("p") / F.col("z"), F.lit(0.0)).alias("weight"), F.coalesce(F.floor(total + 0.001), F.lit(0)).cast("long").alias("budget_tokens"))
 
 
-def mix(docs: DataFrame, entropy_fraction: float = 0.97, max_epochs: float = 4.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 0) -> DataFrame:
-    """One row (OUT) for each time that a document is used."""
-    sized = cut(docs.select(ident().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key_of().alias("key"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens")))
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row (OUT) for each time that a document is used; options as of `uses`."""
+    return uses(docs, **options).select(*OUT)
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The documents themselves, with all their columns, once for each use, and its place (OUT); equal rows are used alike."""
+    placed = uses(docs, **options)
+    own = [c for c in docs.columns if c not in OUT or c in ("doc_id", "source")]
+    place = placed.groupBy(F.col("row").alias("__row_key"), "epoch").agg(*[F.min(c).alias(c) for c in OUT if c not in ("doc_id", "source", "epoch")])
+    keyed = docs.select(*own, row_key().alias("__row_key"))
+    return keyed.join(place, "__row_key").select(*own, *[c for c in OUT if c not in ("doc_id", "source")])
+
+
+def uses(docs: DataFrame, entropy_fraction: float = 0.97, max_epochs: float = 4.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 0) -> DataFrame:
+    """OUT for each time that a document is used, and row: its key."""
+    sized = cut(docs.select(row_key().alias("row"), ident().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key_of().alias("key"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens")))
     sources = cut(shares(sized))
     alpha = exponent(sources, entropy_fraction, max_epochs, budget)
     planned = plan(sources, alpha, budget).withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("budget_tokens") / F.col("tokens"))).otherwise(0))
@@ -109,9 +124,9 @@ def mix(docs: DataFrame, entropy_fraction: float = 0.97, max_epochs: float = 4.0
     group = ["key", "epoch"]
     parts = used.groupBy(*group, "part").agg(F.sum("n_tokens").alias("sum"))
     before = parts.select(*group, "part", (F.sum("sum").over(Window.partitionBy(*group).orderBy("part")) - F.col("sum")).alias("base"))
-    inner = Window.partitionBy(*group, "part").orderBy("order_key", "id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*group, "part").orderBy("order_key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = used.join(before, [*group, "part"]).withColumn("tokens_before", F.col("base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
     kept = placed.filter((F.col("epoch") < F.col("full")) | (F.col("tokens_before") < F.col("rest")) | (F.col("n_tokens") == 0))
     kept = kept.withColumn("block", F.floor(F.col("tokens_before") / block_tokens).cast("long"))
     key = F.md5(F.concat_ws(":", "key", F.col("epoch").cast("string"), F.col("block").cast("string"), F.lit(str(seed))))
-    return kept.withColumns({"block_key": key, "alpha": F.lit(alpha)}).select(*OUT)
+    return kept.withColumns({"block_key": key, "alpha": F.lit(alpha)}).select(*OUT, "row")

@@ -82,10 +82,10 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the word offsets of the documents."""
+def word_spans(buf: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the word offsets of the documents; gaps tells of each byte whether it stands between words."""
     n = len(buf)
-    ink = ~SPACE[buf]
+    ink = ~gaps[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     before = np.empty(n, bool)

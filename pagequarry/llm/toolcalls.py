@@ -2,26 +2,35 @@
 
 `link` hash-joins calls (conv_id, seq, call_id, name, arguments, after) with
 results (conv_id, seq, call_id, content) by conversation and identifier.  A
-call's `after` lists the calls whose results it needs.  Calls keep the order of
-the conversation where that is a topological one; a call that comes before one
-it needs moves behind it, round by round until none has to.  Calls on a cycle,
-and no others, are marked as cyclic; what they need of their own cycle doesn't
-move them, and a call behind a cycle moves behind the call it needs.  Rounds are
-as many as the longest chain of backward references has links; the paths within
-cycles may be as many as the square of the calls on them.  Arguments are parsed as JSON and held against the
-tool's schema (tool, field, type, required).  Each call becomes one line of
-canonical JSON: keys sorted, no spaces.
+call's `after` lists the calls whose results it needs.  A call's position is its
+seq, or one more than the last position of what it needs, whichever is larger,
+so calls keep the order of the conversation where that is a topological one,
+and sorting by (position, seq) always is.  Calls on a cycle, and no others, are
+marked as cyclic; what they need of their own cycle doesn't move them, and a
+call behind a cycle comes behind the call it needs.  Arguments are parsed as
+JSON and held against the tool's schema (tool, field, type, required).  Each
+call becomes one line of canonical JSON: keys sorted, no spaces.
+
+A call that waits for one other call has the position max(a, b + that call's).
+Such functions compose, so whole chains are followed by pointer doubling, in a
+number of rounds that is the logarithm of their length; a call that waits for
+several has to see all but one of them placed first.  Calls that never get a
+position lie on cycles or behind them; the same in the other direction leaves
+those between cycles, of which the paths are followed to tell who comes back to
+itself.
 
 Rows stay rows all through: no conversation is gathered, so one that holds a
 third of the table is as well spread as the rest, except for its join key,
 which is conversation and call identifier together.
 
 Nulls and edges: calls without an identifier have no results; of several calls
-with one identifier the first counts and the others are marked as repeated; of
-several results the first is taken and their number told.  Arguments that are
-no JSON object are invalid and serialised as a string.  A tool without a schema
-is unknown and its calls are invalid.  Results without a call are returned by
-`orphans`.  Empty tables give empty tables.
+with one identifier, equal rows among them, the first by seq counts and the
+others are marked as repeated; of several results the first is taken and their
+number told.  A null seq sorts first.  Arguments that are no JSON object are
+invalid and serialised as a string; texts of any length are read whole.  A tool
+without a schema is unknown and its calls are invalid.  Results without a call
+are returned by `orphans`.  Columns besides those named are not read, so they
+may have any names.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -29,80 +38,113 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 KEY = ["conv_id", "call_id"]
 
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations: each user turn calls the tool `reply`, the assistant's next turn is its result, and a call needs the one before it."""
+    """Calls and results of plain conversations: each user turn calls the tool `reply`, and the assistant's next turn is its result.
+
+    A call needs the user's turn before it, or, as a question that the next one makes clear, the turn after it where the
+    number of its characters is divisible by three.
+    """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
 
     def name(turn):
         return F.concat_ws("_", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
 
     args = F.to_json(F.struct(F.col("turn"), F.col("text")), {"ignoreNullFields": "false"})
-    user = rows.filter("role = 'user'")
-    calls = user.select("conv_id", F.col("turn").alias("seq"), name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), args.alias("arguments"), F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"))
+    ahead = F.coalesce(F.length("text") % 3 == 0, F.lit(False))
+    after = F.when(ahead, F.array(name(F.col("turn") + 2))).when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    calls = rows.filter("role = 'user'").select("conv_id", F.col("turn").alias("seq"), name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), args.alias("arguments"), after.alias("after"))
     results = rows.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("seq"), name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """As `cut`, without the estimated size: joins multiply it, so over the rounds its digits would double each time and planning with them."""
-    kept = cut(df)
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+def placed(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(conv_id, call_id, position) of the calls of starts (conv_id, call_id, position) from which no edge (conv_id, call_id, need) leads to a cycle.
+
+    A call's position is at least its start and more than that of each call it needs.
+    """
+    waiting, own = stored(edges), starts
+    out = stored(starts.join(edges.select(*KEY).distinct(), KEY, "left_anti"))
+    fresh = out
+    while True:
+        # what is needed of the calls placed last is known now
+        told = waiting.join(fresh.select("conv_id", F.col("call_id").alias("need"), (F.col("position") + 1).alias("least")), ["conv_id", "need"], "left")
+        told = stored(told)
+        raised = told.filter("least IS NOT NULL").groupBy(*KEY).agg(F.max("least").alias("least"))
+        own = stored(own.join(raised, KEY, "left").select(*KEY, F.greatest("position", "least").alias("position")))
+        before = waiting.count()
+        waiting = stored(told.filter("least IS NULL").select(*KEY, "need"))
+        open_ = waiting.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("need").alias("need"))
+        ready = own.join(told.select(*KEY).distinct(), KEY, "left_semi").join(open_.select(*KEY), KEY, "left_anti")
+        # a call that waits for one other: max(a, b + that one's position)
+        lone = open_.filter("n = 1").drop("n").join(own, KEY).select(*KEY, "need", F.col("position").alias("a"), F.lit(1).cast("long").alias("b"))
+        lone = stored(lone)
+        rounds = lone.count().bit_length()
+        for _ in range(rounds):
+            on = lone.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("far"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+            joined = lone.join(on, ["conv_id", "need"], "left")
+            hop = joined.select(*KEY, F.coalesce("far", "need").alias("need"), F.greatest("a", F.col("a2") + F.col("b")).alias("a"), (F.col("b") + F.coalesce("b2", F.lit(0))).alias("b"), F.col("far").isNotNull().alias("moved"))
+            hop = stored(hop)
+            lone = hop.drop("moved")
+            if hop.filter("moved").isEmpty():
+                break
+        ends = ready.select("conv_id", F.col("call_id").alias("need"), "position")
+        behind = lone.join(ends, ["conv_id", "need"]).select(*KEY, F.greatest("a", F.col("b") + F.col("position")).alias("position"))
+        fresh = stored(ready.union(behind))
+        out = stored(out.union(fresh))
+        # the edges to calls just placed are settled in the next round
+        waiting = stored(waiting.join(fresh.select(*KEY), KEY, "left_anti"))
+        if fresh.isEmpty() and waiting.count() == before:
+            return out
+        if waiting.isEmpty():
+            return out
 
 
 def within_cycles(edges: DataFrame) -> DataFrame:
-    """Those of the edges (conv_id, call_id, need) that lie on a cycle: calls that need none or that none needs are peeled off, and what is left is held against its own paths, which double in length each round."""
-    left, n = edges, edges.count()
-    while n:
-        needing = left.select("conv_id", F.col("call_id").alias("need")).distinct()
-        needed = left.select("conv_id", F.col("need").alias("call_id")).distinct()
-        left = _settled(left.join(needing, ["conv_id", "need"], "left_semi").join(needed, KEY, "left_semi").select(*KEY, "need"))
-        before, n = n, left.count()
-        if n == before:
-            break
-    paths, before = left, 0
-    while n > before:
+    """Those of the edges (conv_id, call_id, need) that lie on a cycle."""
+    calls = edges.select(*KEY).union(edges.select("conv_id", "need")).distinct().withColumn("position", F.lit(0).cast("long"))
+    left = stored(edges)
+    back = left.select("conv_id", F.col("need").alias("call_id"), F.col("call_id").alias("need"))
+    for way in (left, back):
+        free = placed(way, calls).select(*KEY)
+        left = left.join(free, KEY, "left_anti").join(free.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti").select(*KEY, "need")
+    left = stored(left)
+    # what is left lies on cycles or between them: few calls, whose paths double in length each round
+    paths, n = left, left.count()
+    while True:
         further = paths.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("far"))
-        paths = _settled(paths.union(paths.join(further, ["conv_id", "need"]).select(*KEY, F.col("far").alias("need"))).distinct())
+        paths = stored(paths.union(paths.join(further, ["conv_id", "need"]).select(*KEY, F.col("far").alias("need"))).distinct())
         before, n = n, paths.count()
-    back = paths.select("conv_id", F.col("need").alias("call_id"), F.col("call_id").alias("need"))
-    return left.join(back, [*KEY, "need"], "left_semi")
+        if n == before:
+            break
+    home = paths.select("conv_id", F.col("need").alias("call_id"), F.col("call_id").alias("need"))
+    return left.join(home, [*KEY, "need"], "left_semi")
 
 
 def positions(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, position, missing, cyclic): position sorts each call behind those it needs, but for those of its own cycle; missing counts needed calls that don't exist."""
-    own = cut(calls.select(*KEY, F.col("seq").alias("position")))
+    """(conv_id, call_id, position, missing, cyclic) of calls whose identifiers differ; missing counts needed calls that don't exist."""
+    own = stored(calls.select(*KEY, F.col("seq").cast("long").alias("position")))
     edges = calls.select(*KEY, F.explode("after").alias("need")).distinct()
     exists = own.select("conv_id", F.col("call_id").alias("need"), F.col("position").alias("need_position"))
-    met = cut(edges.join(exists, ["conv_id", "need"], "left"))
+    met = stored(edges.join(own, KEY).join(exists, ["conv_id", "need"], "left"))
     missing = met.filter("need_position IS NULL").groupBy(*KEY).agg(F.count("*").alias("missing"))
-    cyclic = met.filter("need = call_id").select(*KEY, F.lit(True).alias("cyclic"))
-    live = met.filter("need_position IS NOT NULL AND need <> call_id").select(*KEY, "need")
-
-    def late(now: DataFrame) -> DataFrame:
-        needed = now.select("conv_id", F.col("call_id").alias("need"), F.col("position").alias("need_position"))
-        return cut(live.join(now, KEY).join(needed, ["conv_id", "need"]).filter("need_position >= position").groupBy(*KEY).agg(F.min("position").alias("position"), (F.max("need_position") + 1).alias("moved")))
-
-    now, moved = own, late(own)
-    if not moved.isEmpty():
+    live = met.filter("need_position IS NOT NULL AND need <> call_id")
+    cyclic = met.filter("need = call_id").select(*KEY)
+    late = live.filter("need_position >= position")
+    now = own
+    if not late.isEmpty():
         # a cycle lies between the first call that comes too early and the last that such a call needs
-        span = moved.groupBy("conv_id").agg(F.min("position").alias("lo"), (F.max("moved") - 1).alias("hi"))
-        near = met.filter("need_position IS NOT NULL AND need <> call_id").join(own, KEY).join(span, "conv_id").filter("position BETWEEN lo AND hi AND need_position BETWEEN lo AND hi")
-        ring = cut(within_cycles(cut(near.select(*KEY, "need"))))
-        if not ring.isEmpty():
-            cyclic = cyclic.union(ring.select(*KEY, F.lit(True).alias("cyclic"))).distinct()
-            live = cut(live.join(ring, [*KEY, "need"], "left_anti"))
-            moved = late(now)
-    while not moved.isEmpty():
-        now = _settled(now.join(moved.select(*KEY, "moved"), KEY, "left").select(*KEY, F.coalesce("moved", "position").alias("position")))
-        moved = late(now)
+        span = late.groupBy("conv_id").agg(F.min("position").alias("lo"), F.max("need_position").alias("hi"))
+        near = live.join(span, "conv_id").filter("position BETWEEN lo AND hi AND need_position BETWEEN lo AND hi")
+        ring = stored(within_cycles(near.select(*KEY, "need")))
+        cyclic = cyclic.union(ring.select(*KEY))
+        now = placed(live.select(*KEY, "need").join(ring, [*KEY, "need"], "left_anti"), own)
     out = now.join(missing, KEY, "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long"))
-    return out.join(cyclic, KEY, "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+    return out.join(cyclic.distinct().withColumn("cyclic", F.lit(True)), KEY, "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -128,12 +170,15 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each call: conv_id, call_id, seq, position, name, valid, n_results, missing, cyclic, repeated, json."""
-    first = calls.groupBy(F.col("conv_id").alias("k1"), F.col("call_id").alias("k2")).agg(F.min("seq").alias("first_seq"))
-    firsts = calls.join(first, F.col("conv_id").eqNullSafe(F.col("k1")) & F.col("call_id").eqNullSafe(F.col("k2"))).select(*calls.columns, (F.col("seq") != F.col("first_seq")).alias("repeated"))
-    firsts = cut(firsts)
+    rows = stored(calls.select("conv_id", "seq", "call_id", "name", "arguments", "after").withColumn("rid", F.monotonically_increasing_id()))
+    first = rows.filter("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("k1"), F.col("call_id").alias("k2")).agg(F.min(F.struct("seq", "rid")).alias("first"))
+    same = F.col("conv_id").eqNullSafe(F.col("k1")) & (F.col("call_id") == F.col("k2"))
+    firsts = cut(rows.join(first, same, "left").select(*rows.columns, F.coalesce(F.col("rid") != F.col("first.rid"), F.lit(False)).alias("repeated")))
     got = results.groupBy(*KEY).agg(F.min(F.struct("seq", "content")).alias("r"), F.count("*").alias("n_results"))
-    order = positions(firsts.filter("NOT repeated AND call_id IS NOT NULL").select(*KEY, "seq", "after"))
-    rows = validate(firsts, schemas).join(got, KEY, "left").join(order, KEY, "left")
+    # a call without a conversation or a seq has nothing to be ordered by
+    order = positions(firsts.filter("NOT repeated AND call_id IS NOT NULL AND conv_id IS NOT NULL AND seq IS NOT NULL").select(*KEY, "seq", "after"))
+    order = order.withColumn("repeated", F.lit(False))
+    rows = validate(firsts, schemas).join(got, KEY, "left").join(order, [*KEY, "repeated"], "left")
     body = F.concat(
         F.lit('{"arguments":'), F.when(F.col("args").isNotNull(), F.to_json("args")).otherwise(_quote("arguments")),
         F.lit(',"id":'), _quote("call_id"), F.lit(',"name":'), _quote("name"), F.lit(',"result":'), _quote("r.content"), F.lit("}"),

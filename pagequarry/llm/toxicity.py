@@ -68,7 +68,7 @@ def edits_for(term: str) -> int:
 
 
 class LexiconAutomaton:
-    """Terms within their edits, and stems, as one automaton over letters; the first letter is never edited."""
+    """Terms within their edits, and stems, as one automaton over letters."""
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.terms = terms + stems
@@ -84,8 +84,9 @@ class LexiconAutomaton:
                     self.children[node][ch] = len(self.children)
                     for column, value in ((self.children, {}), (self.ends, -1), (self.stem_at, -1), (self.limit, 0)):
                         column.append(value)
-                node = self.children[node][ch]
                 self.limit[node] = max(self.limit[node], allowed)
+                node = self.children[node][ch]
+            self.limit[node] = max(self.limit[node], allowed)
             if stem:
                 self.stem_at[node] = i
             else:
@@ -96,7 +97,7 @@ class LexiconAutomaton:
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.moves: list[dict[str, int]] = []
-        self.state(((0, 0),))
+        self._close({}, [(0, 0)])
 
     def state(self, items: tuple) -> int:
         if items not in self.states:
@@ -105,33 +106,24 @@ class LexiconAutomaton:
             self.moves.append({})
         return self.states[items]
 
-    def _step(self, at: int, ch: str) -> int:
-        """The state after one more letter: kept letters, substitutions, letters too many, then letters left out; -1 if no term is near."""
-        best: dict[int, int] = {}
-        todo: list[tuple[int, int]] = []
-
-        def put(node: int, edits: int) -> None:
+    def _close(self, best: dict[int, int], todo: list[tuple[int, int]]) -> int:
+        """The state of these nodes, each with its least edits, and of those that letters left out lead to; -1 if there are none."""
+        while todo:
+            node, edits = todo.pop()
             if edits <= self.limit[node] and best.get(node, 9) > edits:
                 best[node] = edits
-                todo.append((node, edits))
+                todo += [(other, edits + 1) for other in self.children[node].values()]
+        return self.state(tuple(sorted(best.items()))) if best else -1
 
+    def _step(self, at: int, ch: str) -> int:
+        """The state after one more letter: kept letters, substitutions, letters too many, then letters left out."""
+        todo: list[tuple[int, int]] = []
         for node, edits in self.sets[at]:
-            if node in self.children[node].values():
-                continue
-            child = self.children[node].get(ch)
-            if child is not None:
-                put(child, edits)
-            if node:
-                if edits < self.limit[node]:
-                    put(node, edits + 1)
-                    for other in self.children[node].values():
-                        put(other, edits + 1)
-        while todo:
-            node, edits = todo.pop()
-            if best[node] == edits and edits < self.limit[node]:
-                for other in self.children[node].values():
-                    put(other, edits + 1)
-        return self.state(tuple(sorted(best.items()))) if best else -1
+            if ch in self.children[node]:
+                todo.append((self.children[node][ch], edits))
+            todo.append((node, edits + 1))
+            todo += [(other, edits + 1) for other in self.children[node].values()]
+        return self._close({}, sorted(todo, key=lambda x: -x[1]))
 
     def match(self, token: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term, or of the longest stem that begins the token."""
@@ -155,8 +147,14 @@ class LexiconAutomaton:
         return (stem, 0) if stem >= 0 else None
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, every letter at its own place: the few whose lower case is longer keep theirs."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
 def tokens_of(text: str) -> list[str]:
-    return [t if t.isalpha() else t.translate(LEET) for t in TOKEN.findall(text.lower())]
+    return [t if t.isalpha() else t.translate(LEET) for t in TOKEN.findall(lowered(text))]
 
 
 class Matcher:
@@ -169,7 +167,8 @@ class Matcher:
 
     def hits(self, text: str) -> dict[tuple[int, int, int], int]:
         """How often each (term, edits, context) stands in the text."""
-        raw = set(TOKEN.findall(text.lower()))
+        low = lowered(text)
+        raw = set(TOKEN.findall(low))
         if len(self.known) > CACHE:
             self.known.clear()
             self.found.clear()
@@ -181,7 +180,7 @@ class Matcher:
         there = raw & self.found.keys()
         if not there:
             return {}
-        spans = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text.lower())]
+        spans = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(low)]
         out: Counter = Counter()
         for i, (t, lo, hi) in enumerate(spans):
             if t in there:
@@ -315,3 +314,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(scores), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(hits, pa.int32()), pa.array(quoted, pa.int32())], [x.split()[0] for x in SCORES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 1).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text scores less than THRESHOLD, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        matcher = Matcher(m.terms, m.stems)
+        for b in batches:
+            yield b.filter(pa.array([m.score(matcher.hits(x.as_py() or "")) < THRESHOLD for x in b["text"].cast(pa.string())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

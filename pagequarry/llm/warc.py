@@ -8,14 +8,21 @@ each record by its Content-Length, and verifies its digests.
 Payloads that occur more than once are stored once: the record with the
 largest page_id is the response, the others are revisit records that refer to
 it.  The equal payloads are found by their SHA-1 and length, with a count per
-digest that is combined before the shuffle, so a payload that fills a third of
-the table costs a row per task.
+digest that is combined before the shuffle.  The digests that repeat are
+broadcast while they are at most `BROADCAST_DIGESTS`, which is counted; beyond
+that identifiers are joined with them, and payloads only with their own row's
+key, so that a payload that fills a third of the table doesn't meet in one task.
 
-Nulls: a null payload is empty, a null url is left out; rows with a null
-page_id share an identifier that sorts last (`common.NO_ID`) and is read back
+The reader takes archives of other writers too: digests are verified where they
+are given, record types and identifiers may be any, and headers may be in any
+case; what breaks the framing raises `BadArchive`.
+
+Nulls and edges: a null payload is empty, a null url is left out.  Rows with a
+null page_id are written as responses and never referred to; they are read back
 as null.  Rows repeated with the same page_id and payload are all written; all
-of them are responses where that page_id is the largest.  An empty table gives
-an empty table.
+of them are responses where that page_id is the largest.  Payloads of any length
+are one record each.  Columns besides page_id, url and payload are not read,
+whatever their names.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,9 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ident, shared_dir
+from .common import NO_ID, cut, ident, row_key, scratch
 
 ARCHIVE_BYTES = 4_000_000
+BROADCAST_DIGESTS = 200_000
+#: the date of records whose capture nobody has dated
+UNDATED = "1970-01-01T00:00:00Z"
 #: zlib's level, and gzip framing for its window bits
 LEVEL, GZIP = 1, 31
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,7 +54,7 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str = UNDATED) -> bytes:
     """One WARC/1.1 record, not compressed.
 
     A revisit has the HTTP header alone as its block; its full payload's length and digest stay in the headers.
@@ -52,7 +62,7 @@ def record_bytes(page_id: int, url: str | None, payload: bytes, refers_to: int |
     digest = sha1_base32(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
@@ -98,41 +108,76 @@ def records(archive: bytes) -> Iterator[Record]:
     """The archive's records in order, framed by Content-Length, their block digests verified."""
     for data, used in members(archive):
         head, sep, rest = data.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
+        lines = head.decode("utf-8", "replace").split("\r\n")
         if not sep or not lines[0].startswith("WARC/1."):
             raise BadArchive("a record doesn't start with a WARC version and headers")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        length = int(headers["Content-Length"])
+        headers = headers_of(lines[1:])
+        if not headers.get("content-length", "").isdigit():
+            raise BadArchive("a record has no Content-Length")
+        length = int(headers["content-length"])
         if rest[length:] != b"\r\n\r\n":
             raise BadArchive("a record's block doesn't have the length of its Content-Length")
         block = rest[:length]
-        if headers["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
-            raise BadArchive("a block doesn't have the digest of its header")
+        verify(headers.get("warc-block-digest"), block, "a block doesn't have the digest of its header")
         yield Record(headers, block, used)
 
 
+def headers_of(lines: list[str]) -> dict[str, str]:
+    """Header lines by their names in lower case; a line that begins with a space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for x in lines:
+        if x[:1] in (" ", "\t") and name:
+            out[name] += " " + x.strip()
+        elif ":" in x:
+            name, _, value = x.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def verify(digest: str | None, data: bytes, what: str) -> None:
+    """Compares a digest, if it is given and of SHA-1 (base32 or hexadecimal), with the data."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() == "sha1" and value.upper() not in (sha1_base32(data), hashlib.sha1(data).hexdigest().upper()):
+        raise BadArchive(what)
+
+
 def _page(urn: str | None) -> int | None:
-    return None if urn is None else int(urn[len("<urn:page:") : -1])
+    """The page of an identifier of ours; other writers' records have none."""
+    inner = (urn or "").strip("<>").removeprefix("urn:page:")
+    return int(inner) if inner.lstrip("-").isdigit() and inner != str(NO_ID) else None
 
 
 def parse(record: Record) -> tuple:
     """A row of RECORDS; a response's payload is verified against its digest."""
-    h = record.headers
-    http, _, payload = record.block.partition(b"\r\n\r\n")
-    size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
-    digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
-    if kind == "response" and (len(payload) != size or sha1_base32(payload) != digest):
-        raise BadArchive("a payload doesn't have the length and digest of its headers")
-    page_id = _page(h["WARC-Record-ID"])
-    return (None if page_id == NO_ID else page_id, h.get("WARC-Target-URI"), kind, size, digest, _page(h.get("WARC-Refers-To")), payload if kind == "response" else None, record.member_bytes)
+    h, kind = record.headers, record.headers.get("warc-type", "")
+    payload, size = record.block, len(record.block)
+    if kind in ("response", "revisit") and record.block.startswith(b"HTTP/"):
+        head, _, payload = record.block.partition(b"\r\n\r\n")
+        said = headers_of(head.decode("utf-8", "replace").split("\r\n")[1:]).get("content-length", "")
+        size = int(said) if said.isdigit() else len(payload)
+        if kind == "response" and len(payload) != size:
+            raise BadArchive("a payload doesn't have the length of its header")
+    given = h.get("warc-payload-digest")
+    if kind == "response":
+        verify(given, payload, "a payload doesn't have the digest of its header")
+    digest = given.partition(":")[2] if given else sha1_base32(payload)
+    return (_page(h.get("warc-record-id")), h.get("warc-target-uri"), kind, size, digest, _page(h.get("warc-refers-to")), payload if kind != "revisit" else None, record.member_bytes)
 
 
 def link_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is the page_id of the equal payload's response, null for responses."""
     rows = pages.select(ident("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("payload").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.length("payload").cast("long")})
-    last = rows.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(last, ["digest", "size"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    known = rows.filter((F.col("size") >= min_bytes) & (F.col("page_id") != NO_ID)).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    refers = F.when((F.col("page_id") < F.col("last")) & (F.col("page_id") != NO_ID), F.col("last")).alias("refers_to")
+    known = cut(known)
+    if known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        return rows.join(F.broadcast(known), ["digest", "size"], "left").select("page_id", "url", "payload", refers)
+    keyed = rows.withColumn("key", row_key("page_id", "digest"))
+    ids = keyed.select("key", "page_id", "digest", "size").join(known, ["digest", "size"]).select("key", refers).filter("refers_to IS NOT NULL").distinct()
+    return keyed.join(ids, "key", "left").select("page_id", "url", "payload", "refers_to")
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +233,3 @@ def store_and_read(pages: DataFrame, path: str, min_bytes: int = 0, payloads: bo
     """Writes the archives to a table at path and reads every record back from it."""
     write_archives(pages, min_bytes).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
     return read_archives(pages.sparkSession.read.parquet(path), payloads)
-
-
-def scratch_path(pages: DataFrame, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(pages.sparkSession)}/{name}-{uuid.uuid4().hex}"
