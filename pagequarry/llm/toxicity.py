@@ -97,6 +97,9 @@ class LexiconAutomaton:
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.moves: list[dict[str, int]] = []
+        #: of each state: the stem that begins the token so far, and the term that it is near with its edits
+        self.stems: list[int] = []
+        self.finals: list[tuple[int, int] | None] = []
         self._close({}, [(0, 0)])
 
     def state(self, items: tuple) -> int:
@@ -104,6 +107,8 @@ class LexiconAutomaton:
             self.states[items] = len(self.sets)
             self.sets.append(items)
             self.moves.append({})
+            self.stems.append(next((self.stem_at[n] for n, e in items if e == 0 and self.stem_at[n] >= 0), -1))
+            self.finals.append(min(((e, self.ends[n]) for n, e in items if self.ends[n] >= 0 and e <= edits_for(self.terms[self.ends[n]])), default=None))
         return self.states[items]
 
     def _close(self, best: dict[int, int], todo: list[tuple[int, int]]) -> int:
@@ -137,13 +142,11 @@ class LexiconAutomaton:
             if nxt < 0:
                 return (stem, 0) if stem >= 0 else None
             at = nxt
-            for node, edits in self.sets[at]:
-                if edits == 0 and self.stem_at[node] >= 0:
-                    stem = self.stem_at[node]
-        ends = [(e, self.ends[n]) for n, e in self.sets[at] if self.ends[n] >= 0 and e <= edits_for(self.terms[self.ends[n]])]
-        if ends and (min(ends)[0] == 0 or stem < 0):
-            edits, term = min(ends)
-            return term, edits
+            if self.stems[at] >= 0:
+                stem = self.stems[at]
+        final = self.finals[at]
+        if final and (final[0] == 0 or stem < 0):
+            return final[1], final[0]
         return (stem, 0) if stem >= 0 else None
 
 
@@ -188,6 +191,17 @@ class Matcher:
         return out
 
 
+#: the matcher of the last lexicon that this worker has seen; its states are worth keeping from task to task
+_LAST: list[tuple[tuple, Matcher]] = []
+
+
+def matcher_of(terms: list[str], stems: list[str]) -> Matcher:
+    key = (tuple(terms), tuple(stems))
+    if not _LAST or _LAST[0][0] != key:
+        _LAST[:] = [(key, Matcher(terms, stems))]
+    return _LAST[0][1]
+
+
 def context(text: str, window: list[str], at: int, lo: int, hi: int) -> int:
     """Whether a term at lo..hi of the text, at place `at` of its window of tokens, is quoted, aimed or neither."""
     before, after = text[max(0, lo - WINDOW_CHARS) : lo], text[hi : hi + WINDOW_CHARS]
@@ -257,7 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     found = _entries(stems.filter((F.col("n") >= 3) & (F.col("toxic") >= 20 * F.col("clean"))).select(F.col("stem").alias("token"), "toxic", "clean"), MAX_STEMS, 2 * MIN_TOXIC)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms, found)
+        matcher = matcher_of(terms, found)
         for b in batches:
             rows: dict[tuple, list[int]] = {}
             for text, label in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
@@ -274,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     model = Model(terms, found, chance, base, 1.0)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms, found)
+        matcher = matcher_of(terms, found)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([model.evidence(matcher.hits(x)) for x in b["text"].to_pylist()], pa.float64()), b["toxic"]], ["x", "toxic"])
 
@@ -303,7 +317,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        matcher = Matcher(m.terms, m.stems)
+        matcher = matcher_of(m.terms, m.stems)
         for b in batches:
             scores, hits, quoted = [], [], []
             for text in b["text"]:
@@ -322,7 +336,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        matcher = Matcher(m.terms, m.stems)
+        matcher = matcher_of(m.terms, m.stems)
         for b in batches:
             yield b.filter(pa.array([m.score(matcher.hits(x.as_py() or "")) < THRESHOLD for x in b["text"].cast(pa.string())], pa.bool_()))
 
