@@ -83,14 +83,15 @@ def placed(edges: DataFrame, starts: DataFrame) -> DataFrame:
         # a call that waits for one other: max(a, b + that one's position)
         lone = open_.filter("n = 1").drop("n").join(own, KEY).select(*KEY, "need", F.col("position").alias("a"), F.lit(1).cast("long").alias("b"))
         lone = stored(lone)
-        rounds = lone.count().bit_length()
-        for _ in range(rounds):
+        moving = None
+        while True:
             on = lone.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("far"), F.col("a").alias("a2"), F.col("b").alias("b2"))
             joined = lone.join(on, ["conv_id", "need"], "left")
             hop = joined.select(*KEY, F.coalesce("far", "need").alias("need"), F.greatest("a", F.col("a2") + F.col("b")).alias("a"), (F.col("b") + F.coalesce("b2", F.lit(0))).alias("b"), F.col("far").isNotNull().alias("moved"))
             hop = stored(hop)
-            lone = hop.drop("moved")
-            if hop.filter("moved").isEmpty():
+            lone, before_, moving = hop.drop("moved"), moving, hop.filter("moved").count()
+            # along a chain calls arrive one distance after the other: if none arrives in a round, those that move go round in cycles
+            if moving in (0, before_):
                 break
         ends = ready.select("conv_id", F.col("call_id").alias("need"), "position")
         behind = lone.join(ends, ["conv_id", "need"]).select(*KEY, F.greatest("a", F.col("b") + F.col("position")).alias("position"))
