@@ -59,7 +59,8 @@ SECOND_PERSON = frozenset("you your youre du dich dir ihr euch tu toi vous te us
 OPEN_QUOTES, CLOSE_QUOTES = "\"“„«‘", "\"”“»’"
 PLAIN, QUOTED, AIMED = 0, 1, 2
 WINDOW_TOKENS, WINDOW_CHARS = 4, 80
-CACHE = 400_000
+#: tokens and states that a worker remembers at most
+CACHE, STATES = 100_000, 25_000
 
 
 def edits_for(term: str) -> int:
@@ -132,7 +133,7 @@ class LexiconAutomaton:
 
     def match(self, token: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term, or of the longest stem that begins the token."""
-        if len(self.sets) > CACHE // 4:
+        if len(self.sets) > STATES:
             self._reset()
         at, stem = 0, -1
         for ch in token:
