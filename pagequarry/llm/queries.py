@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contextmix, decontaminate, flac, jaccard, licenses, mixing, substrings, toolcalls, toxicity, warc
+from . import contextmix, decontaminate, flac, jaccard, licenses, mixing, negatives, substrings, toolcalls, toxicity, urlgraph, warc, whitening
 from .common import fold, read, scratch
 
 
@@ -65,7 +65,28 @@ def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_media(flac.store(flac.to_media(read(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_contextmix": op2_contextmix, "op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op8_jaccard": op8_jaccard, "op9_toolcalls": op9_toolcalls, "op10_warc": op10_warc}
+#: the rules of op13: host, path, action
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor's hard negatives among all rows; of every seventh row the label is moved on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.prepared(read(spark, sf_dir, "embeddings"), label=label))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitened components."""
+    rows = read(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+def op13_urlgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by the rules, or by its host's trust and distrust."""
+    return urlgraph.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_contextmix": op2_contextmix, "op3_substrings": op3_substrings, "op4_mixing": op4_mixing, "op5_flac": op5_flac, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op8_jaccard": op8_jaccard, "op9_toolcalls": op9_toolcalls, "op10_warc": op10_warc, "op11_negatives": op11_negatives, "op12_whitening": op12_whitening, "op13_urlgraph": op13_urlgraph}
 
 _OP6 = r"""
 WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -162,4 +183,33 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM m
 """
 
-ORACLES: dict[str, str] = {"op3_substrings": _OP3, "op8_jaccard": _OP8, "op10_warc": _OP10, "op7_licenses": _OP7.replace("\\\\", "\\"), "op9_toolcalls": _OP9, "op4_mixing": _OP4.replace("\\\\", "\\"), "op6_decontaminate": _OP6.replace("\\\\", "\\")}
+_OP11 = r"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) QUALIFY rank <= 10
+"""
+
+
+def _op13() -> str:
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+    case = lambda at: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{at(h + p, a)}'" for h, p, a in rules) + " END"
+    low = lambda x: f"translate({x}, '{urlgraph.UPPER}', '{urlgraph.LOWER}')"
+    anchor = urlgraph.ANCHOR.replace("'", "''")
+    ranks = "".join(f", r{k + 1} AS MATERIALIZED (SELECT host, kind, sum(rank) AS rank FROM (SELECT s.dest AS host, kind, CAST(floor(r.rank * s.share) AS BIGINT) AS rank FROM r{k} r JOIN steps s USING (host, kind) UNION ALL SELECT host, kind, rank FROM r0) WHERE rank > 0 GROUP BY ALL)" for k in range(urlgraph.ROUNDS))
+    return f"""
+WITH a AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS MATERIALIZED (SELECT page_id, html, {low("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+j AS MATERIALIZED (SELECT *, {case(lambda rule, act: rule)} AS rule, {case(lambda rule, act: act)} AS action FROM h),
+e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{anchor}', 1), lambda x: {low(f"regexp_extract(x, '{urlgraph.FAR}', 1)")}))) AS dst FROM h) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+steps AS MATERIALIZED (SELECT src AS host, 't' AS kind, dst AS dest, {urlgraph.DAMPING} * n / sum(n) OVER (PARTITION BY src) AS share FROM e UNION ALL SELECT dst, 'd', src, {urlgraph.DAMPING} * n / sum(n) OVER (PARTITION BY dst) FROM e),
+r0 AS MATERIALIZED (SELECT host, CASE action WHEN 'allow' THEN 't' ELSE 'd' END AS kind, count(*) * {urlgraph.UNIT} AS rank FROM j WHERE action IS NOT NULL AND host <> '' GROUP BY ALL){ranks},
+bad AS (SELECT host FROM (SELECT host, coalesce(sum(rank) FILTER (kind = 't'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'd'), 0) AS d FROM r{urlgraph.ROUNDS} GROUP BY host) WHERE d > 0 AND d >= {urlgraph.BLOCK_AT} * (t + d))
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM j
+"""
+
+
+ORACLES: dict[str, str] = {"op11_negatives": _OP11, "op13_urlgraph": _op13(), "op3_substrings": _OP3, "op8_jaccard": _OP8, "op10_warc": _OP10, "op7_licenses": _OP7.replace("\\\\", "\\"), "op9_toolcalls": _OP9, "op4_mixing": _OP4.replace("\\\\", "\\"), "op6_decontaminate": _OP6.replace("\\\\", "\\")}
