@@ -77,10 +77,6 @@ def first_label(x: Column, labelled: dict[str, list[str]]) -> Column:
     return F.coalesce(*[F.when(any_phrase(x, p), F.lit(k)) for k, p in labelled.items()])
 
 
-def all_labels(x: Column, labelled: dict[str, list[str]], joint: str) -> Column:
-    return F.concat_ws(joint, *[F.when(any_phrase(x, p), F.lit(k)) for k, p in labelled.items()])
-
-
 def noise_reason(x: Column, exact: list[str], contains: list[str]) -> Column:
     """Why a label is page chrome: empty, no-letters, exact-match or banner-phrase; null if it isn't."""
     form = label_form(x)

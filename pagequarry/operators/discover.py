@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import matcher, urls
 from ..functions import text as tx
-from ..functions import urls
 from .order import keep_first, top
 
 #: the order in which kinds of pages are read
@@ -14,11 +14,10 @@ PRIORITY = ["about", "services", "contact", "pricing", "team", "testimonials", "
 
 
 def page_types(link_text: Column, url: Column, keywords: dict[str, list[str]]) -> Column:
-    """The types whose keywords stand as whole words, singular or plural, in a link's text or its address' path."""
+    """The types whose keywords stand as whole words, singular or plural, in a link's text or its address' path: one pass for all keywords."""
     path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), r"[?#].*", "")
-    hay = F.concat(F.lit(" "), tx.match_form(F.coalesce(link_text, F.lit(""))), F.lit(" "), tx.match_form(path), F.lit(" "))
-    found = [F.when(hay.rlike(" (?:" + tx.alternation(words) + ")s? "), F.lit(t)) for t, words in keywords.items()]
-    return F.array_compact(F.array(*found))
+    lists = matcher.Words({"types": keywords})
+    return lists.labels(lists.hits(F.coalesce(link_text, F.lit("")), path), "types")
 
 
 def primary_type(types: Column) -> Column:

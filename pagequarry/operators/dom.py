@@ -18,7 +18,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSED_BY = {"p": frozenset("p div ul ol li h1 h2 h3 h4 h5 h6 table section article footer header nav form blockquote".split()), "li": frozenset({"li"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "option": frozenset({"option"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"})}
+#: which open elements end where others begin, unless one of the boundaries stands between
+_TABLE, _BLOCKS = frozenset({"table"}), frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
+CLOSED_BY = {
+    "p": (_BLOCKS, frozenset({"table", "td", "th", "caption", "button", "object"})), "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "td": (frozenset({"td", "th", "tr"}), _TABLE), "th": (frozenset({"td", "th", "tr"}), _TABLE), "tr": (frozenset({"tr"}), _TABLE),
+    "option": (frozenset({"option"}), frozenset({"select"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+}
 HIDDEN = frozenset({"script", "style", "noscript", "svg", "template"})
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -80,8 +85,13 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#root", {}, None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        while self.at.parent is not None and tag in CLOSED_BY.get(self.at.tag, ()):
-            self.at = self.at.parent
+        for closed, (ends, bounds) in CLOSED_BY.items():
+            node: Node | None = self.at if tag in ends else None
+            while node is not None and node.parent is not None and node.tag not in bounds:
+                if node.tag == closed:
+                    self.at = node.parent
+                    break
+                node = node.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -122,7 +132,7 @@ def relation(schema: str) -> Callable:
         def column(html: Column) -> Column:  # the type's text needs a session to be read
             return F.pandas_udf(run, f"array<struct<{schema}>>")(html)
 
-        column.of_tree = fn
+        column.of_tree, column.schema, column.names = fn, schema, names
         return column
 
     return wrap
@@ -190,14 +200,30 @@ def headings(root: Node) -> list[tuple]:
     return [(int(n.tag[1]), n.text()) for n in root.find("h1", "h2", "h3", "h4") if n.text()]
 
 
-@relation("tag: string, text: string")
-def main_content(root: Node) -> list[tuple]:
-    """Blocks of the main content: article, main, or body without navigation and furniture."""
+@relation("text: string")
+def list_items(root: Node) -> list[tuple]:
+    return [(n.text(),) for n in root.find("li") if n.text()]
+
+
+@relation("text: string")
+def title(root: Node) -> list[tuple]:
+    """The first title with a text, or nothing."""
+    return [(n.text(),) for n in root.find("title") if n.text()][:1]
+
+
+def fallback_content(root: Node) -> list[tuple[str, str]]:
+    """(tag, text) blocks of article, main, or body, without navigation and furniture."""
     scope = root.first("main") or root.first("article") or next((n for n in root.walk() if n.attrs.get("role") == "main"), None) or root.first("body") or root
     skip = frozenset({"nav", "header", "footer"})
     return [(n.tag, n.text()) for n in scope.find("p", "li", "blockquote") if n.text() and not any(a.tag in skip or a.tag in HIDDEN for a in n.above())]
 
 
+@relation("tag: string, text: string")
+def main_content(root: Node) -> list[tuple]:
+    """Blocks of the declared main content."""
+    return fallback_content(root)
+
+
 @relation("url: string, alt: string, via: string, tier: int")
 def logos(root: Node) -> list[tuple]:
     images = [n for n in root.find("img") if n.attrs.get("src")]

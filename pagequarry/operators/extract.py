@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import matcher, urls
 from ..functions import text as tx
-from ..functions import urls
 from . import dom
 from .order import by_frequency, keep_first, top
 
@@ -150,11 +150,17 @@ def explode_relation(pages: DataFrame, udf, name: str = "html") -> DataFrame:
     return pages.select("page_id", "url", F.posexplode(udf(F.col(name))).alias("pos", "r")).select("page_id", "url", "pos", "r.*")
 
 
-def vendors(pages: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(page_id, name, domain, via): vendors (label, domain, ord) whose domain a reference contains; each vendor's first domain."""
-    refs = explode_relation(pages, dom.third_party_refs)
-    met = refs.join(F.broadcast(signatures), F.contains(F.lower("ref"), F.col("domain")))
-    return keep_first(met, ["page_id", "label"], ["ord", "pos"]).select("page_id", F.col("label").alias("name"), "domain", "via")
+def vendors_of(refs: DataFrame, keys: list[str], order: list[str], labelled: dict[str, list[str]]) -> DataFrame:
+    """(keys, name, domain, via): the vendors of which a reference (keys, order, via, ref) has a domain, each by its first; all domains are looked for in one pass."""
+    lists = matcher.Phrases({"vendors": labelled})
+    known = refs.sparkSession.createDataFrame([(i, label, lists.phrases[i]) for label, a, b in lists.ranges["vendors"] for i in range(a, b)], "at int, name string, domain string")
+    met = refs.withColumn("at", F.explode(lists.hits(F.col("ref")))).join(F.broadcast(known), "at")
+    return keep_first(met, [*keys, "name"], ["at", *order]).select(*keys, "name", "domain", "via")
+
+
+def vendors(pages: DataFrame, labelled: dict[str, list[str]]) -> DataFrame:
+    """(page_id, name, domain, via) of each page's vendors."""
+    return vendors_of(explode_relation(pages, dom.third_party_refs), ["page_id"], ["pos"], labelled)
 
 
 def sitemap_pages(roots: DataFrame, bodies: DataFrame, k: int = 3) -> DataFrame:

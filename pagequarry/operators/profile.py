@@ -82,16 +82,13 @@ def industry_of(pages: DataFrame, offers: DataFrame, keys: list[str]) -> DataFra
     return found.select(*keys, F.coalesce("a", "b", "c", "d").alias("industry"))
 
 
-def company_role(pages: DataFrame, keys: list[str], roles: dict[str, list[str]], audiences: dict[str, list[str]]) -> DataFrame:
-    """(keys, role): what the structured type says, else the first role that a page states, with its audiences before it, else what a shop system shows."""
-    kind = first_stated(pages, keys, "json_type", "t")
-    typed = F.coalesce(*[F.when(F.col("t").rlike(p), F.lit(label)) for label, p in ROLE_TYPES])
-    text = F.col("text")
-    said = evidence(pages, keys, {k: tx.any_phrase(text, p) for k, p in roles.items()}).withColumnRenamed("labels", "r")
-    to = evidence(pages, keys, {k: tx.any_phrase(text, p) for k, p in audiences.items()}).withColumnRenamed("labels", "a")
-    shop = pages.groupBy(*keys).agg(F.bool_or(_flag(F.col("vendor").isin(SHOPS))).alias("shop"))
-    spoken = F.when(F.size("r") > 0, F.concat_ws(" ", F.nullif(F.array_join("a", " and "), F.lit("")), F.get("r", 0)))
-    return kind.join(said, keys).join(to, keys).join(shop, keys).select(*keys, F.coalesce(typed, spoken, F.when(F.col("shop"), "Retailer")).alias("role"))
+def company_role(rows: DataFrame, kinds: DataFrame, keys: list[str], roles: dict[str, list[str]], audiences: dict[str, list[str]]) -> DataFrame:
+    """(keys, role): what the type of the owner's node says (keys, typed), else the first role that any text states, with its audiences before it, else what a shop system shows; rows have (keys, text, vendor)."""
+    flags = {("r", k): tx.any_phrase(F.col("text"), p) for k, p in roles.items()} | {("a", k): tx.any_phrase(F.col("text"), p) for k, p in audiences.items()} | {("s", "shop"): F.col("vendor").isin(SHOPS)}
+    seen = rows.groupBy(*keys).agg(*[F.bool_or(_flag(f)).alias(f"f{i}") for i, f in enumerate(flags.values())])
+    named = lambda kind: F.array_compact(F.array(*[F.when(F.col(f"f{i}"), F.lit(k)) for i, (g, k) in enumerate(flags) if g == kind]))
+    spoken = F.when(F.size(named("r")) > 0, F.concat_ws(" ", F.nullif(F.array_join(named("a"), " and "), F.lit("")), F.get(named("r"), 0)))
+    return seen.join(kinds, keys, "left").select(*keys, F.coalesce("typed", spoken, F.when(F.size(named("s")) > 0, "Retailer")).alias("role"))
 
 
 def legal_entity(pages: DataFrame, keys: list[str], suffixes: list[str]) -> DataFrame:

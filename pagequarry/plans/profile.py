@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dictionaries as di
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import discover, dom, drafts, extract, order, profile, registry, resolve
+from ..operators import discover, dom, drafts, extract, order, profile, registry, resolve, structured
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,10 +142,14 @@ def q_labels(flags: dict[str, str]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN bool_or(coalesce({c}, false)) THEN {q(k)} END" for k, c in flags.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"""WITH {P}, {CLEAN}, r AS (SELECT site, arg_min(json_type, ord) FILTER (WHERE json_type IS NOT NULL) AS t, {q_labels({k: q_any('text', v) for k, v in di.ROLES.items()})} AS rs, {q_labels({k: q_any('text', v) for k, v in di.AUDIENCES.items()})} AS au, bool_or(coalesce(vendor IN ('Shopify', 'Square', 'Toast', 'Etsy'), false)) AS shop FROM c GROUP BY site)
-SELECT site, coalesce({', '.join(f"CASE WHEN regexp_matches(t, {q(x)}) THEN {q(label)} END" for label, x in profile.ROLE_TYPES)}, CASE WHEN len(rs) > 0 THEN concat_ws(' ', nullif(array_to_string(au, ' and '), ''), rs[1]) END, CASE WHEN shop THEN 'Retailer' END) AS role FROM r""")
+@query(f"""WITH {P}, {CLEAN}, k AS (SELECT site, arg_min(json_type, (rank, ord)) AS t FROM (SELECT site, ord, json_type, CASE WHEN json_type = 'LocalBusiness' THEN 0 WHEN json_type IN ('AutoRepairStore', 'AccountingService') THEN 1 END AS rank FROM c) WHERE rank IS NOT NULL GROUP BY site),
+r AS (SELECT site, {q_labels({k: q_any('text', v) for k, v in di.ROLES.items()})} AS rs, {q_labels({k: q_any('text', v) for k, v in di.AUDIENCES.items()})} AS au, bool_or(coalesce(vendor IN ('Shopify', 'Square', 'Toast', 'Etsy'), false)) AS shop FROM c GROUP BY site)
+SELECT site, coalesce({', '.join(f"CASE WHEN regexp_matches(t, {q(x)}) THEN {q(label)} END" for label, x in profile.ROLE_TYPES)}, CASE WHEN len(rs) > 0 THEN concat_ws(' ', nullif(array_to_string(au, ' and '), ''), rs[1]) END, CASE WHEN shop THEN 'Retailer' END) AS role FROM r LEFT JOIN k USING (site)""")
 def company_roles(spark, sf):
-    return profile.company_role(pages(spark, sf), K, di.ROLES, di.AUDIENCES)
+    p = pages(spark, sf)
+    nodes = p.filter("json_type IS NOT NULL").select("site", "ord", F.lit(0).alias("pos"), F.array("json_type").alias("types"), F.to_json(F.create_map(F.lit("@type"), F.col("json_type"))).alias("node"))
+    kinds = structured.organizations(nodes, K).select("site", structured.role_of(F.col("types")).alias("typed"))
+    return profile.company_role(p, kinds, K, di.ROLES, di.AUDIENCES)
 
 
 _TIERED = "SELECT *, row_number() OVER (PARTITION BY site ORDER BY tier, ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY site, same ORDER BY tier, ord) AS nth FROM ({}) z QUALIFY nth = 1) y"

@@ -303,7 +303,7 @@ def social_links(spark, sf):
 @query("SELECT s_suppkey AS page_id, 'Stripe' AS name, 'stripe.com' AS domain, 'script' AS via FROM supplier UNION ALL SELECT s_suppkey, 'Intercom', 'intercom.io', 'inline' FROM supplier")
 def vendor_partners(spark, sf):
     html = F.lit('<script src="https://js.stripe.com/v3"></script><script>load("https://widget.intercom.io/w")</script><p>paypal.com in text</p>')
-    return extract.vendors(_markup(spark, sf, "supplier", "s_suppkey", html), domains(spark, di.VENDORS))
+    return extract.vendors(_markup(spark, sf, "supplier", "s_suppkey", html), di.VENDORS)
 
 
 @query("SELECT n_nationkey AS page_id, n_name || ' Smith' AS name, 'Founder' AS title, 'Female' AS gender FROM nation")

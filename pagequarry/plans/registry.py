@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import profile, reference
+from . import profile, reference, sites
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**reference.QUERIES, **profile.QUERIES}
+    return {**reference.QUERIES, **profile.QUERIES, **sites.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**reference.ORACLES, **profile.ORACLES}
+    return {**reference.ORACLES, **profile.ORACLES, **sites.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
+
+from .store import Store
 
 EVENT = "type string, scan_id string, seq long, stage string, message string, completed int, total int, current_url string, url string, reason string, kind string, ts timestamp"
 
@@ -25,22 +27,13 @@ def store(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "
 
 
 def swap(df: DataFrame, path: str) -> int:
-    """Puts a table in the place of the old one, as the next version below the path; a job that is lost midway leaves the old one in force."""
-    spark, version = df.sparkSession, 1
-    try:
-        version += int(spark.read.parquet(path).agg(F.max("version")).first()[0] or 0)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    df.write.parquet(f"{path}/version={version}")
-    return version
+    """Puts a table in the place of the old one; a job that is lost midway leaves the old one in force, and the next one goes on from it."""
+    return Store(df.sparkSession, path, df.schema.toDDL()).replace(df)
 
 
-def latest(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The version in force of a table written by `swap`; an empty one where there is none."""
-    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    rows = store(spark, path, StructType([*fields, StructField("version", IntegerType())]))
-    return rows.filter(F.col("version") == F.lit(rows.agg(F.max("version")).first()[0])).drop("version")
+def latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table in force of those written by `swap`; an empty one where there is none."""
+    return Store(spark, path, schema).read()
 
 
 def event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
