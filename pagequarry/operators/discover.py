@@ -20,6 +20,13 @@ def page_types(link_text: Column, url: Column, keywords: dict[str, list[str]]) -
     return lists.labels(lists.hits(F.coalesce(link_text, F.lit("")), path), "types")
 
 
+def navigation(rows: DataFrame, keys: list[str], url: str = "url") -> DataFrame:
+    """(keys, region, pos, target, text, via) of a page's navigation links (region, pos, href, text): absolute ones of the page's own site, region by region, repeats kept."""
+    target = urls.resolve(F.col("href"), F.col(url))
+    own = rows.withColumn("target", target).filter(F.col("target").isNotNull() & urls.same_site(F.col("target"), F.col(url)))
+    return own.select(*keys, "region", "pos", "target", tx.collapse(F.col("text")).alias("text"), F.when(F.col("region") < 5, "nav-link").otherwise("footer-link").alias("via"))
+
+
 def primary_type(types: Column) -> Column:
     """The first type that says something, else the first, else unknown."""
     return F.coalesce(F.get(F.filter(types, lambda t: ~t.isin("unknown", "homepage")), 0), F.get(types, 0), F.lit("unknown"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import top
+from ..functions import text as tx
 from .registry import MOCK, Field, frame, prune, resolve_text
 
 # Messages by reason, sections, and instructions of the four prompts.
@@ -73,13 +74,16 @@ def message(label: Column, reason: Column) -> Column:
 def draft_to_final(drafts: DataFrame, review: DataFrame, fields: list[Field], keys: list[str]) -> DataFrame:
     """The drafts' columns as they are saved, with ok and problems (path, reason, message).
 
-    Empty entries of lists go.  Texts become what the reviewer left, or null; required ones must be there, and at least one
-    named offering.  A draft with problems isn't ok, and its texts are null.
+    Empty entries of lists go, also notes (customNotes: title, body) of which nothing is written; one with a title or a body stays.
+    Texts become what the reviewer left, or null; required ones must be there, and at least one named offering.  A draft with
+    problems isn't ok, and its texts are null.
     """
     two = [f for f in fields if f.category == 2]
     joined = review_join(drafts, review, fields, keys)
     texts = joined.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct(F.when(F.col("problem").isNull(), F.trim("value")).alias("text"), "problem")))).alias("__r"))  # one entry for each field
     out = prune(drafts, fields).join(texts, keys)
+    if "customNotes" in out.columns:
+        out = out.withColumn("customNotes", F.filter("customNotes", lambda n: tx.has_visible(n["title"]) | tx.has_visible(n["body"])))
     problems = [F.when(F.col("__r")[f.path]["problem"].isNotNull(), F.struct(F.lit(f.path).alias("path"), F.col("__r")[f.path]["problem"].alias("reason"), message(F.lit(label_of(f.path)), F.col("__r")[f.path]["problem"]).alias("message"))) for f in two if f.required]
     for f in (f for f in fields if f.required and f.kind == "objectList"):
         named = F.exists(f.path, lambda e: F.length(F.trim(F.coalesce(e["name"], F.lit("")))) > 0)
@@ -106,9 +110,11 @@ def section_problem(section: Column, action: Column) -> Column:
     return F.when(section.isNull() | ~section.isin(SECTIONS), "unknown-section").when(action.isNull() | ~action.isin("hide", "restore"), "unknown-action")
 
 
-def required_fields(spark, hidden: list[str]) -> DataFrame:
-    """(path, grp, hidden): the fields that a document must have, and whether their group is hidden."""
-    return frame(spark).filter("required").select("path", "grp", F.col("grp").isin(hidden).alias("hidden"))
+def required_fields(owners: DataFrame, hidden: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, grp, hidden): the fields that each owner's document must have, and whether the owner hides their group (keys, section)."""
+    fields = F.broadcast(frame(owners.sparkSession).filter("required").select("path", "grp"))  # some five fields
+    marked = hidden.select(*keys, F.col("section").alias("grp"), F.lit(True).alias("hidden")).distinct()
+    return owners.select(*keys).join(fields).join(marked, [*keys, "grp"], "left").select(*keys, "path", "grp", F.coalesce("hidden", F.lit(False)).alias("hidden"))
 
 
 def with_versions(current: DataFrame, sections: DataFrame, versions: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from .dom import HIDDEN, Node, fallback_content, relation
 #: characters of text that content has at least
 ENOUGH = 120
 # Names of furniture, names that speak for content, and what tags and names are worth.
-FURNITURE = re.compile(r"banner|breadcrumb|comment|community|cookie|disqus|footer|gdpr|header|legends|menu|nav|pager|pagination|popup|related|remark|replies|rss|shoutbox|sidebar|skyscraper|social|sponsor|supplemental|widget", re.I)
+FURNITURE = re.compile(r"(?:^|[\s_-])ads?(?:$|[\s_-])|advert|banner|breadcrumb|comment|community|cookie|disqus|footer|gdpr|header|legends|menu|nav|pager|pagination|popup|related|remark|replies|rss|shoutbox|sidebar|skyscraper|social|sponsor|supplemental|widget", re.I)
 CONTENT = re.compile(r"article|body|column|content|main|shadow|story", re.I)
 PRAISED = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 BLAMED = re.compile(r"hidden|banner|combx|comment|contact|foot|masthead|media|meta|outbrain|promo|related|scroll|share|sidebar|skyscraper|sponsor|shopping|tags|widget", re.I)
@@ -98,9 +98,11 @@ def content(root: Node) -> tuple[list[tuple[str, str]], bool]:
         most, best = max(scored, key=lambda x: x[0])
         by, least = {id(n): s for s, n in scored}, max(10.0, 0.2 * most)
         parts = [n for n in (best.parent.children if best.parent else [best]) if isinstance(n, Node) and (n is best or not (strict and _furniture(n)) and n.tag not in HIDDEN and _joins(n, best, by, least))]
-        if sum(len(n.text()) for n in parts) >= ENOUGH:
+        if sum(len(" ".join(n.raw().split())) for p in parts for n in _visible(p, strict)) >= ENOUGH:
             blocks = [(n.tag, n.text()) for p in parts for n in _visible(p, strict) if (n.tag in ("p", "li", "blockquote") or n.tag in ("div", "section") and _prose(n)) and n.text()]
             return blocks or [("text", p.text()) for p in parts], True
+        if strict and (root.first("main", "article") or any(n.attrs.get("role") == "main" for n in root.walk())) and (declared := fallback_content(root)):
+            return declared, False
     return fallback_content(root), False
 
 

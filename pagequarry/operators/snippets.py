@@ -8,7 +8,7 @@ then its paragraphs, then its items.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as di
@@ -27,14 +27,15 @@ def _page_keys(rows: DataFrame) -> list[str]:
 
 def blocks(rows: DataFrame, headings: int = 60, items: int = 120, longest_item: int = 200) -> DataFrame:
     """The snippets of rows parsed with heading, main and item: the first `headings` of a page, all its paragraphs, and its first different items that are shorter than `longest_item`."""
-    page = _page_keys(rows)
-    text = F.coalesce(F.col("heading.text"), F.col("main.text"), F.col("item.text"))
-    kind = F.when(F.col("relation") == "heading", "heading").when(F.col("relation") == "main", "paragraph").when(F.col("relation") == "item", "item")
-    all_ = rows.select(*page, "pos", kind.alias("kind"), F.col("heading.level").alias("level"), tx.visible(text).alias("text")).filter(F.col("kind").isNotNull() & (F.length("text") > 0))
-    shown = all_.filter(tx.noise_reason(F.col("text"), di.NOISE_EXACT, di.NOISE_CONTAINS).isNull())
-    head = top(shown.filter("kind = 'heading'"), page, ["pos"], headings)
-    once = keep_first(shown.filter((F.col("kind") == "item") & (F.length("text") < longest_item)), [*page, "text"], ["pos"])
-    out = head.unionByName(shown.filter("kind = 'paragraph'")).unionByName(top(once, page, ["pos"], items))
+    page, there = _page_keys(rows), [r for r in ("heading", "main", "item") if r in rows.columns]
+    text, is_ = F.coalesce(*[F.col(f"{r}.text") for r in there]), lambda k: F.col("kind") == k
+    kind = F.when(F.col("relation") == "main", "paragraph").when(F.col("relation").isin("heading", "item"), F.col("relation"))
+    level = F.col("heading.level") if "heading" in there else F.lit(None).cast("int")
+    all_ = rows.select(*page, "pos", kind.alias("kind"), level.alias("level"), tx.visible(text).alias("text")).filter(F.col("kind").isNotNull() & (F.length("text") > 0))
+    shown = all_.filter(tx.noise_reason(F.col("text"), di.NOISE_EXACT, di.NOISE_CONTAINS).isNull() & (~is_("item") | (F.length("text") < longest_item)))
+    first = shown.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind", "text").orderBy("pos"))).filter(~is_("item") | (F.col("__nth") == 1))
+    room = F.when(is_("heading"), headings).when(is_("item"), items)
+    out = first.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind").orderBy("pos"))).filter(room.isNull() | (F.col("__nth") <= room)).drop("__nth")
     return out.withColumn("kind_rank", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int"))
 
 

@@ -439,9 +439,21 @@ def section_requests(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", drafts.section_problem(section, F.when(k == 1, "drop").when(k == 2, "hide").otherwise("restore")).alias("problem"))
 
 
-@query("SELECT * FROM (VALUES ('companyFoundation.overview', 'foundation', false), ('positioning.pitch', 'positioning', true), ('offerings', 'offerings', false)) v(path, grp, hidden)")
+@query("SELECT c_custkey, path, grp, grp = CASE c_custkey % 4 WHEN 0 THEN 'positioning' WHEN 1 THEN 'market' WHEN 2 THEN 'offerings' END IS TRUE AS hidden FROM customer, (VALUES ('companyFoundation.overview', 'foundation'), ('positioning.pitch', 'positioning'), ('offerings', 'offerings')) v(path, grp)")
 def required_fields(spark, sf):
-    return drafts.required_fields(spark, ["positioning", "market"])
+    owners = table(spark, sf, "customer")
+    kind = F.col("c_custkey") % 4
+    hidden = owners.select("c_custkey", F.when(kind == 0, "positioning").when(kind == 1, "market").when(kind == 2, "offerings").alias("section"))
+    return drafts.required_fields(owners, hidden.filter("section IS NOT NULL"), ["c_custkey"])
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a|body' WHEN 1 THEN 'a|' WHEN 2 THEN '|body' ELSE '' END AS notes FROM documents")
+def saved_notes(spark, sf):
+    title, body = F.when(F.col("doc_id") % 4 < 2, "a"), F.when(F.col("doc_id") % 2 == 0, "body").otherwise("\u200b ")
+    d = documents(spark, sf).withColumn("customNotes", F.array(F.struct(title.alias("title"), body.alias("body")), F.struct(F.lit(" ").alias("title"), F.lit(None).cast("string").alias("body"))))
+    f = drafts.draft_to_final(d, reviews(spark, sf), FIELDS, ["doc_id"])
+    shown = F.transform("customNotes", lambda n: F.concat(F.coalesce(n["title"], F.lit("")), F.lit("|"), F.trim(F.regexp_replace(F.coalesce(n["body"], F.lit("")), "\u200b", ""))))
+    return f.select("doc_id", F.array_join(shown, ";").alias("notes"))
 
 
 @query("SELECT doc_id, lang AS got, CAST(NULL AS VARCHAR) AS absent, upper(lang) AS new_value, CASE WHEN doc_id % 5 = 0 THEN 'absent' ELSE 'found' END AS beside FROM documents")

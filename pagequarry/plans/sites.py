@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import dictionaries as di
 from ..functions import urls
 from ..operators import discover, entities, extract, parsed, profile, snippets, structured, table_functions
-from ..sources.tables import table
-from .profile import SENTENCES, cycle, q, q_any, q_labels
+from ..sources.captured import CapturedPages
+from ..sources.tables import exports, scratch, table
+from .profile import P as PROFILE_P
+from .profile import SENTENCES, cycle, q, q_any, q_bundle, q_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,3 +280,64 @@ def signals_of_lines(spark, sf):
     at = F.expr(f"element_at(array({', '.join(q(w) for w in _SIGNALS)}), CAST((doc_id * 3 + pos) % {len(_SIGNALS)} AS INT) + 1)")
     marked = lines.withColumn("text", F.concat("text", F.when((F.col("doc_id") + F.col("pos")) % 4 == 0, F.concat(F.lit(" "), F.upper(at))).otherwise("")))
     return snippets.with_signals(marked).filter(F.size("signals") > 0).select("doc_id", "pos", F.array_join("signals", ",").alias("signals"))
+
+
+# ---- evidence, positioning, navigation, captures and exports
+
+
+_REST = ["targetBuyers", "customerNeeds", "differentiators", "values"]
+
+
+@query(" UNION ALL ".join(f"SELECT site, '{n}' AS field, place, text FROM ({q_bundle(['SELECT site, page_type AS source, ord, 0 AS pos, text FROM p'], di.SIGNALS[n]).replace(PROFILE_P, P)})" for n in _REST))
+def site_evidence(spark, sf):
+    """All fields' evidence from one table of snippets, whose signals are found in one pass."""
+    said = snippets.with_signals(snippets.prose(snippets.blocks(facts(spark, sf, "heading", "main", "item"))), {n: di.SIGNALS[n] for n in _REST})
+    rows = said.filter("text NOT RLIKE '^(He|She|They) worked|^“The .* came on time|^[A-Z]+$'").select("site", F.explode("signals").alias("field"), F.col("page_type").alias("source"), *snippets.ORDER, "text")
+    return profile.signal_bundle(rows, ["site", "field"], None, snippets.ORDER).select("site", "field", "place", "text")
+
+
+_KIND_RANK = {"overview": ["about", "declared", "homepage", "hero"], "pitch": ["hero", "declared", "homepage", "about"]}
+_POOL = f"""WITH {P}, t AS (SELECT * FROM p), hm AS (SELECT site, ord, text, row_number() OVER (PARTITION BY site ORDER BY ord) AS nth FROM p WHERE page_type = 'homepage'),
+pool AS (SELECT site, 'about' AS kind, ord, text FROM p WHERE page_type = 'about' UNION ALL SELECT site, 'homepage', ord, text FROM hm WHERE nth <= 3 UNION ALL SELECT site, 'hero', 0, 'Order ' || ord || ' of firm ' || site FROM hm WHERE nth = 1)"""
+
+
+def _positioning(field: str):
+    def run(spark, sf):
+        rows = facts(spark, sf, "heading", "main")
+        plain = rows.filter("relation <> 'main' OR main.text NOT RLIKE '^(He|She|They) worked|^“The .* came on time|^[A-Z]+$'")
+        none = spark.createDataFrame([], "site long, text string")
+        return snippets.positioning(snippets.blocks(plain), none, K, _KIND_RANK[field]).select("site", "place", "kind", "text")
+
+    return run
+
+
+for _field, _ranks in _KIND_RANK.items():
+    _name = {"overview": "site_overviews", "pitch": "site_pitches"}[_field]
+    QUERIES[_name] = _positioning(_field)
+    ORACLES[_name] = f"{_POOL}, k AS (SELECT *, list_position({_ranks}, kind) AS r FROM pool), b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY site, lower(text[1:160]) ORDER BY r, ord) = 1) SELECT site, row_number() OVER (PARTITION BY site ORDER BY r, ord) AS place, kind, text FROM b QUALIFY place <= 3"
+
+
+@query("SELECT s_suppkey AS page_id, region, 'https://www.site' || s_suppkey || '.example.com/' || x AS target, upper(x) AS text, CASE WHEN region < 5 THEN 'nav-link' ELSE 'footer-link' END AS via FROM supplier, (VALUES (0, 'a'), (1, 'b'), (2, 'c'), (3, 'd'), (4, 'e'), (5, 'f'), (6, 'g')) v(region, x)")
+def navigation_regions(spark, sf):
+    html = F.lit('<nav><a href="/a#x">A</a><a href="https://other.example.org/">O</a></nav><header><a href="b">B</a></header><div role="navigation"><a href="/c"> C </a></div><div class="topNav"><a href="/d">D</a></div><div id="mainMenu"><a href="mailto:x@y.example">M</a><a href="/e">E</a></div><footer><a href="/f">F</a></footer><div class="page-Footer"><a href="/g">G</a></div><a href="/z">Z</a>')
+    p = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("https://www.site"), "s_suppkey", F.lit(".example.com/")).alias("url"), html.alias("html"))
+    links = discover.navigation(parsed.of(parsed.parse(p, ["navigation"]), "navigation"), ["page_id"])
+    return links.select("page_id", "region", "target", "text", "via")
+
+
+@query("""SELECT url, CASE page_id % 7 WHEN 0 THEN 'dns' WHEN 1 THEN 'blocked' WHEN 2 THEN 'http-error' WHEN 3 THEN 'not-html' END AS reason, CASE page_id % 7 WHEN 0 THEN 'That domain could not be found.' WHEN 1 THEN 'The site refused the request (HTTP ' || (CASE WHEN page_id % 2 = 0 THEN 403 ELSE 429 END) || '). It may be blocking automated visitors.'
+WHEN 2 THEN 'The server returned HTTP ' || (500 + page_id % 10) || '.' WHEN 3 THEN 'That address returned application/pdf, not a web page.' END AS message, CASE WHEN page_id % 7 > 3 THEN left(html, 2000) END AS body FROM pages""")
+def captured_responses(spark, sf):
+    spark.dataSource.register(CapturedPages)
+    kind, page = F.col("page_id") % 7, F.col("page_id")
+    status = F.when(kind == 1, F.when(page % 2 == 0, 403).otherwise(429)).when(kind == 2, 500 + page % 10).when(kind > 2, 200)
+    answers = table(spark, sf, "pages").select("url", status.cast("int").alias("status"), F.when(kind == 3, "application/pdf;q=1").when(kind == 4, "TEXT/HTML; charset=utf-8").alias("content_type"), F.col("html").alias("body"), F.when(kind == 0, "ENOTFOUND").alias("error"))
+    path = scratch(spark, "captured")
+    answers.write.parquet(path)
+    return spark.read.format("captured_pages").option("max_chars", "2000").load(path).select("url", "reason", "message", "body")
+
+
+@query("SELECT 'customer-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '.json' AS file, '{\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment || '\"}' AS value FROM customer")
+def exported_documents(spark, sf):
+    c = table(spark, sf, "customer").select("c_name", F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("data"))
+    return exports(c, "c_name", "data")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +65,17 @@ def export_name(name: Column) -> Column:
     return F.concat(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(".json"))
 
 
+def exports(documents: DataFrame, name: str, data: str) -> DataFrame:
+    """(file, value): each document's JSON as it is saved, with the name of its file."""
+    return documents.select(export_name(F.col(name)).alias("file"), F.to_json(F.col(data)).alias("value"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or in a temporary one where that is unset (tests)."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagequarry-")
+    return f"{place}/{name}-{uuid.uuid4().hex}"
+
+
 def phrases(spark: SparkSession, labelled: dict[str, list[str]]) -> DataFrame:
     """(label, phrase, ord) of a dictionary, in its order."""
     rows = [(k, p) for k, ps in labelled.items() for p in ps]
