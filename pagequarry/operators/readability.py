@@ -88,19 +88,26 @@ def _joins(n: Node, best: Node, scores: dict[int, float], least: float) -> bool:
     return len(text) > 80 and share < 0.25 or 0 < len(text) <= 80 and share == 0 and bool(re.search(r"\.( |$)", text))
 
 
+def _by_scores(body: Node, strict: bool) -> list[tuple[str, str]] | None:
+    """The blocks of the best container and what belongs to it; None where that is too little."""
+    scored = _scored(body, strict)
+    if not scored:
+        return None
+    most, best = max(scored, key=lambda x: x[0])
+    by, least = {id(n): s for s, n in scored}, max(10.0, 0.2 * most)
+    parts = [n for n in (best.parent.children if best.parent else [best]) if isinstance(n, Node) and (n is best or not (strict and _furniture(n)) and n.tag not in HIDDEN and _joins(n, best, by, least))]
+    if sum(len(" ".join(n.raw().split())) for p in parts for n in _visible(p, strict)) < ENOUGH:
+        return None
+    blocks = [(n.tag, n.text()) for p in parts for n in _visible(p, strict) if (n.tag in ("p", "li", "blockquote") or n.tag in ("div", "section") and _prose(n)) and n.text()]
+    return blocks or [("text", p.text()) for p in parts]
+
+
 def content(root: Node) -> tuple[list[tuple[str, str]], bool]:
     """(tag, text) blocks of the main content, and whether they were found by scores."""
     body = root.first("body") or root
     for strict in (True, False):
-        scored = _scored(body, strict)
-        if not scored:
-            continue
-        most, best = max(scored, key=lambda x: x[0])
-        by, least = {id(n): s for s, n in scored}, max(10.0, 0.2 * most)
-        parts = [n for n in (best.parent.children if best.parent else [best]) if isinstance(n, Node) and (n is best or not (strict and _furniture(n)) and n.tag not in HIDDEN and _joins(n, best, by, least))]
-        if sum(len(" ".join(n.raw().split())) for p in parts for n in _visible(p, strict)) >= ENOUGH:
-            blocks = [(n.tag, n.text()) for p in parts for n in _visible(p, strict) if (n.tag in ("p", "li", "blockquote") or n.tag in ("div", "section") and _prose(n)) and n.text()]
-            return blocks or [("text", p.text()) for p in parts], True
+        if (blocks := _by_scores(body, strict)) is not None:
+            return blocks, True
         if strict and (root.first("main", "article") or any(n.attrs.get("role") == "main" for n in root.walk())) and (declared := fallback_content(root)):
             return declared, False
     return fallback_content(root), False
