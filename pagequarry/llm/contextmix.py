@@ -19,19 +19,28 @@ refines the mixed probability.
 While a text is scored, its own words refine this further: experts take the
 mixer's probability of each token alone, or mixed with the token's share in the
 text so far (`OWN`), or with what followed the same two words when they last
-stood in it, weighted by its success so far.  The experts begin with equal
+stood in it, weighted by its success so far.  The end is a token among the
+others, which a text's own words take from as well.  The experts begin with equal
 weights, which follow their success in the text (Bayes' rule), so that the score
 is the logarithm of the mean of the experts' products.  Every bit's two
-probabilities add up to one and so do the experts' weights: the probabilities of
-all texts add up to no more than one.
+probabilities add up to one, and so do the experts' weights: what may come next,
+any word or the end, has a total of one at most, and so have all texts.
 
 Learning is online in each of its parts and distributed over the corpus:
 predictors learn with the rate 1/n, which makes their state the counts of both
-bits, so that tasks' counts just add up; each task trains weights by online
-gradient steps over its part of the distinct contexts, each bit left out of
-its own counts, and the tasks' weights are averaged by the number of bits; the
-refining table is again counts.  All training documents are read.  A text's
-score depends on the model and itself alone, not on what stands beside it.
+bits, so that tasks' counts just add up; weights are trained by online gradient
+steps over the distinct contexts of each bucket, each bit left out of its own
+counts, and the buckets' weights are averaged by the number of bits; the refining
+table is again counts.  All training documents are read.  Buckets follow from the
+size of the texts and from the contexts, never from Spark's partitions, so that
+the model is the same for any number of these.  A text's score depends on the
+model and itself alone, not on what stands beside it.
+
+Contexts are shuffled once: tasks send each distinct byte with its contexts to its
+bucket, one row of which then holds all of the bucket's.  Where the last bytes lie
+in the same word, the bucket is that of the word's beginning, whose counts are
+thus complete in it, and so are those of the slots of its part of their table; the
+shorter contexts, which are few, are added up by a second, small shuffle.
 
 The base score is the sum of log10((c + 0.1) / (N + 0.1 * (V + 1))) over the
 tokens, c being a token's count in the training documents.  The counts of the
@@ -58,7 +67,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, fold
+from .common import fold, stored
 
 ORDERS = 4
 #: a predictor for each order, and one for the word's beginning
@@ -82,6 +91,10 @@ GATES = (len(EDGES) + 1) ** 2
 LEVELS = 33
 FLOOR = 1e-6
 KEEP = 2_000_000
+#: bytes of text for a bucket of contexts (rounded to a power of two of buckets), and for each gram that the table of word beginnings has room for
+BUCKET_BYTES, BYTES_A_GRAM = 8 << 20, 8
+#: stands for a text's end among the hashes of its words
+END_TOKEN = np.uint64(0xE2D0E2D0E2D0E2D1)
 #: what experts give to the text's own words at most, the tokens after which it is half of that, and the match predictor's first success
 OWN, OWN_HALF, MATCH = (0.0, 0.1, 0.4), 60, (0.02, 1.0)
 
@@ -149,16 +162,43 @@ def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([first, rest[at]]), inverse
 
 
-def contexts(g: np.ndarray, w: np.ndarray, bits: tuple[int, ...] = (SLOT_BITS,) * PREDICTORS) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """For each of the eight bits of `grams` and their `beginnings`: the bit, and for each predictor its slot in the tables of 2**bits slots that lie one behind the other, and its check."""
-    byte = g & np.uint64(0xFF)
-    bases = [tk.mix((g >> np.uint64(8) & np.uint64((1 << 8 * o) - 1)) + np.uint64(o << 40)) for o in range(1, ORDERS + 1)] + [tk.mix((w >> np.uint64(8)) + np.uint64(0x77 << 56))]
-    start = np.concatenate([[0], np.cumsum([1 << b for b in bits])])
+def deep(g: np.ndarray) -> np.ndarray:
+    """Whether all of the ORDERS bytes before lie in the byte's own word."""
+    out = np.ones(len(g), bool)
+    for k in range(1, ORDERS + 1):
+        before = g >> np.uint64(8 * k) & np.uint64(0xFF)
+        out &= (before != GAP) & (before != END)
+    return out
+
+
+def bases(g: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """A hash of each predictor's context."""
+    return [tk.mix((g >> np.uint64(8) & np.uint64((1 << 8 * o) - 1)) + np.uint64(o << 40)) for o in range(1, ORDERS + 1)] + [tk.mix((w >> np.uint64(8)) + np.uint64(0x77 << 56))]
+
+
+def top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of hashes."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def nodes(byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the eight bits: the byte's bits before it, and the bit."""
     for i in range(8):
-        node = np.uint64(1 << i) | byte >> np.uint64(8 - i)
-        bit = (byte >> np.uint64(7 - i) & np.uint64(1)).astype(np.int8)
-        h = [(b + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) for b in bases]
-        yield bit, [start[o] + (x >> np.uint64(64 - bits[o])).astype(np.int64) for o, x in enumerate(h)], [(tk.mix(x) >> np.uint64(56)).astype(np.uint8) for x in h]
+        yield np.uint64(1 << i) | byte >> np.uint64(8 - i), (byte >> np.uint64(7 - i) & np.uint64(1)).astype(np.int8)
+
+
+def place(base: np.ndarray, node: np.ndarray, bits: int, parts: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A context's slot in a table of 2**bits slots, and its check; with parts, all slots of a context are in one of 2**parts parts of the table."""
+    h = (base + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    return top(base, parts) << (bits - parts) | top(h, bits - parts), (tk.mix(h) >> np.uint64(56)).astype(np.uint8)
+
+
+def contexts(g: np.ndarray, w: np.ndarray, bits: tuple[int, ...] = (SLOT_BITS,) * PREDICTORS, parts: int = 0) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """For each of the eight bits of `grams` and their `beginnings`: the bit, and for each predictor its slot in the tables of 2**bits slots that lie one behind the other, and its check; the last table is in 2**parts parts."""
+    own, start = bases(g, w), np.concatenate([[0], np.cumsum([1 << b for b in bits])])
+    for node, bit in nodes(g & np.uint64(0xFF)):
+        both = [place(b, node, bits[o], parts if o == ORDERS else 0) for o, b in enumerate(own)]
+        yield bit, [start[o] + s for o, (s, _) in enumerate(both)], [c for _, c in both]
 
 
 COUNT = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
@@ -177,7 +217,7 @@ def sizes(grams_: list[int]) -> tuple[int, ...]:
 
 
 class Mixer(NamedTuple):
-    """The finished model: both counts of every slot (as `quantised`) and its check, the weights of each gate, the refining table, and the bits of each predictor's table."""
+    """The finished model: both counts of every slot (as `quantised`) and its check, the weights of each gate, the refining table, the bits of each predictor's table, and of the last one's parts."""
 
     zeros: np.ndarray
     ones: np.ndarray
@@ -185,6 +225,7 @@ class Mixer(NamedTuple):
     weights: np.ndarray
     refine: np.ndarray
     bits: tuple[int, ...]
+    parts: int = 0
 
     def packed(self) -> tuple:
         """The same, small enough to send: tables that are mostly empty compress well."""
@@ -226,7 +267,7 @@ class Mixer(NamedTuple):
     def log10(self, g: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 probability of each byte (`grams` and `beginnings`) after its contexts."""
         out = np.zeros(len(g))
-        for bit, slots, checks in contexts(g, w, self.bits):
+        for bit, slots, checks in contexts(g, w, self.bits, self.parts):
             p = self.refined(*(lambda x, gate: (self.mix(x, gate), gate))(*self.inputs(slots, checks)))
             out += np.log10(np.where(bit, p, 1 - p))
         return out
@@ -236,17 +277,18 @@ def level_of(st: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((st + (LEVELS - 1) / 4) * 2), 0, LEVELS - 1).astype(np.int64)
 
 
-def blank(bits: tuple[int, ...] = (SLOT_BITS,) * PREDICTORS) -> Mixer:
+def blank(bits: tuple[int, ...] = (SLOT_BITS,) * PREDICTORS, parts: int = 0) -> Mixer:
     st = np.arange(LEVELS) / 2 - (LEVELS - 1) / 4
     slots = sum(1 << b for b in bits)
-    return Mixer(*(np.zeros(slots, np.uint8) for _ in range(3)), np.tile(np.array([0.05, 0.1, 0.15, 0.3, 0.4, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)), bits)
+    return Mixer(*(np.zeros(slots, np.uint8) for _ in range(3)), np.tile(np.array([0.05, 0.1, 0.15, 0.3, 0.4, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)), bits, parts)
 
 
-GATHERED = "kind int, key long, began long, n long"
+GATHERED = "kind int, bucket int, key long, began long, n long"
+PACKED = "bucket int, keys binary, began binary, counts binary, words binary, word_counts binary, ends long, slots binary, checks binary, zeros binary, ones binary"
 
 
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Parts (code, key, began, n) as one, with the counts of equal codes added up."""
+    """Parts (code, key, began, n) as one, with the counts of equal codes added up, by code."""
     code, key, began, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     codes, first, inverse = np.unique(code, return_index=True, return_inverse=True)
     return codes, key[first], began[first], np.bincount(inverse, n, len(codes)).astype(np.int64)
@@ -257,62 +299,119 @@ def code_of(g: np.ndarray, w: np.ndarray) -> np.ndarray:
     return tk.mix(w) ^ g
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's bytes with their contexts (kind 0) and words (kind 1), and its number of ends (kind 2)."""
-    held: dict[int, list] = {0: [], 1: []}
-    names = [x.split()[0] for x in GATHERED.split(", ")]
-    ends = 0
+def bucket_of(g: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of a byte: that of its word's beginning where all its context lies in the word, so that such a beginning's bytes are together; else that of the whole context, so that common beginnings are not."""
+    return np.where(deep(g), top(bases(g, w)[ORDERS], parts), top(tk.mix(code_of(g, w)), parts))
 
-    def out(kind: int) -> pa.RecordBatch:
-        _, k, w, n = _merge(held[kind])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(tk.signed(k)), pa.array(tk.signed(w)), pa.array(n)], names)
 
-    for b in batches:
-        for i, j, buf, off in tk.chunks(b["text"], CHUNK):
-            stream, doff, words, _ = streams(buf, off)
-            ends += j - i
-            g, w = grams(stream, doff), beginnings(stream, doff)
-            for kind, code, key, began in ((0, code_of(g, w), g, w), (1, words, words, np.zeros(len(words), np.uint64))):
-                first, inverse = distinct(code)
-                held[kind].append((code[first], key[first], began[first], np.bincount(inverse, minlength=len(first))))
-                if sum(len(x[0]) for x in held[kind]) > KEEP:
-                    held[kind] = [_merge(held[kind])]
-                    if len(held[kind][0][0]) > KEEP // 2:
-                        yield out(kind)
-                        held[kind] = []
-    for kind in (0, 1):
-        if held[kind]:
-            yield out(kind)
-    if ends:
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], names)
-
-
-def _bytes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return b["key"].to_numpy().view(np.uint64), b["began"].to_numpy().view(np.uint64), b["n"].to_numpy()
-
-
-def _tally(bits: tuple[int, ...]):
+def _gather(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of both bits by slot and check, of a task's bytes."""
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            g, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = list(contexts(g, w, bits))
-            one = np.concatenate([bit for bit, _, _ in rows]) * np.tile(n, 8)
-            every = np.tile(n, 8)
-            for o in range(PREDICTORS):
-                u, inverse = np.unique(np.concatenate([slots[o] << 8 | checks[o] for _, slots, checks in rows]), return_inverse=True)
-                n1 = np.bincount(inverse, one, len(u))
-                yield pa.RecordBatch.from_arrays([pa.array(u >> 8), pa.array((u & 0xFF).astype(np.int32)), pa.array((np.bincount(inverse, every, len(u)) - n1).astype(np.int64)), pa.array(n1.astype(np.int64))], ["slot", "check", "n0", "n1"])
+        """Counts of a task's bytes with their contexts (kind 0) and words (kind 1) by bucket, and its number of ends (kind 2)."""
+        held: dict[int, list] = {0: [], 1: []}
+        names = [x.split()[0] for x in GATHERED.split(", ")]
+        ends = 0
+
+        def out(kind: int) -> pa.RecordBatch:
+            _, k, w, n = _merge(held[kind])
+            bucket = bucket_of(k, w, parts) if kind == 0 else top(tk.mix(k), parts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(tk.signed(k)), pa.array(tk.signed(w)), pa.array(n)], names)
+
+        for b in batches:
+            for i, j, buf, off in tk.chunks(b["text"], CHUNK):
+                stream, doff, words, _ = streams(buf, off)
+                ends += j - i
+                g, w = grams(stream, doff), beginnings(stream, doff)
+                for kind, code, key, began in ((0, code_of(g, w), g, w), (1, words, words, np.zeros(len(words), np.uint64))):
+                    first, inverse = distinct(code)
+                    held[kind].append((code[first], key[first], began[first], np.bincount(inverse, minlength=len(first))))
+                    if sum(len(x[0]) for x in held[kind]) > KEEP:
+                        held[kind] = [_merge(held[kind])]
+                        if len(held[kind][0][0]) > KEEP // 2:
+                            yield out(kind)
+                            held[kind] = []
+        for kind in (0, 1):
+            if held[kind]:
+                yield out(kind)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.int64()) for x in (0, 0, ends))], names)
+
+    return run
+
+
+def _by_slot(slots: np.ndarray, checks: np.ndarray, bit: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(slot, check, n0, n1) of each slot's and check's sightings."""
+    u, inverse = np.unique(slots << 8 | checks, return_inverse=True)
+    n1 = np.bincount(inverse, bit * n, len(u)).astype(np.int64)
+    return u >> 8, (u & 0xFF).astype(np.uint8), np.bincount(inverse, n, len(u)).astype(np.int64) - n1, n1
+
+
+def _begun(g: np.ndarray, w: np.ndarray, n: np.ndarray, bits: int, parts: int) -> tuple[np.ndarray, ...]:
+    """The table of the word's beginning, of bytes that all lie in its parts: each slot with the context that was seen most often."""
+    base, rows = bases(g, w)[ORDERS], []
+    for node, bit in nodes(g & np.uint64(0xFF)):
+        rows.append((*place(base, node, bits, parts), bit))
+    slot, check, n0, n1 = _by_slot(np.concatenate([s for s, _, _ in rows]), np.concatenate([c for _, c, _ in rows]), np.concatenate([b for _, _, b in rows]), np.tile(n, 8))
+    order = np.lexsort((check, n0 + n1, slot))
+    last = np.append(np.diff(slot[order]) != 0, True) if len(order) else np.zeros(0, bool)
+    k = order[last]
+    return slot[k].astype(np.int32), check[k], *quantised(n0[k], n1[k])
+
+
+def _pack(bits: int, parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A bucket's distinct bytes with their contexts, its words, and its part of the table of word beginnings, as one row."""
+        kind = table["kind"].to_numpy()
+        key, began = (table[c].to_numpy().view(np.uint64) for c in ("key", "began"))
+        n = table["n"].to_numpy()
+        a, b = kind == 0, kind == 1
+        _, g, w, counts = _merge([(code_of(key[a], began[a]), key[a], began[a], n[a])])
+        _, words, _, word_counts = _merge([(key[b], key[b], began[b], n[b])])
+        d = deep(g)
+        columns = [g, w, counts, words, word_counts]
+        made = _begun(g[d], w[d], counts[d], bits, parts)
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        row = [pa.array([table["bucket"][0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns), pa.array([int(n[kind == 2].sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in made)]
+        return pa.Table.from_arrays(row, names)
+
+    return run
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The bytes of each bucket: keys, began, counts."""
+    for i in range(b.num_rows):
+        yield tuple(np.frombuffer(b[c][i].as_buffer(), kind) for c, kind in (("keys", np.uint64), ("began", np.uint64), ("counts", np.int64)))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            word, c = (np.frombuffer(b[x][i].as_buffer(), np.int64) for x in ("words", "word_counts"))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(c)], ["word", "c"])
 
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's bytes after each order's context, and those at a word's first bytes after its beginning (predictor ORDERS)."""
+    for b in batches:
+        for g, w, n in _rows(b):
+            d = ~deep(g)
+            for o, key, count in [(o, g & np.uint64((1 << 8 * (o + 2)) - 1), n) for o in range(ORDERS)] + [(ORDERS, w[d], n[d])]:
+                u, inverse = np.unique(key, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), o, np.int32)), pa.array(tk.signed(u)), pa.array(np.bincount(inverse, count, len(u)).astype(np.int64))], ["predictor", "key", "n"])
+
+
+def _tally(bits: tuple[int, ...], parts: int):
+    start = np.concatenate([[0], np.cumsum([1 << b for b in bits])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of both bits by slot and check."""
         for b in batches:
-            held.append(_bytes(b))
-            if sum(len(x[0]) for x in held) >= BLOCK:
-                yield from out()
-                held = []
-        if held:
-            yield from out()
+            predictor, key, n = b["predictor"].to_numpy(), b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()
+            for o in np.unique(predictor):
+                k, count = key[predictor == o], n[predictor == o]
+                base = bases(k, k)[o]  # an order's context stands before the byte in its key, as a beginning does in its own
+                rows = [(*place(base, node, bits[o], parts if o == ORDERS else 0), bit) for node, bit in nodes(k & np.uint64(0xFF))]
+                slot, check, n0, n1 = _by_slot(start[o] + np.concatenate([s for s, _, _ in rows]), np.concatenate([c for _, c, _ in rows]), np.concatenate([x for _, _, x in rows]), np.tile(count, 8))
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(check.astype(np.int32)), pa.array(n0), pa.array(n1)], ["slot", "check", "n0", "n1"])
 
     return run
 
@@ -326,47 +425,50 @@ def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _train(model: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One task's weights after an online pass over its part, and the weight of what it saw.
+        """Each bucket's weights after an online pass over its bytes, and the weight of what it saw.
 
         Each step moves a gate's weights along its gradient, scaled by the inverse of the curvature of all that the gate has seen so far.
         """
-        w, total = model.weights.astype(np.float64), 0.0
-        curve = np.tile(np.eye(PREDICTORS + 1) * STIFF, (GATES, 1, 1))
         for b in batches:
-            keys, began, counts = _bytes(b)
-            order = np.argsort(code_of(keys, began))
-            for lo in range(0, len(keys), STEP):
-                at = order[lo : lo + STEP]
-                n = counts[at].astype(np.float64)
-                total += float(n.sum())
-                for bit, slots, checks in contexts(keys[at], began[at], model.bits):
-                    x, gate = model.inputs(slots, checks, bit)
-                    x = x.astype(np.float64)
-                    p = 1 / (1 + np.exp(-np.clip(np.einsum("on,no->n", x, w[gate]), -30, 30)))
-                    err, steep = (bit - p) * n, np.maximum(p * (1 - p), 1e-4) * n
-                    by_gate = np.argsort(gate, kind="stable")
-                    edges = np.searchsorted(gate[by_gate], np.arange(GATES + 1))
-                    for k in np.flatnonzero(np.diff(edges)):
-                        m = by_gate[edges[k] : edges[k + 1]]
-                        curve[k] += (x[:, m] * steep[m]) @ x[:, m].T
-                        w[k] += np.linalg.solve(curve[k], x[:, m] @ err[m])
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([total])], ["w", "n"])
+            for bucket, (g, w, n) in zip(b["bucket"].to_pylist(), _rows(b), strict=True):
+                if len(g):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_trained(model, g, w, n).tobytes()], pa.binary()), pa.array([float(n.sum())])], ["bucket", "w", "n"])
 
     return run
 
 
+def _trained(model: Mixer, g: np.ndarray, began: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    w = model.weights.astype(np.float64)
+    curve = np.tile(np.eye(PREDICTORS + 1) * STIFF, (GATES, 1, 1))
+    for lo in range(0, len(g), STEP):
+        n = counts[lo : lo + STEP].astype(np.float64)
+        for bit, slots, checks in contexts(g[lo : lo + STEP], began[lo : lo + STEP], model.bits, model.parts):
+            x, gate = model.inputs(slots, checks, bit)
+            x = x.astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(np.einsum("on,no->n", x, w[gate]), -30, 30)))
+            err, steep = (bit - p) * n, np.maximum(p * (1 - p), 1e-4) * n
+            by_gate = np.argsort(gate, kind="stable")
+            edges = np.searchsorted(gate[by_gate], np.arange(GATES + 1))
+            for k in np.flatnonzero(np.diff(edges)):
+                m = by_gate[edges[k] : edges[k + 1]]
+                curve[k] += (x[:, m] * steep[m]) @ x[:, m].T
+                w[k] += np.linalg.solve(curve[k], x[:, m] @ err[m])
+    return w
+
+
 def _calibrate(model: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often bits were 1 at each gate and level of the mixed log odds."""
         n0, n1 = np.zeros(GATES * LEVELS), np.zeros(GATES * LEVELS)
         for b in batches:
-            g, w, n = _bytes(b)
-            for bit, slots, checks in contexts(g, w, model.bits):
-                x, gate = model.inputs(slots, checks, bit)
-                at = gate * LEVELS + level_of(model.mix(x, gate))
-                n0 += np.bincount(at[bit == 0], n[bit == 0], GATES * LEVELS)
-                n1 += np.bincount(at[bit == 1], n[bit == 1], GATES * LEVELS)
+            for keys, began, counts in _rows(b):
+                for lo in range(0, len(keys), BLOCK):
+                    g, w, n = (x[lo : lo + BLOCK] for x in (keys, began, counts))
+                    for bit, slots, checks in contexts(g, w, model.bits, model.parts):
+                        x, gate = model.inputs(slots, checks, bit)
+                        at = gate * LEVELS + level_of(model.mix(x, gate))
+                        n0 += np.bincount(at[bit == 0], n[bit == 0], GATES * LEVELS)
+                        n1 += np.bincount(at[bit == 1], n[bit == 1], GATES * LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES * LEVELS)), pa.array(n0), pa.array(n1)], ["at", "n0", "n1"])
 
     return run
@@ -416,47 +518,58 @@ class Trained(NamedTuple):
 
 def learn(docs: DataFrame) -> Trained:
     """The model of all the given documents."""
-    gathered = cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gather, GATHERED).groupBy("kind", "key", "began").agg(F.sum("n").alias("n")))
-    bytes_ = gathered.filter("kind = 0").select("key", "began", "n")
-    counted = bytes_.agg(*[F.approx_count_distinct(F.col("key").bitwiseAND((1 << 8 * (o + 1)) - 1)).alias(f"n{o}") for o in range(1, ORDERS + 1)], F.approx_count_distinct(F.shiftrightunsigned("began", 8))).first()
-    bits = sizes(list(counted))
-    model = blank(bits)
-    # at most PREDICTORS * 2**MOST_BITS rows of six bytes come back
-    # of the contexts of a slot, the one seen most often keeps it
-    tallied = bytes_.mapInArrow(_tally(bits), "slot long, check int, n0 long, n1 long").groupBy("slot", "check").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    last = sizes([size // BYTES_A_GRAM])[0]
+    parts = min(max(int(np.ceil(np.log2(max(size, 1) / BUCKET_BYTES))), 0), last - 8)
+    packed = stored(texts.mapInArrow(_gather(parts), GATHERED).groupBy("bucket").applyInArrow(_pack(last, parts), PACKED))
+    by_order = stored(packed.select("keys", "began", "counts").mapInArrow(_orders, "predictor int, key long, n long").groupBy("predictor", "key").agg(F.sum("n").alias("n")))
+    known = {r.predictor: r.n for r in by_order.groupBy("predictor").agg(F.count("*").alias("n")).collect()}
+    bits = (*sizes([known.get(o, 0) for o in range(ORDERS)]), last)
+    model = blank(bits, parts)
+    # of the contexts of a slot, the one seen most often keeps it; at most PREDICTORS * 2**MOST_BITS rows of seven bytes come back
+    tallied = by_order.mapInArrow(_tally(bits, parts), "slot long, check int, n0 long, n1 long").groupBy("slot", "check").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     kept = tallied.groupBy("slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "check", "n0", "n1")).alias("k")).select("slot", "k.check", "k.n0", "k.n1")
+    begins = sum(1 << b for b in bits[:ORDERS])
+    for b in packed.select("slots", "checks", "zeros", "ones").toLocalIterator():
+        slot = begins + np.frombuffer(b.slots, np.int32)
+        model.zeros[slot], model.ones[slot], model.checks[slot] = (np.frombuffer(x, np.uint8) for x in (b.zeros, b.ones, b.checks))
     table = kept.mapInArrow(_shorten, "slot int, check byte, q0 byte, q1 byte").toArrow()
-    slot = table["slot"].to_numpy()
-    for side, name in ((model.zeros, "q0"), (model.ones, "q1"), (model.checks, "check")):
-        side[slot] = table[name].to_numpy().view(np.uint8)
-    del table, slot
+    slot, q0, q1, check = (table[c].to_numpy() for c in ("slot", "q0", "q1", "check"))
+    more = COUNT[q0.view(np.uint8)] + COUNT[q1.view(np.uint8)] >= COUNT[model.zeros[slot]] + COUNT[model.ones[slot]]
+    for side, x in ((model.zeros, q0), (model.ones, q1), (model.checks, check)):
+        side[slot[more]] = x[more].view(np.uint8)
+    del table, slot, q0, q1, check, more
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model.packed())
-    trained = bytes_.mapInArrow(lambda it: _train(Mixer.unpacked(shared.value))(it), "w binary, n double").agg(F.collect_list(F.struct("w", "n")).alias("rows")).first().rows  # one row of some kB a task
+    bytes_, shared = packed.select("bucket", "keys", "began", "counts"), sc.broadcast(model.packed())
+    trained = bytes_.mapInArrow(lambda it: _train(Mixer.unpacked(shared.value))(it), "bucket int, w binary, n double").collect()  # one row of some kB a bucket
     if trained:
         total = sum(r.n for r in trained)
-        weights = sum(np.frombuffer(r.w).reshape(GATES, PREDICTORS + 1) * (r.n / total) for r in sorted(trained, key=lambda r: (r.n, bytes(r.w))))
+        weights = sum(np.frombuffer(r.w).reshape(GATES, PREDICTORS + 1) * (r.n / total) for r in sorted(trained, key=lambda r: r.bucket))
         model = model._replace(weights=weights.astype(np.float32))
-        shared = sc.broadcast(model.packed())
-        levels = bytes_.mapInArrow(lambda it: _calibrate(Mixer.unpacked(shared.value))(it), "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
+        again = sc.broadcast(model.packed())
+        levels = bytes_.mapInArrow(lambda it: _calibrate(Mixer.unpacked(again.value))(it), "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
         refine = model.refine.copy().reshape(-1)
         for r in levels:
             refine[r.at] = (r.n1 + 20 * refine[r.at]) / (r.n0 + r.n1 + 20)
         model = model._replace(refine=refine.reshape(GATES, LEVELS))
-    words = gathered.filter("kind = 1").select(F.col("key").alias("word"), F.col("n").alias("c"))
-    sums = gathered.agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("words"), F.count_if(F.col("kind") == 1).alias("types"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).first()
-    top = words.orderBy(F.col("c").desc(), "word").limit(FREQUENT).toArrow()
-    keys = top["word"].to_numpy().view(np.uint64)
+    words = packed.select("words", "word_counts").mapInArrow(_words, "word long, c long")
+    sums = words.agg(F.sum("c").alias("words"), F.count("*").alias("types")).first()
+    top_words = words.orderBy(F.col("c").desc(), "word").limit(FREQUENT).toArrow()
+    keys = top_words["word"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    ends = sums.ends or 0
-    return Trained(model, words, (keys[order], top["c"].to_numpy()[order]), (sums.words or 0) + ends, sums.types + (ends > 0), ends)
+    ends = packed.agg(F.sum("ends")).first()[0] or 0
+    return Trained(model, words, (keys[order], top_words["c"].to_numpy()[order]), (sums.words or 0) + ends, sums.types + (ends > 0), ends)
 
 
 ROWS = "rid long, doc_id long, held_out boolean, kind int, word long, n long, known long, n_bytes long, base double, score double"
 
 
 def experts(words: np.ndarray, woff: np.ndarray, coded: np.ndarray, n: int) -> np.ndarray:
-    """log10 probability of each document's words, by the Bayesian mixture of experts over the mixer's probabilities coded of them."""
+    """log10 probability of each document's tokens, its end the last of them, by the Bayesian mixture of experts over the mixer's probabilities coded of them.
+
+    An expert's probabilities of what may come next, words and the end, add up to one where the mixer's do.
+    """
     doc = tk.doc_of(woff)
     place, share, m, right = own_words(words, woff)
     sums = []
@@ -465,8 +578,8 @@ def experts(words: np.ndarray, woff: np.ndarray, coded: np.ndarray, n: int) -> n
         p = (1 - weight) * coded + weight * share
         for q in (p, m * right + (1 - m) * p):
             sums.append(np.bincount(doc, np.log10(np.maximum(q, 1e-300)), n))
-    top = np.max(sums, axis=0)
-    return top + np.log10(np.mean(10.0 ** (np.array(sums) - top), axis=0))
+    top_ = np.max(sums, axis=0)
+    return top_ + np.log10(np.mean(10.0 ** (np.array(sums) - top_), axis=0))
 
 
 def text_scores(mixer: Mixer, stream: np.ndarray, doff: np.ndarray, words: np.ndarray, woff: np.ndarray) -> np.ndarray:
@@ -474,11 +587,13 @@ def text_scores(mixer: Mixer, stream: np.ndarray, doff: np.ndarray, words: np.nd
     g, w = grams(stream, doff), beginnings(stream, doff)
     first, inverse = distinct(code_of(g, w))
     cost = mixer.log10(g[first], w[first])[inverse]
-    by_byte = np.concatenate([[0], np.cumsum(cost)])
-    gaps = np.flatnonzero(stream == GAP)  # one after each word
-    begin = np.where(np.arange(len(words)) == woff[tk.doc_of(woff)], doff[tk.doc_of(woff)], np.concatenate([[0], gaps + 1])[: len(words)])
-    coded = 10 ** np.maximum(by_byte[gaps + 1] - by_byte[begin], -300.0)
-    return experts(words, woff, coded, len(doff) - 1) + cost[doff[1:] - 1]
+    stops = np.flatnonzero((stream == GAP) | (stream == END))  # the last byte of each token
+    begin = np.concatenate([[0], stops + 1])[: len(stops)]
+    coded = 10 ** np.maximum(np.add.reduceat(cost, begin) if len(begin) else np.zeros(0), -300.0)  # each token by itself, whatever stands beside it
+    n = len(doff) - 1
+    tokens = np.full(len(words) + n, END_TOKEN, np.uint64)
+    tokens[np.arange(len(words)) + tk.doc_of(woff)] = words
+    return experts(tokens, woff + np.arange(n + 1), coded, n)
 
 
 def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

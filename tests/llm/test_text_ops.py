@@ -201,6 +201,7 @@ def test_contextmix_against_brute_force(spark, monkeypatch):
             z = at + len(w.encode()) + 1
             probabilities.append(10 ** sum(cost[at:z]))
             at = z
+        words, probabilities = [*words, "\n"], [*probabilities, 10 ** cost[-1]]
         sums = []
         for own in contextmix.OWN:
             for use in (False, True):
@@ -219,10 +220,66 @@ def test_contextmix_against_brute_force(spark, monkeypatch):
                     seen[w] += 1
                     total += math.log10(p)
                 sums.append(total)
-        want = max(sums) + math.log10(sum(10 ** (x - max(sums)) for x in sums) / len(sums)) + cost[-1]
+        want = max(sums) + math.log10(sum(10 ** (x - max(sums)) for x in sums) / len(sums))
         assert got[d] == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
+def test_contextmix_next_tokens_sum_to_one(spark):
+    """The whole mass of what may come next, the end included, after a text that its own words predict well."""
+    import numpy as np
+
+    trained = contextmix.learn(spark.createDataFrame([(1, "a b a b c"), (2, "b a b a")], "doc_id long, text string"))
+    for n in (1, 4, 16, 20):
+        words = (["a", "b"] * n)[:n]
+        text = np.frombuffer(" ".join(words).encode(), np.uint8)
+        ended = 10 ** contextmix.text_scores(trained.mixer, *contextmix.streams(text, np.array([0, len(text)])))[0]
+        after = {x: _prefix_mass(trained.mixer, [*words, x]) for x in ["a", "b", "c", "d", *"efghijklmnopqrstuvwxyz0123456789.,!", "ab", "zz"]}
+        assert ended + sum(after.values()) <= _prefix_mass(trained.mixer, words) * (1 + 1e-9)
+        assert n < 16 or ended + after["a"] + after["b"] > 0.5 * _prefix_mass(trained.mixer, words)  # and most of it is here
+
+
+def _prefix_mass(mixer, words):
+    """The probability that a text begins with these words, by the experts' mean, from the definition."""
+    import numpy as np
+
+    text = np.frombuffer(" ".join(words).encode(), np.uint8)
+    stream, doff, hashes, woff = contextmix.streams(text, np.array([0, len(text)]))
+    cost = mixer.log10(contextmix.grams(stream, doff), contextmix.beginnings(stream, doff))
+    stops = np.flatnonzero(stream == contextmix.GAP)
+    begin = np.concatenate([[0], stops + 1])[: len(stops)]
+    coded = np.array([10 ** cost[a : b + 1].sum() for a, b in zip(begin, stops, strict=True)])
+    return 10 ** contextmix.experts(hashes, woff, coded, 1)[0]
+
+
+def test_contextmix_is_the_same_for_any_partitioning(spark, docs, monkeypatch):
+    monkeypatch.setattr(contextmix, "BUCKET_BYTES", 1 << 14)  # several buckets
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            trained = contextmix.learn(docs.repartition(n))
+            assert trained.mixer.parts > 1
+            seen.append(sorted((str(r.doc_id), r.score) for r in contextmix.score(docs.repartition(n + 1), trained).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
+def test_contextmix_buckets_hold_the_counts_of_beginnings(spark, docs, monkeypatch):
+    """The tables are those of one bucket, but for slots that contexts share."""
+    import numpy as np
+
+    monkeypatch.setattr(contextmix, "LEAST_BITS", 22)
+    whole = contextmix.learn(docs).mixer
+    monkeypatch.setattr(contextmix, "BUCKET_BYTES", 1 << 14)
+    parted = contextmix.learn(docs).mixer
+    assert whole.parts == 0 and parted.parts > 1 and whole.bits == parted.bits
+    at = sum(1 << b for b in whole.bits[:4])
+    assert (whole.zeros[:at] == parted.zeros[:at]).all()
+    a, b = (np.sort(m.zeros[at:].astype(int) * 256 + m.ones[at:]) for m in (whole, parted))
+    assert abs(np.count_nonzero(a) - np.count_nonzero(b)) <= 0.02 * np.count_nonzero(a)
+
+
 def test_contextmix_keeps_the_ratio_of_large_counts():
     import numpy as np
 
