@@ -132,13 +132,13 @@ def grams(stream: np.ndarray, doff: np.ndarray) -> np.ndarray:
 
 
 def beginnings(stream: np.ndarray, doff: np.ndarray) -> np.ndarray:
-    """Each byte with a hash of the bytes of its word before it: 56 bits of hash and 8 of the byte."""
+    """Each byte with a hash of the bytes of its word before it: 40 bits of hash and 8 of the byte."""
     n = len(stream)
     start = np.zeros(n, bool)
     start[doff[:-1][doff[:-1] < n]] = True
     start[1:] |= stream[:-1] == GAP
     at = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    return tk.word_hashes(stream, at, np.arange(n)) >> np.uint64(8) << np.uint64(8) | stream
+    return tk.word_hashes(stream, at, np.arange(n)) >> np.uint64(24) << np.uint64(8) | stream
 
 
 def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +283,23 @@ def blank(bits: tuple[int, ...] = (SLOT_BITS,) * PREDICTORS, parts: int = 0) ->
     return Mixer(*(np.zeros(slots, np.uint8) for _ in range(3)), np.tile(np.array([0.05, 0.1, 0.15, 0.3, 0.4, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)), bits, parts)
 
 
-GATHERED = "kind int, bucket int, key long, began long, n long"
-PACKED = "bucket int, keys binary, began binary, counts binary, words binary, word_counts binary, ends long, slots binary, checks binary, zeros binary, ones binary"
+GATHERED = "kind int, bucket int, rows long, key binary, began binary, n binary"
+PACKED = "bucket int, rows long, keys binary, began binary, counts binary, types long, words binary, word_counts binary, ends long, slots binary, checks binary, zeros binary, ones binary"
+
+
+def planes(x: np.ndarray, width: int = 0) -> bytes:
+    """Whole numbers as their first bytes, then their second ones, and so on, `width` or as many as they take, which compresses well."""
+    width = width or (max(int(x.max(initial=0)), 1).bit_length() + 7) // 8
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def whole(data: bytes, rows: int) -> np.ndarray:
+    """The numbers of `planes`."""
+    out = np.zeros((rows, 8), np.uint8)
+    if rows:
+        x = np.frombuffer(data, np.uint8).reshape(-1, rows)
+        out[:, : len(x)] = x.T
+    return out.view("<u8").reshape(-1)
 
 
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -304,17 +319,26 @@ def bucket_of(g: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
     return np.where(deep(g), top(bases(g, w)[ORDERS], parts), top(tk.mix(code_of(g, w)), parts))
 
 
+KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
 def _gather(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of a task's bytes with their contexts (kind 0) and words (kind 1) by bucket, and its number of ends (kind 2)."""
+        """Counts of a task's bytes with their contexts (kind 0) and words (kind 1), a row for each bucket, and its number of ends (kind 2)."""
         held: dict[int, list] = {0: [], 1: []}
         names = [x.split()[0] for x in GATHERED.split(", ")]
         ends = 0
 
-        def out(kind: int) -> pa.RecordBatch:
+        def out(kind: int) -> Iterator[pa.RecordBatch]:
             _, k, w, n = _merge(held[kind])
+            if not len(k):
+                return
             bucket = bucket_of(k, w, parts) if kind == 0 else top(tk.mix(k), parts)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(tk.signed(k)), pa.array(tk.signed(w)), pa.array(n)], names)
+            order = np.argsort(bucket, kind="stable")
+            bucket, k, w, n = (x[order] for x in (bucket, k, w, n))
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+            rows = [(kind, int(bucket[a]), b - a, planes(k[a:b], 5 if kind == 0 else 8), planes(w[a:b] >> np.uint64(8), 5) if kind == 0 else b"", planes(n[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), KINDS, strict=True)], names)
 
         for b in batches:
             for i, j, buf, off in tk.chunks(b["text"], CHUNK):
@@ -327,13 +351,13 @@ def _gather(parts: int):
                     if sum(len(x[0]) for x in held[kind]) > KEEP:
                         held[kind] = [_merge(held[kind])]
                         if len(held[kind][0][0]) > KEEP // 2:
-                            yield out(kind)
+                            yield from out(kind)
                             held[kind] = []
         for kind in (0, 1):
             if held[kind]:
-                yield out(kind)
+                yield from out(kind)
         if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.int64()) for x in (0, 0, ends))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], y) for x, y in zip((2, 0, ends, b"", b"", b""), KINDS, strict=True)], names)
 
     return run
 
@@ -360,18 +384,25 @@ def _begun(g: np.ndarray, w: np.ndarray, n: np.ndarray, bits: int, parts: int) -
 def _pack(bits: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         """A bucket's distinct bytes with their contexts, its words, and its part of the table of word beginnings, as one row."""
-        kind = table["kind"].to_numpy()
-        key, began = (table[c].to_numpy().view(np.uint64) for c in ("key", "began"))
-        n = table["n"].to_numpy()
-        a, b = kind == 0, kind == 1
-        _, g, w, counts = _merge([(code_of(key[a], began[a]), key[a], began[a], n[a])])
-        _, words, _, word_counts = _merge([(key[b], key[b], began[b], n[b])])
+        parts_: dict[int, list] = {0: [], 1: []}
+        ends, none = 0, np.zeros(0, np.uint64)
+        for b in table.to_batches():
+            for kind, rows, key, began, n in zip(*(b[c].to_pylist() for c in ("kind", "rows", "key", "began", "n")), strict=True):
+                if kind == 2:
+                    ends += rows
+                    continue
+                k, w, c = whole(key, rows), whole(began, rows) if kind == 0 else none, whole(n, rows).astype(np.int64)
+                w = w << np.uint64(8) | k & np.uint64(0xFF) if kind == 0 else np.zeros(rows, np.uint64)
+                parts_[kind].append((code_of(k, w) if kind == 0 else k, k, w, c))
+        blank_ = (none, none, none, none.astype(np.int64))
+        _, g, w, counts = _merge(parts_[0] or [blank_])
+        _, words, _, word_counts = _merge(parts_[1] or [blank_])
         d = deep(g)
-        columns = [g, w, counts, words, word_counts]
         made = _begun(g[d], w[d], counts[d], bits, parts)
         names = [x.split()[0] for x in PACKED.split(", ")]
-        row = [pa.array([table["bucket"][0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns), pa.array([int(n[kind == 2].sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in made)]
-        return pa.Table.from_arrays(row, names)
+        row = [table["bucket"][0].as_py(), len(g), planes(g, 5), planes(w >> np.uint64(8), 5), planes(counts), len(words), planes(words, 8), planes(word_counts), ends, *(x.tobytes() for x in made)]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 2, pa.int64(), *[pa.binary()] * 4]
+        return pa.Table.from_arrays([pa.array([x], y) for x, y in zip(row, kinds, strict=True)], names)
 
     return run
 
@@ -379,14 +410,16 @@ def _pack(bits: int, parts: int):
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The bytes of each bucket: keys, began, counts."""
     for i in range(b.num_rows):
-        yield tuple(np.frombuffer(b[c][i].as_buffer(), kind) for c, kind in (("keys", np.uint64), ("began", np.uint64), ("counts", np.int64)))
+        n = b["rows"][i].as_py()
+        g, w, counts = (whole(b[c][i].as_buffer(), n) for c in ("keys", "began", "counts"))
+        yield g, w << np.uint64(8) | g & np.uint64(0xFF), counts.astype(np.int64)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            word, c = (np.frombuffer(b[x][i].as_buffer(), np.int64) for x in ("words", "word_counts"))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(c)], ["word", "c"])
+            word, c = (whole(b[x][i].as_buffer(), b["types"][i].as_py()) for x in ("words", "word_counts"))
+            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(word)), pa.array(c.astype(np.int64))], ["word", "c"])
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,7 +556,7 @@ def learn(docs: DataFrame) -> Trained:
     last = sizes([size // BYTES_A_GRAM])[0]
     parts = min(max(int(np.ceil(np.log2(max(size, 1) / BUCKET_BYTES))), 0), last - 8)
     packed = stored(texts.mapInArrow(_gather(parts), GATHERED).groupBy("bucket").applyInArrow(_pack(last, parts), PACKED))
-    by_order = stored(packed.select("keys", "began", "counts").mapInArrow(_orders, "predictor int, key long, n long").groupBy("predictor", "key").agg(F.sum("n").alias("n")))
+    by_order = stored(packed.select("rows", "keys", "began", "counts").mapInArrow(_orders, "predictor int, key long, n long").groupBy("predictor", "key").agg(F.sum("n").alias("n")))
     known = {r.predictor: r.n for r in by_order.groupBy("predictor").agg(F.count("*").alias("n")).collect()}
     bits = (*sizes([known.get(o, 0) for o in range(ORDERS)]), last)
     model = blank(bits, parts)
@@ -541,7 +574,7 @@ def learn(docs: DataFrame) -> Trained:
         side[slot[more]] = x[more].view(np.uint8)
     del table, slot, q0, q1, check, more
     sc = docs.sparkSession.sparkContext
-    bytes_, shared = packed.select("bucket", "keys", "began", "counts"), sc.broadcast(model.packed())
+    bytes_, shared = packed.select("bucket", "rows", "keys", "began", "counts"), sc.broadcast(model.packed())
     trained = bytes_.mapInArrow(lambda it: _train(Mixer.unpacked(shared.value))(it), "bucket int, w binary, n double").collect()  # one row of some kB a bucket
     if trained:
         total = sum(r.n for r in trained)
@@ -553,7 +586,7 @@ def learn(docs: DataFrame) -> Trained:
         for r in levels:
             refine[r.at] = (r.n1 + 20 * refine[r.at]) / (r.n0 + r.n1 + 20)
         model = model._replace(refine=refine.reshape(GATES, LEVELS))
-    words = packed.select("words", "word_counts").mapInArrow(_words, "word long, c long")
+    words = packed.select("types", "words", "word_counts").mapInArrow(_words, "word long, c long")
     sums = words.agg(F.sum("c").alias("words"), F.count("*").alias("types")).first()
     top_words = words.orderBy(F.col("c").desc(), "word").limit(FREQUENT).toArrow()
     keys = top_words["word"].to_numpy().view(np.uint64)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, ident, row_key, scratch
+from .common import cut, row_key, scratch
 
 ARCHIVE_BYTES = 4_000_000
 BROADCAST_DIGESTS = 200_000
@@ -146,7 +146,7 @@ def verify(digest: str | None, data: bytes, what: str) -> None:
 def _page(urn: str | None) -> int | None:
     """The page of an identifier of ours; other writers' records have none."""
     inner = (urn or "").strip("<>").removeprefix("urn:page:")
-    return int(inner) if inner.lstrip("-").isdigit() and inner != str(NO_ID) else None
+    return int(inner) if inner.lstrip("-").isdigit() else None
 
 
 def parse(record: Record) -> tuple:
@@ -168,10 +168,10 @@ def parse(record: Record) -> tuple:
 
 def link_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is the page_id of the equal payload's response, null for responses."""
-    rows = pages.select(ident("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("payload").cast("string"), F.lit("")), "utf-8").alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("payload").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.length("payload").cast("long")})
-    known = rows.filter((F.col("size") >= min_bytes) & (F.col("page_id") != NO_ID)).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    refers = F.when((F.col("page_id") < F.col("last")) & (F.col("page_id") != NO_ID), F.col("last")).alias("refers_to")
+    known = rows.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    refers = F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to")
     known = cut(known)
     if known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
         return rows.join(F.broadcast(known), ["digest", "size"], "left").select("page_id", "url", "payload", refers)
