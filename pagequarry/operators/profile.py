@@ -192,8 +192,8 @@ def site_funnels(pages: DataFrame, keys: list[str], labels: dict[str, str]) -> D
 
 
 def site_ctas(pages: DataFrame, keys: list[str], k: int = 30) -> DataFrame:
-    """(keys, place, kind, label, href): the pages' calls to action, then phones and mail addresses as such, once each."""
-    own = pages.filter("cta_kind IS NOT NULL").select(*keys, F.lit(0).alias("tier"), "ord", F.lit(0).alias("pos"), F.col("cta_kind").alias("kind"), F.col("cta_label").alias("label"), F.lit(None).cast("string").alias("href"))
+    """(keys, place, kind, label, href): the pages' calls to action with where they lead, then phones and mail addresses as such, once each."""
+    own = pages.filter("cta_kind IS NOT NULL").select(*keys, F.lit(0).alias("tier"), "ord", F.lit(0).alias("pos"), F.col("cta_kind").alias("kind"), F.col("cta_label").alias("label"), F.col("cta_href").alias("href"))
     tel = pages.filter("phone IS NOT NULL").select(*keys, F.lit(1).alias("tier"), "ord", F.lit(0).alias("pos"), F.lit("tel").alias("kind"), F.col("phone").alias("label"), F.concat(F.lit("tel:"), F.regexp_replace("phone", r"[^\d+]", "")).alias("href"))
     mail = pages.filter("email IS NOT NULL").select(*keys, F.lit(1).alias("tier"), "ord", F.lit(1).alias("pos"), F.lit("mailto").alias("kind"), F.col("email").alias("label"), F.concat(F.lit("mailto:"), "email").alias("href"))
     rows = own.unionByName(tel).unionByName(mail).withColumn("__same", F.concat_ws("::", "kind", F.lower(F.coalesce("label", F.lit("")))))

@@ -79,9 +79,11 @@ def grouping_verdicts(labels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def languages(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, main, alternates): the first page's language (keys, ord, main, alternates) and all others but that, in order."""
-    agg = signals.groupBy(*keys).agg(F.min(F.when(F.col("main").isNotNull(), F.struct("ord", "main"))).alias("__m"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "alternates"))), lambda s: s["alternates"])).alias("__a"))
-    return agg.select(*keys, F.col("__m.main").alias("main"), F.array_except(F.array_distinct("__a"), F.array(F.coalesce("__m.main", F.lit("")))).alias("alternates"))
+    """(keys, main, alternates): the first page's language (keys, ord, main, alternates) and all others but that, in order; a site's pages are brought down to its different languages first."""
+    each = signals.select(*keys, "ord", F.when(F.col("main").isNotNull(), F.struct("ord", "main")).alias("m"), F.posexplode_outer("alternates").alias("pos", "tag"))
+    tags = each.groupBy(*keys, "tag").agg(F.min(F.struct("ord", "pos")).alias("at"), F.min("m").alias("m"))
+    agg = tags.groupBy(*keys).agg(F.min("m")["main"].alias("main"), F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("at", "tag")))).alias("a"))
+    return agg.select(*keys, "main", F.filter(F.transform("a", lambda s: s["tag"]), lambda t: ~t.eqNullSafe(F.col("main"))).alias("alternates"))
 
 
 def gender(pronouns: Column) -> Column:

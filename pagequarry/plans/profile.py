@@ -47,7 +47,7 @@ EVIDENCE = {
     "json_staff": "CASE WHEN o_orderkey % 23 = 0 THEN '50-100' END", "json_industry": "CASE WHEN o_orderkey % 29 = 0 THEN 'Tool making' END", "keywords": "CASE WHEN o_orderkey % 7 = 0 THEN 'ab, hand tools, saws' WHEN o_orderkey % 7 = 1 THEN 'a,b,c,d,e,f,g,h,i,j' END",
     "address": "CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey % 40) || ' Elm Street' END", "phone": "CASE WHEN o_orderkey % 6 = 1 THEN '(555) 01' || (10 + o_orderkey % 90) END", "email": "CASE WHEN o_orderkey % 8 = 3 THEN 'mail' || (o_orderkey % 9) || '@firm.example' END",
     "social": "CASE WHEN o_orderkey % 12 = 5 THEN 'https://x.com/f' END", "vendor": cycle("o_orderkey", ["Shopify", "Calendly", "Intercom", "Mailchimp", "Google Analytics", *[None] * 12]),
-    "cta_kind": cycle("o_orderkey", ["form", None, "tel", None, "booking", None, None, "link", None, "mailto", None]), "cta_label": cycle("o_orderkey", ["Contact us", "Call now", "Book a table", "Get a quote", "Start your demo", "Subscribe", "Free audit", "Send a message", "FREE ANALYSIS"]),
+    "cta_kind": cycle("o_orderkey", ["form", None, "tel", None, "booking", None, None, "link", None, "mailto", None]), "cta_href": "CASE WHEN o_orderkey % 3 > 0 THEN '/act/' || (o_orderkey % 13) END", "cta_label": cycle("o_orderkey", ["Contact us", "Call now", "Book a table", "Get a quote", "Start your demo", "Subscribe", "Free audit", "Send a message", "FREE ANALYSIS"]),
     "quote": "CASE WHEN o_orderkey % 9 = 0 THEN 'They fixed our roof in a day ' || (o_orderkey % 4) END", "n_faq": "CAST(o_orderkey % 5 AS INT)", "heading": cycle("o_orderkey", ["Spring sale now on", "Our story", "Meet the team"]), "item": cycle("o_orderkey", ["Unlike most shops, we care", "Open on Sunday", "Guaranteed work", "A fair discount"]),
     "was": "CASE WHEN o_orderkey % 10 = 0 THEN '$' || (40 + o_orderkey % 3) || '.00' END", "now": "CASE WHEN o_orderkey % 4 = 0 THEN '$40.00' END", "name": "CASE WHEN o_orderkey % 20 = 0 THEN 'Saw ' || (o_orderkey % 7) END",
 }
@@ -289,7 +289,7 @@ def site_funnels(spark, sf):
     return profile.site_funnels(pages(spark, sf), K, resolve.FUNNEL_LABELS).select("site", F.array_join("labels", "; ").alias("labels"))
 
 
-@query(f"""WITH {P}, u AS (SELECT site, 0 AS tier, ord, 0 AS pos, cta_kind AS kind, cta_label AS label, NULL AS href FROM p WHERE cta_kind IS NOT NULL UNION ALL SELECT site, 1, ord, 0, 'tel', phone, 'tel:' || regexp_replace(phone, '[^0-9+]', '', 'g') FROM p WHERE phone IS NOT NULL UNION ALL SELECT site, 1, ord, 1, 'mailto', email, 'mailto:' || email FROM p WHERE email IS NOT NULL),
+@query(f"""WITH {P}, u AS (SELECT site, 0 AS tier, ord, 0 AS pos, cta_kind AS kind, cta_label AS label, cta_href AS href FROM p WHERE cta_kind IS NOT NULL UNION ALL SELECT site, 1, ord, 0, 'tel', phone, 'tel:' || regexp_replace(phone, '[^0-9+]', '', 'g') FROM p WHERE phone IS NOT NULL UNION ALL SELECT site, 1, ord, 1, 'mailto', email, 'mailto:' || email FROM p WHERE email IS NOT NULL),
 k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY site, kind || '::' || lower(coalesce(label, '')) ORDER BY tier, ord, pos) = 1) SELECT site, row_number() OVER (PARTITION BY site ORDER BY tier, ord, pos) AS place, kind, label, href FROM k QUALIFY place <= 30""")
 def site_ctas(spark, sf):
     return profile.site_ctas(pages(spark, sf), K)

@@ -470,9 +470,9 @@ def sibling_walk(spark, sf):
     return order.walk(rows, ["doc_id"], "pos", F.length("text") < 40, 3).select("doc_id", "pos", "heading_at")
 
 
-@query("WITH s AS (SELECT doc_id, string_split(text, ' ')[1:30] AS e FROM documents) SELECT doc_id, len(e) >= 25 OR (len(e) >= 4 AND n >= 4 AND 2 * n >= len(e)) AS is_options FROM (SELECT doc_id, e, len(list_filter(e, lambda x: regexp_matches(x, '\\b[A-Z]{3}\\b'))) AS n FROM s)")
+@query("WITH s AS (SELECT doc_id, string_split(text, ' ') AS e FROM documents) SELECT doc_id, len(e) >= 25 OR (len(e) >= 4 AND n >= 4 AND 2 * n >= len(e)) AS is_options FROM (SELECT doc_id, e, len(list_filter(e, lambda x: regexp_matches(x, '\\b[A-Z]{3}\\b'))) AS n FROM s)")
 def option_lists(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", resolve.option_list(F.slice(F.split("text", " "), 1, 30)).alias("is_options"))
+    return table(spark, sf, "documents").select("doc_id", resolve.option_list(F.split("text", " ")).alias("is_options"))
 
 
 @query("SELECT p_brand, p_type AS industry, n FROM (SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS f, count(*) OVER (PARTITION BY p_brand) AS kinds FROM part GROUP BY p_brand, p_type) WHERE n >= 2 OR kinds = 1 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, f) = 1")
