@@ -16,7 +16,8 @@ corpus costs nothing unless a window has no other word.  The windows' terms
 are broadcast while there are at most `BROADCAST_TERMS` of them, which is
 counted; beyond that they are joined by a shuffle on the term.
 
-Nulls and edges: null or empty texts have no words; items without words have no
+Nulls and edges: very long texts are read whole, as postings.  Null or empty
+texts have no words; items without words have no
 windows; a null item_id counts as the empty text.  Rows are told apart by a key
 of doc_id and text (`common.row_key`), so rows that share a doc_id or have none
 are judged each by its own text; equal rows get equal results.  Equal items all

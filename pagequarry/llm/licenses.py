@@ -14,7 +14,7 @@ notices, and full texts as a whole and by paragraph.  They go to the tasks in
 groups of at most `GROUP_BIGRAMS` bigrams; with one group, as usual, nothing is
 shuffled, and beyond it each group is a scan of its own.
 
-Nulls and edges: null or empty texts, and texts of one word, have no bigrams
+Nulls and edges: very long texts are read whole, in their units.  Null or empty texts, and texts of one word, have no bigrams
 and match nothing; a null doc_id is returned as null.  Every row is judged by
 its own text, whatever rows share its doc_id.  Equal units of a document count
 each.  Ties for the best template go to the first license_id.  Empty tables on

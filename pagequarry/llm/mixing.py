@@ -17,7 +17,7 @@ rows: running sums go by the first digits of the permutation's key, so that a
 window holds 1/4096 of a source's epoch.  The sources' totals stay distributed
 too; the bisection collects at most `PROBES` rows a round.
 
-Nulls and edges: a null text has no words, documents without words are kept
+Nulls and edges: very long texts count with all of their words.  A null text has no words, documents without words are kept
 once, in epoch 0; null sources form a source of their own; equal documents
 are told apart by doc_id, and rows that share a doc_id or have none by a key of
 doc_id and text; their places among each other follow the key.  An

@@ -25,7 +25,7 @@ before the shuffle (equal paths or windows of a batch send one row), so a
 passage that stands in a third of all documents sends a row a batch.  Rows are
 sorted by anchor and read as a stream; no group is gathered.
 
-Nulls and edges: a null text has no words.  A null doc_id sorts last.  Rows
+Nulls and edges: very long texts are read whole.  A null text has no words.  A null doc_id sorts last.  Rows
 that share a doc_id, or have none, are told apart by their texts
 (`common.told_apart`) and come in the order of the texts' hashes; equal rows
 have equal coordinates, so they aren't each other's earlier copies and share

@@ -11,17 +11,23 @@ call behind a cycle comes behind the call it needs.  Arguments are parsed as
 JSON and held against the tool's schema (tool, field, type, required).  Each
 call becomes one line of canonical JSON: keys sorted, no spaces.
 
-A call that waits for one other call has the position max(a, b + that call's).
-Such functions compose, so whole chains are followed by pointer doubling, in a
-number of rounds that is the logarithm of their length; a call that waits for
-several has to see all but one of them placed first.  Calls that never get a
-position lie on cycles or behind them; the same in the other direction leaves
-those between cycles, of which the paths are followed to tell who comes back to
-itself.
-
-Rows stay rows all through: no conversation is gathered, so one that holds a
-third of the table is as well spread as the rest, except for its join key,
-which is conversation and call identifier together.
+Only conversations in which a call needs one that doesn't come before it are
+ordered anew.  One with at most `GROUP_LINKS` needs is ordered by one pass over its
+calls' identifiers, seqs and needs (strongly connected components, needed ones
+first), whose time is linear in them, however deep they are and however many
+others a call needs.
+
+A larger conversation stays rows, so that one that holds a third of the table is
+as well spread as the rest.  There a call that waits for one other call has the
+position max(a, b + that call's).  Such functions compose, so whole chains are
+followed by pointer doubling, in a number of rounds that is the logarithm of
+their length; a call that waits for several has to see all but one of them placed
+first.  Calls that never get a position lie on cycles or behind them; the same in
+the other direction leaves those between cycles, of which the paths are followed
+to tell who comes back to itself.
+
+Calls and results meet by conversation and call identifier together, so no
+conversation's texts are gathered.
 
 Nulls and edges: calls without an identifier have no results; of several calls
 with one identifier, equal rows among them, the first by seq counts and the
@@ -35,12 +41,15 @@ may have any names.  Empty tables give empty tables.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, stored
 
 KEY = ["conv_id", "call_id"]
+#: needs of a conversation that is ordered in one pass, at most
+GROUP_LINKS = 50_000
 
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +135,56 @@ def within_cycles(edges: DataFrame) -> DataFrame:
     return left.join(home, [*KEY, "need"], "left_semi")
 
 
+def components_of(needs: list[list[int]]) -> list[list[int]]:
+    """The strongly connected components of a graph (for each node those that it needs), needed ones first."""
+    out, stack, seen, low = [], [], [0] * len(needs), [0] * len(needs)
+    on, counter = [False] * len(needs), 0
+    for root in range(len(needs)):
+        if seen[root]:
+            continue
+        path = [(root, iter(needs[root]))]
+        counter += 1
+        seen[root] = low[root] = counter
+        stack.append(root)
+        on[root] = True
+        while path:
+            node, rest = path[-1]
+            for other in rest:
+                if not seen[other]:
+                    counter += 1
+                    seen[other] = low[other] = counter
+                    stack.append(other)
+                    on[other] = True
+                    path.append((other, iter(needs[other])))
+                    break
+                if on[other]:
+                    low[node] = min(low[node], seen[other])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == seen[node]:
+                    ring = []
+                    while not ring or ring[-1] != node:
+                        ring.append(stack.pop())
+                        on[ring[-1]] = False
+                    out.append(ring)
+    return out
+
+
+def _one_pass(key: tuple, calls: pd.DataFrame) -> pd.DataFrame:
+    """The position of each call of a conversation, and whether it lies on a cycle."""
+    at = {c: k for k, c in enumerate(calls["call_id"])}
+    needs = [[at[x] for x in n if x in at] if n is not None else [] for n in calls["needs"]]
+    place, cyclic = calls["position"].tolist(), [False] * len(calls)
+    for ring in components_of(needs):
+        own = set(ring)
+        for k in ring:
+            cyclic[k] = len(ring) > 1
+            place[k] = max([place[k], *(place[x] + 1 for x in needs[k] if x not in own)])
+    return pd.DataFrame({"conv_id": calls["conv_id"], "call_id": calls["call_id"], "position": place, "cyclic": cyclic})
+
+
 def positions(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, position, missing, cyclic) of calls whose identifiers differ; missing counts needed calls that don't exist."""
     own = stored(calls.select(*KEY, F.col("seq").cast("long").alias("position")))
@@ -135,15 +194,21 @@ def positions(calls: DataFrame) -> DataFrame:
     missing = met.filter("need_position IS NULL").groupBy(*KEY).agg(F.count("*").alias("missing"))
     live = met.filter("need_position IS NOT NULL AND need <> call_id")
     cyclic = met.filter("need = call_id").select(*KEY)
-    late = live.filter("need_position >= position")
-    now = own
-    if not late.isEmpty():
+    late = F.col("need_position") >= F.col("position")
+    moved = stored(live.groupBy("conv_id").agg(F.count("*").alias("n"), F.bool_or(late).alias("late"), F.min(F.when(late, F.col("position"))).alias("lo"), F.max(F.when(late, F.col("need_position"))).alias("hi")).filter("late").select("conv_id", "n", "lo", "hi"))
+    small, large = moved.filter(F.col("n") <= GROUP_LINKS).select("conv_id"), moved.filter(F.col("n") > GROUP_LINKS)
+    rest = own.join(moved.select("conv_id"), "conv_id", "left_anti")
+    needs = live.join(small, "conv_id", "left_semi").groupBy(*KEY).agg(F.collect_list("need").alias("needs"))  # a call's own list
+    group = own.join(small, "conv_id", "left_semi").join(needs, KEY, "left").groupBy("conv_id").applyInPandas(_one_pass, f"conv_id {own.schema['conv_id'].dataType.simpleString()}, call_id string, position long, cyclic boolean")
+    group = stored(group)
+    now, cyclic = rest.unionByName(group.drop("cyclic")), cyclic.union(group.filter("cyclic").select(*KEY))
+    if not large.isEmpty():
         # a cycle lies between the first call that comes too early and the last that such a call needs
-        span = late.groupBy("conv_id").agg(F.min("position").alias("lo"), F.max("need_position").alias("hi"))
-        near = live.join(span, "conv_id").filter("position BETWEEN lo AND hi AND need_position BETWEEN lo AND hi")
+        theirs = live.join(large, "conv_id")
+        near = theirs.filter("position BETWEEN lo AND hi AND need_position BETWEEN lo AND hi")
         ring = stored(within_cycles(near.select(*KEY, "need")))
         cyclic = cyclic.union(ring.select(*KEY))
-        now = placed(live.select(*KEY, "need").join(ring, [*KEY, "need"], "left_anti"), own)
+        now = now.unionByName(placed(theirs.select(*KEY, "need").join(ring, [*KEY, "need"], "left_anti"), own.join(large.select("conv_id"), "conv_id", "left_semi")))
     out = now.join(missing, KEY, "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long"))
     return out.join(cyclic.distinct().withColumn("cyclic", F.lit(True)), KEY, "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 

@@ -16,7 +16,10 @@ causes; a quarter of the training documents, kept back from the lexicon, tells
 how much evidence makes the score `THRESHOLD`.
 
 Learning reads at most `MAX_TRAIN` labelled documents, those with the least
-hash of their doc_id; nothing else is bounded: every whole text is scored.
+hash of their doc_id.  The lexicon is bounded as well: its `MAX_TERMS` strongest
+terms and `MAX_STEMS` strongest stems are the classifier, at any size of the
+corpus, and a document's evidence is that of its `TOP` strongest different hits.
+Every whole text is scored, however long it is.
 
 Nulls and edges: a null or empty text has no tokens and gets the score of
 documents without hits.  Labels whose doc_id or toxic is null are not learnt

@@ -220,7 +220,9 @@ def test_toolcalls(spark):
     assert toolcalls.link(calls.limit(0), results, schemas).isEmpty()
 
 
-def test_toolcalls_long_chains_and_cycles(spark):
+@pytest.mark.parametrize("links", [0, 50_000])  # as rows, and in one pass
+def test_toolcalls_long_chains_and_cycles(spark, monkeypatch, links):
+    monkeypatch.setattr(toolcalls, "GROUP_LINKS", links)
     rows = [(1, i, f"a{i}", [f"a{i + 1}"] if i < 19 else []) for i in range(20)]  # each call needs the next one
     rows += [(2, 0, "behind", ["p"]), (2, 1, "p", ["q"]), (2, 2, "q", ["r", "before"]), (2, 3, "r", ["p"]), (2, 4, "before", []), (2, 5, "between", ["r"]), (2, 6, "s", ["t", "between"]), (2, 7, "t", ["s"]), (2, 8, "u", ["u", "s"])]
     calls = spark.createDataFrame(rows, "conv_id long, seq long, call_id string, after array<string>")
@@ -233,9 +235,23 @@ def test_toolcalls_long_chains_and_cycles(spark):
             assert got[need].position < got[call].position or any({need, call} <= c for c in apart)
 
 
-def test_toolcalls_very_long_chain_takes_few_rounds(spark):
+def test_toolcalls_of_many_needs_and_long_rings(spark):
+    """200 calls that need two later ones each, and a ring of 5,000 with a call behind it, in one pass."""
     import time
 
+    rows = [(1, i, f"a{i}", [f"a{k}" for k in (i + 1, i + 2) if k < 200]) for i in range(200)] + [(2, i, f"r{i}", [f"r{(i + 1) % 5000}"]) for i in range(5000)] + [(2, 0, "behind", ["r4999"])]
+    began = time.time()
+    got = {(r.conv_id, r.call_id): r for r in toolcalls.positions(spark.createDataFrame(rows, "conv_id long, seq long, call_id string, after array<string>")).collect()}
+    assert time.time() - began < 60
+    assert [got[1, f"a{i}"].position for i in range(199, -1, -1)] == list(range(199, 399))
+    assert all(got[2, f"r{i}"].cyclic and got[2, f"r{i}"].position == i for i in range(5000))
+    assert not got[2, "behind"].cyclic and got[2, "behind"].position == 5000
+
+
+def test_toolcalls_very_long_chain_takes_few_rounds(spark, monkeypatch):
+    import time
+
+    monkeypatch.setattr(toolcalls, "GROUP_LINKS", 0)
     rows = [(1, i, f"a{i}", [f"a{i + 1}"] if i < 199 else []) for i in range(200)]
     began = time.time()
     got = {r.call_id: r for r in toolcalls.positions(spark.createDataFrame(rows, "conv_id long, seq long, call_id string, after array<string>")).collect()}
@@ -243,8 +259,10 @@ def test_toolcalls_very_long_chain_takes_few_rounds(spark):
     assert time.time() - began < 120
 
 
-def test_toolcalls_against_brute_force(spark):
+@pytest.mark.parametrize("links", [0, 50_000])
+def test_toolcalls_against_brute_force(spark, monkeypatch, links):
     """Random graphs: positions as defined, cycles as strongly connected components."""
+    monkeypatch.setattr(toolcalls, "GROUP_LINKS", links)
     r = random.Random(3)
     rows = [(c, i, f"c{i}", sorted({f"c{r.randrange(14)}" for _ in range(r.choice([0, 0, 1, 1, 2]))})) for c in range(12) for i in range(12)]
     got = {(x.conv_id, x.call_id): x for x in toolcalls.positions(spark.createDataFrame(rows, "conv_id long, seq long, call_id string, after array<string>")).collect()}
