@@ -204,6 +204,15 @@ def contexts(g: np.ndarray, w: np.ndarray, bits: tuple[int, ...] = (SLOT_BITS,)
 COUNT = (2 ** (np.arange(256) / STEPS) - 1).astype(np.float32)
 
 
+#: of both counts' steps (n0 << 8 | n1): the log odds, and how well the context is known; as they are, and with a bit 0 or 1 left out of its own counts
+_N = [COUNT[np.arange(1 << 16) >> 8], COUNT[np.arange(1 << 16) & 255]]
+# counts in the last doubling may have been halved; one sighting more or less says nothing there
+_FEW = np.maximum(*_N) < COUNT[255 - STEPS]
+_LEFT = [[np.maximum(n - (_FEW & (leave == k)), 0) for k, n in enumerate(_N)] for leave in (None, 0, 1)]
+LOG_ODDS = np.concatenate([np.log((b + DELTA) / (a + DELTA)) for a, b in _LEFT]).astype(np.float32)
+KNOWN = np.concatenate([np.searchsorted(EDGES, a + b, "right") for a, b in _LEFT]).astype(np.int64)
+
+
 def quantised(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both counts as steps of their logarithm, in a byte each; counts beyond the last step are halved together until they fit."""
     most = np.maximum(np.maximum(n0, n1), 1).astype(np.float64)
@@ -217,10 +226,9 @@ def sizes(grams_: list[int]) -> tuple[int, ...]:
 
 
 class Mixer(NamedTuple):
-    """The finished model: both counts of every slot (as `quantised`) and its check, the weights of each gate, the refining table, the bits of each predictor's table, and of the last one's parts."""
+    """The finished model: both counts of every slot (as `quantised`, n0 << 8 | n1) and its check, the weights of each gate, the refining table, the bits of each predictor's table, and of the last one's parts."""
 
-    zeros: np.ndarray
-    ones: np.ndarray
+    pairs: np.ndarray
     checks: np.ndarray
     weights: np.ndarray
     refine: np.ndarray
@@ -229,27 +237,27 @@ class Mixer(NamedTuple):
 
     def packed(self) -> tuple:
         """The same, small enough to send: tables that are mostly empty compress well."""
-        return (*(zlib.compress(x.tobytes(), 1) for x in self[:3]), *self[3:])
+        return (*(zlib.compress(x.tobytes(), 1) for x in ((self.pairs >> 8).astype(np.uint8), self.pairs.astype(np.uint8), self.checks)), *self[2:])
 
     @staticmethod
     def unpacked(x: tuple) -> Mixer:
-        return Mixer(*(np.frombuffer(zlib.decompress(b), np.uint8) for b in x[:3]), *x[3:])
+        pairs = np.frombuffer(zlib.decompress(x[0]), np.uint8).astype(np.uint16)
+        pairs <<= 8
+        pairs |= np.frombuffer(zlib.decompress(x[1]), np.uint8)
+        return Mixer(pairs, np.frombuffer(zlib.decompress(x[2]), np.uint8), *x[3:])
 
     def inputs(self, slots: list[np.ndarray], checks: list[np.ndarray], leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each predictor (and a constant), and the gate; leave: bits to be left out of their own counts."""
         n = len(slots[0])
         x = np.empty((PREDICTORS + 1, n), np.float32)
         gate = np.zeros(n, np.int64)
+        variant = 0 if leave is None else (leave.astype(np.int32) + 1) << 16
         for o, (s, check) in enumerate(zip(slots, checks, strict=True)):
-            own = self.checks[s] == check  # else the slot belongs to a context seen more often, and this one counts as new
-            n0, n1 = COUNT[self.zeros[s]] * own, COUNT[self.ones[s]] * own
-            if leave is not None:
-                # counts in the last doubling may have been halved; one sighting more or less says nothing there
-                few = np.maximum(n0, n1) < COUNT[255 - STEPS]
-                n0, n1 = np.maximum(n0 - (few & (leave == 0)), 0), np.maximum(n1 - (few & (leave == 1)), 0)
-            x[o] = np.log((n1 + DELTA) / (n0 + DELTA))
+            # else the slot belongs to a context seen more often, and this one counts as new
+            at = np.where(self.checks[s] == check, self.pairs[s], 0).astype(np.int32) + variant
+            x[o] = LOG_ODDS[at]
             if o >= PREDICTORS - 2:
-                gate = gate * (len(EDGES) + 1) + np.searchsorted(EDGES, n0 + n1, "right")
+                gate = gate * (len(EDGES) + 1) + KNOWN[at]
         x[PREDICTORS] = 0.3
         return x, gate
 
@@ -266,10 +274,34 @@ class Mixer(NamedTuple):
 
     def log10(self, g: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 probability of each byte (`grams` and `beginnings`) after its contexts."""
-        out = np.zeros(len(g))
+        out = np.ones(len(g))
         for bit, slots, checks in contexts(g, w, self.bits, self.parts):
-            p = self.refined(*(lambda x, gate: (self.mix(x, gate), gate))(*self.inputs(slots, checks)))
-            out += np.log10(np.where(bit, p, 1 - p))
+            x, gate = self.inputs(slots, checks)
+            p = self.refined(self.mix(x, gate), gate)
+            out *= np.where(bit, p, 1 - p)
+        return np.log10(out)  # FLOOR**8 at least
+
+
+class Memo:
+    """Costs of bytes with their contexts that a task has worked out, KEEP at most: then it starts anew."""
+
+    def __init__(self) -> None:
+        self.codes, self.costs = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, mixer: Mixer, g: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """`Mixer.log10` of distinct bytes."""
+        code = code_of(g, w)
+        at = np.searchsorted(self.codes, code)
+        known = self.codes[np.minimum(at, len(self.codes) - 1)] == code if len(self.codes) else np.zeros(len(code), bool)
+        out = np.empty(len(g))
+        out[known] = self.costs[at[known]]
+        new = np.flatnonzero(~known)
+        out[new] = mixer.log10(g[new], w[new])
+        if len(self.codes) + len(new) > KEEP:
+            self.codes, self.costs = np.zeros(0, np.uint64), np.zeros(0)
+            at = np.zeros(len(code), np.int64)
+        order = new[np.argsort(code[new], kind="stable")]
+        self.codes, self.costs = (np.insert(old, at[order], x) for old, x in ((self.codes, code[order]), (self.costs, out[order])))
         return out
 
 
@@ -280,7 +312,7 @@ def level_of(st: np.ndarray) -> np.ndarray:
 def blank(bits: tuple[int, ...] = (SLOT_BITS,) * PREDICTORS, parts: int = 0) -> Mixer:
     st = np.arange(LEVELS) / 2 - (LEVELS - 1) / 4
     slots = sum(1 << b for b in bits)
-    return Mixer(*(np.zeros(slots, np.uint8) for _ in range(3)), np.tile(np.array([0.05, 0.1, 0.15, 0.3, 0.4, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)), bits, parts)
+    return Mixer(np.zeros(slots, np.uint16), np.zeros(slots, np.uint8), np.tile(np.array([0.05, 0.1, 0.15, 0.3, 0.4, 0], np.float32), (GATES, 1)), np.tile((1 / (1 + np.exp(-st))).astype(np.float32), (GATES, 1)), bits, parts)
 
 
 GATHERED = "kind int, bucket int, rows long, key binary, began binary, n binary"
@@ -563,16 +595,17 @@ def learn(docs: DataFrame) -> Trained:
     # of the contexts of a slot, the one seen most often keeps it; at most PREDICTORS * 2**MOST_BITS rows of seven bytes come back
     tallied = by_order.mapInArrow(_tally(bits, parts), "slot long, check int, n0 long, n1 long").groupBy("slot", "check").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     kept = tallied.groupBy("slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "check", "n0", "n1")).alias("k")).select("slot", "k.check", "k.n0", "k.n1")
-    begins = sum(1 << b for b in bits[:ORDERS])
+    begins, seen = sum(1 << b for b in bits[:ORDERS]), lambda pairs: COUNT[pairs >> 8] + COUNT[pairs & 255]
     for b in packed.select("slots", "checks", "zeros", "ones").toLocalIterator():
         slot = begins + np.frombuffer(b.slots, np.int32)
-        model.zeros[slot], model.ones[slot], model.checks[slot] = (np.frombuffer(x, np.uint8) for x in (b.zeros, b.ones, b.checks))
+        q0, q1, model.checks[slot] = (np.frombuffer(x, np.uint8) for x in (b.zeros, b.ones, b.checks))
+        model.pairs[slot] = q0.astype(np.uint16) << 8 | q1
     table = kept.mapInArrow(_shorten, "slot int, check byte, q0 byte, q1 byte").toArrow()
     slot, q0, q1, check = (table[c].to_numpy() for c in ("slot", "q0", "q1", "check"))
-    more = COUNT[q0.view(np.uint8)] + COUNT[q1.view(np.uint8)] >= COUNT[model.zeros[slot]] + COUNT[model.ones[slot]]
-    for side, x in ((model.zeros, q0), (model.ones, q1), (model.checks, check)):
-        side[slot[more]] = x[more].view(np.uint8)
-    del table, slot, q0, q1, check, more
+    pairs = q0.view(np.uint8).astype(np.uint16) << 8 | q1.view(np.uint8)
+    more = seen(pairs) >= seen(model.pairs[slot])
+    model.pairs[slot[more]], model.checks[slot[more]] = pairs[more], check[more].view(np.uint8)
+    del table, slot, q0, q1, check, pairs, more
     sc = docs.sparkSession.sparkContext
     bytes_, shared = packed.select("bucket", "rows", "keys", "began", "counts"), sc.broadcast(model.packed())
     trained = bytes_.mapInArrow(lambda it: _train(Mixer.unpacked(shared.value))(it), "bucket int, w binary, n double").collect()  # one row of some kB a bucket
@@ -615,11 +648,11 @@ def experts(words: np.ndarray, woff: np.ndarray, coded: np.ndarray, n: int) -> n
     return top_ + np.log10(np.mean(10.0 ** (np.array(sums) - top_), axis=0))
 
 
-def text_scores(mixer: Mixer, stream: np.ndarray, doff: np.ndarray, words: np.ndarray, woff: np.ndarray) -> np.ndarray:
+def text_scores(mixer: Mixer, stream: np.ndarray, doff: np.ndarray, words: np.ndarray, woff: np.ndarray, memo: Memo | None = None) -> np.ndarray:
     """log10 probability of each document, its end included."""
     g, w = grams(stream, doff), beginnings(stream, doff)
     first, inverse = distinct(code_of(g, w))
-    cost = mixer.log10(g[first], w[first])[inverse]
+    cost = (memo or Memo()).of(mixer, g[first], w[first])[inverse]
     stops = np.flatnonzero((stream == GAP) | (stream == END))  # the last byte of each token
     begin = np.concatenate([[0], stops + 1])[: len(stops)]
     coded = 10 ** np.maximum(np.add.reduceat(cost, begin) if len(begin) else np.zeros(0), -300.0)  # each token by itself, whatever stands beside it
@@ -632,7 +665,7 @@ def text_scores(mixer: Mixer, stream: np.ndarray, doff: np.ndarray, words: np.nd
 def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0) with what needs no join, and one for each of its less frequent words (kind 1)."""
     packed, (keys, counts), ends = trained
-    mixer = Mixer.unpacked(packed)
+    mixer, memo = Mixer.unpacked(packed), Memo()
     names = [x.split()[0] for x in ROWS.split(", ")]
     value = np.log10(counts + 0.1)
     for b in batches:
@@ -644,7 +677,7 @@ def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             top = keys[at] == words if len(keys) else np.zeros(len(words), bool)
             base = np.bincount(doc[top], value[at[top]], n) + np.log10(ends + 0.1)
             known = np.bincount(doc[top], minlength=n) + (ends > 0)
-            scores = text_scores(mixer, stream, doff, words, woff)
+            scores = text_scores(mixer, stream, doff, words, woff, memo)
             yield pa.RecordBatch.from_arrays([b["rid"].slice(i, n), b["doc_id"].slice(i, n), b["held_out"].slice(i, n), pa.array(np.zeros(n, np.int32)), pa.array(rids[i:j]), pa.array(np.diff(woff) + 1), pa.array(known), pa.array(np.diff(doff)), pa.array(base), pa.array(scores)], names)
             r = np.flatnonzero(~top)
             if len(r):

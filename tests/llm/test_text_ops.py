@@ -146,8 +146,7 @@ def test_contextmix_probabilities_sum_to_one():
 
     m = contextmix.blank()
     r = np.random.default_rng(0)
-    m.zeros[:] = r.integers(0, 60, m.zeros.shape)
-    m.ones[:] = r.integers(0, 60, m.ones.shape)
+    m.pairs[:] = r.integers(0, 60, m.pairs.shape) << 8 | r.integers(0, 60, m.pairs.shape)
     m.checks[:] = r.integers(0, 3, m.checks.shape)
     g = np.uint64(0x6162636400) + np.arange(256, dtype=np.uint64)
     assert (10 ** m.log10(g, np.uint64(0x123456789ABCDE00) + np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
@@ -275,8 +274,8 @@ def test_contextmix_buckets_hold_the_counts_of_beginnings(spark, docs, monkeypat
     parted = contextmix.learn(docs).mixer
     assert whole.parts == 0 and parted.parts > 1 and whole.bits == parted.bits
     at = sum(1 << b for b in whole.bits[:4])
-    assert (whole.zeros[:at] == parted.zeros[:at]).all()
-    a, b = (np.sort(m.zeros[at:].astype(int) * 256 + m.ones[at:]) for m in (whole, parted))
+    assert (whole.pairs[:at] == parted.pairs[:at]).all()
+    a, b = (np.sort(m.pairs[at:]) for m in (whole, parted))
     assert abs(np.count_nonzero(a) - np.count_nonzero(b)) <= 0.02 * np.count_nonzero(a)
 
 
