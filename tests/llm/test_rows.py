@@ -55,3 +55,27 @@ def test_long_runs_of_one_word(spark):
     most = substrings.MOST
     got = substrings.remove_repeats(spark.createDataFrame([(1, "x " * (most + 500)), (2, "x " * 30)], "doc_id long, text string")).collect()
     assert sorted((x.doc_id, x.n_words, x.n_removed) for x in got) == [(1, most + 500, most + 499), (2, 30, 30)]
+
+
+@pytest.mark.parametrize("links", [7, 500_000])  # several tasks and star rounds; one task
+def test_components_against_union_find(spark, monkeypatch, links):
+    import random
+
+    from pagequarry.llm import components
+
+    monkeypatch.setattr(components, "TASK_LINKS", links)
+    r = random.Random(2)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5), (-3, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {x.id: x.component for x in components.components(spark.createDataFrame(pairs, "x long, y long")).collect()}
+    assert got == {x: find(x) for x in parent if any(x in p for p in pairs if p[0] != p[1])}
+    assert components.components(spark.createDataFrame([], "x long, y long")).isEmpty()
