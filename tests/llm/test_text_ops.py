@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import numpy as np
 import re
 import zlib
 
@@ -103,6 +104,30 @@ def test_jaccard_recursion(spark):
     assert len(trace) > 1 and trace[0][3] > 0 and trace[1][1] > 0, trace
 
 
+def test_jaccard_parts(spark):
+    """Near copies of one text that don't link, though all are about as far from any pivot: counts by parts tell them apart at the first level."""
+    import random
+
+    r, rows = random.Random(3), []
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    for _ in range(160):
+        w = list(base)
+        for k in r.sample(range(5, 295, 5), r.choice([6, 9, 9, 9])):
+            w[k] = f"x{r.randrange(10**6)}"
+        rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    trace = []
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df, trace).collect()}
+    assert got == brute_components(df)
+    assert all(level[3] == 0 for level in trace), trace
+    sets = [np.array(sorted(r.sample(range(2000), r.randrange(1, 900))), np.uint64) for _ in range(20)]
+    for p in sets[:3]:
+        counts = np.stack([np.frombuffer(jaccard.parts_of(x, p), np.uint8).astype(int) for x in sets])
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                assert np.abs(counts[i] - counts[j]).sum() <= len(np.setxor1d(x, y))
+
+
 def test_jaccard_edges(empty, odd):
     assert jaccard.near_duplicates(empty).isEmpty()
     got = sorted((r.doc_id or 9, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd).collect())
