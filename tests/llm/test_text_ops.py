@@ -4,10 +4,10 @@ import collections
 import hashlib
 import math
 import os
-import numpy as np
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
