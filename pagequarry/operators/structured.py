@@ -96,7 +96,7 @@ def names(orgs: DataFrame, home: DataFrame, dba: DataFrame, keys: list[str]) ->
 
 def doing_business_as(texts_: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """(keys, dba): the first "doing business as" of a site's texts."""
-    said = tx.null_if_blank(F.regexp_extract("text", DBA, 1))
+    said = tx.null_if_blank(F.regexp_extract("text", tx.edges(DBA), 1))
     return texts_.groupBy(*keys).agg(F.min(F.when(said.isNotNull(), F.struct(*order, said.alias("v"))))["v"].alias("dba"))
 
 
