@@ -11,7 +11,7 @@ relation later reads its files alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +38,48 @@ def _facts(root: dom.Node, wanted: list[str]) -> Iterable[tuple[str, int, dict]]
             yield from ((name, pos, dict(zip(RELATIONS[name].names, r, strict=True))) for pos, r in enumerate(rows))
 
 
+#: what stands in all markup that gives rows of a relation, in lower case; relations that aren't named may come from any markup
+_HEADED = ("<h1", "<h2", "<h3", "<h4")
+MARKS = {
+    "meta": ("<meta",), "title": ("<title",), "heading": _HEADED, "item": ("<li",), "testimonial": ("<blockquote", "testimonial", "review", "quote-card"), "question": ("question", "<details", *_HEADED),
+    "person": ("person", "team-member", "staff-member", "team-card", *_HEADED[1:]), "offer": ("product", "service", "offer", "menuitem", "course", "event", *_HEADED[1:]),
+}
+#: letters may hide in references and in JSON's escapes
+_ESCAPES = ("&#", "\\u")
+#: characters of markup whose rows are handed on at once, however many pages a batch has
+CHUNK = 1 << 20
+
+
+def may_have(html: str, marks: frozenset[str]) -> bool:
+    """Whether a page's markup can give rows, told without reading it as a tree."""
+    if not marks or any(e in html for e in _ESCAPES):
+        return True
+    low = html.lower()
+    return any(m in low for m in marks)
+
+
 def parse(pages: DataFrame, relations: Iterable[str] | None = None, html: str = "html") -> DataFrame:
     """The rows of the relations (all, if none is named) over the pages' markup, which goes; null markup gives no rows."""
     wanted = [n for n in RELATIONS if relations is None or n in set(relations)]
     blank = dict.fromkeys(wanted)
-
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series([[{"relation": n, "pos": p, **blank, n: row} for n, p, row in _facts(dom.parse(h), wanted)] if h else [] for h in column], dtype=object)
-
-    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    marks = frozenset(m for n in wanted for m in MARKS[n]) if all(n in MARKS for n in wanted) else frozenset()
+
+    def rows_of(h: str | None) -> list[dict]:
+        return [{"relation": n, "pos": p, **blank, n: row} for n, p, row in _facts(dom.parse(h), wanted)] if h and may_have(h, marks) else []
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            held, size = [], 0
+            for h in column:
+                held.append(rows_of(h))
+                size += len(h or "")
+                if size >= CHUNK:
+                    yield pd.Series(held, dtype=object)
+                    held, size = [], 0
+            if held:
+                yield pd.Series(held, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     kind = ", ".join(f"{n}: struct<{RELATIONS[n].schema}>" for n in wanted)
     facts = F.pandas_udf(run, f"array<struct<relation: string, pos: int, {kind}>>")
     kept = [c for c in pages.columns if c != html]

@@ -33,9 +33,11 @@ def blocks(rows: DataFrame, headings: int = 60, items: int = 120, longest_item:
     level = F.col("heading.level") if "heading" in there else F.lit(None).cast("int")
     all_ = rows.select(*page, "pos", kind.alias("kind"), level.alias("level"), tx.visible(text).alias("text")).filter(F.col("kind").isNotNull() & (F.length("text") > 0))
     shown = all_.filter(tx.noise_reason(F.col("text"), di.NOISE_EXACT, di.NOISE_CONTAINS).isNull() & (~is_("item") | (F.length("text") < longest_item)))
-    first = shown.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind", "text").orderBy("pos"))).filter(~is_("item") | (F.col("__nth") == 1))
-    room = F.when(is_("heading"), headings).when(is_("item"), items)
-    out = first.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind").orderBy("pos"))).filter(room.isNull() | (F.col("__nth") <= room)).drop("__nth")
+    out = shown
+    if {"heading", "item"} & set(there):  # paragraphs are neither counted nor compared
+        first = shown.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind", "text").orderBy("pos"))).filter(~is_("item") | (F.col("__nth") == 1))
+        room = F.when(is_("heading"), headings).when(is_("item"), items)
+        out = first.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind").orderBy("pos"))).filter(room.isNull() | (F.col("__nth") <= room)).drop("__nth")
     return out.withColumn("kind_rank", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int"))
 
 

@@ -17,7 +17,7 @@ from ..functions import dictionaries as di
 from ..functions import urls
 from ..operators import discover, entities, extract, parsed, profile, snippets, structured, table_functions
 from ..sources.captured import CapturedPages
-from ..sources.tables import exports, scratch, table
+from ..sources.tables import exports, scratch, table, tasks
 from .profile import P as PROFILE_P
 from .profile import SENTENCES, cycle, q, q_any, q_bundle, q_labels
 
@@ -49,13 +49,20 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     """(site, ord, page_type, html) of every order."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     named = lines.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    card = F.format_string('<div class="product-card" data-category="%s"><h3>%s %s</h3><p>%s</p><span>$%d</span></div>', "p_type", "p_name", "p_brand", "p_type", F.floor("p_retailprice").cast("long"))
-    person = F.format_string('<div class="team-member"><h4>%s</h4><span class="role">Lead %d</span><p>%s worked with us for years.</p></div>', "s_name", F.col("s_nationkey").cast("long"), F.when(F.col("s_suppkey") % 3 == 0, "He").when(F.col("s_suppkey") % 3 == 1, "She").otherwise("They"))
-    quote = F.format_string("<blockquote>“The %s of %s came on time”<cite>— %s</cite></blockquote>", "p_name", "p_brand", "s_name")
-    asked = F.format_string("<details><summary>How big is the %s?</summary>Size %d of %s.</details>", "p_name", F.col("p_size").cast("long"), "p_brand")
-    shown = named.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", card.alias("card"), person.alias("person"), quote.alias("quote"), asked.alias("asked")).alias("x"))
-    rows = shown.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # an order has seven lines at most
-    part = lambda field: F.array_join(F.transform("xs", lambda x: x[field]), "")
+    said = lambda *xs: F.concat(*[F.lit(x[1:]) if x[0] == "'" else F.col(x).cast("string") for x in xs])
+    named = named.withColumns({"price": F.floor("p_retailprice").cast("long"), "size": F.col("p_size").cast("long"), "lead": F.col("s_nationkey").cast("long"), "who": F.when(F.col("s_suppkey") % 3 == 0, "He").when(F.col("s_suppkey") % 3 == 1, "She").otherwise("They")})
+    card = said("'<div class=\"product-card\" data-category=\"", "p_type", "'\"><h3>", "p_name", "' ", "p_brand", "'</h3><p>", "p_type", "'</p><span>$", "price", "'</span></div>")
+    person = said("'<div class=\"team-member\"><h4>", "s_name", "'</h4><span class=\"role\">Lead ", "lead", "'</span><p>", "who", "' worked with us for years.</p></div>")
+    quote = said("'<blockquote>“The ", "p_name", "' of ", "p_brand", "' came on time”<cite>— ", "s_name", "'</cite></blockquote>")
+    asked = said("'<details><summary>How big is the ", "p_name", "'?</summary>Size ", "size", "' of ", "p_brand", "'.</details>")
+    # each line gives what its page shows alone
+    on = lambda types, block: F.when(F.expr(cycle("l_orderkey", TYPES)).isin(types), block)
+    shown = named.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", on(["services", "homepage"], card).alias("card"), on(["team", "about", "homepage"], person).alias("person"), on(["testimonials", "about"], quote).alias("quote"), on(["faq", "services"], asked).alias("asked")).alias("x"))
+    shown = shown.filter(F.coalesce("x.card", "x.person", "x.quote", "x.asked").isNotNull())
+    pages = table(spark, sf, "orders")
+    n = tasks(spark, pages.count())
+    rows = shown.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # an order has seven lines at most
+    part = lambda field: F.array_join(F.col(f"xs.{field}"), "")
     blocks = rows.select("l_orderkey", part("card").alias("cards"), part("person").alias("persons"), part("quote").alias("quoted"), part("asked").alias("asks"))
     ld = [
         """'{"@type":"WebPage","name":"Page ' || o_orderkey || '"}'""",
@@ -68,11 +75,10 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     node = f"CASE {NODE} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(ld)) + " END"
     html = f"""'<html><head><title>Firm ' || o_custkey || ' | Page ' || o_orderkey || '</title>' || CASE WHEN o_orderkey % 6 = 0 THEN '<meta property="og:site_name" content="Firm ' || o_custkey || ' Online">' ELSE '' END
       || CASE WHEN o_orderkey % 5 = 0 THEN '<meta name="keywords" content="ab, hand tools ' || o_custkey || ', saws">' ELSE '' END || '<script type="application/ld+json">' || {node} || '</script>' || CASE WHEN o_orderkey % 50 = 0 THEN '<script src="https://cdn.shopify.com/x.js"></script>' ELSE '' END
-      || '</head><body><main><h1>Order ' || o_orderkey || ' of firm ' || o_custkey || '</h1><p>' || {TEXT} || '</p>' || CASE WHEN page_type IN ('services', 'homepage') THEN coalesce(cards, '') ELSE '' END || CASE WHEN page_type IN ('team', 'about', 'homepage') THEN coalesce(persons, '') ELSE '' END
-      || CASE WHEN page_type IN ('testimonials', 'about') THEN coalesce(quoted, '') ELSE '' END || CASE WHEN page_type IN ('faq', 'services') THEN coalesce(asks, '') ELSE '' END || '</main><a class="btn" href="/order/' || o_orderkey || '">Order number ' || (o_orderkey % 50) || '</a>'
+      || '</head><body><main><h1>Order ' || o_orderkey || ' of firm ' || o_custkey || '</h1><p>' || {TEXT} || '</p>' || coalesce(cards, '') || coalesce(persons, '') || coalesce(quoted, '') || coalesce(asks, '') || '</main><a class="btn" href="/order/' || o_orderkey || '">Order number ' || (o_orderkey % 50) || '</a>'
       || CASE WHEN page_type = 'contact' THEN '<a href="tel:(555) 010-' || (1000 + o_orderkey % 9000) || '">Call now</a><a href="mailto:m' || (o_orderkey % 9) || '@firm.example?subject=x">m</a>' ELSE '' END
       || '<footer>' || CASE WHEN o_orderkey % 4 = 0 THEN 'certified by the board of firm ' || (o_orderkey % 12) || ' in ' || ({YEAR}) || '. ' ELSE '' END || 'All rights reserved.</footer></body></html>'"""
-    orders = table(spark, sf, "orders").withColumn("page_type", F.expr(PAGE_TYPE)).join(blocks, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = pages.repartition(n, "o_orderkey").withColumn("page_type", F.expr(PAGE_TYPE)).join(blocks, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return orders.select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("ord"), "page_type", F.expr(html).alias("html"))
 
 
@@ -210,7 +216,7 @@ def given_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_PARAS} SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY i) AS place, text FROM (SELECT page_id AS ord, i, {_SPACED.format(_decoded('xs[i]'))} AS text FROM (SELECT page_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM x)) WHERE length(text) >= 12 AND contains(text, ' ')")
 def page_passages(spark, sf):
-    said = snippets.prose(snippets.blocks(parsed.parse(given_pages(spark, sf), ["heading", "main", "item"])))
+    said = snippets.prose(snippets.blocks(parsed.parse(given_pages(spark, sf), ["main"])))
     return said.select("ord", F.row_number().over(_by(["ord"], *snippets.ORDER)).cast("long").alias("place"), "text")
 
 
@@ -291,7 +297,7 @@ _REST = ["targetBuyers", "customerNeeds", "differentiators", "values"]
 @query(" UNION ALL ".join(f"SELECT site, '{n}' AS field, place, text FROM ({q_bundle(['SELECT site, page_type AS source, ord, 0 AS pos, text FROM p'], di.SIGNALS[n]).replace(PROFILE_P, P)})" for n in _REST))
 def site_evidence(spark, sf):
     """All fields' evidence from one table of snippets, whose signals are found in one pass."""
-    said = snippets.with_signals(snippets.prose(snippets.blocks(facts(spark, sf, "heading", "main", "item"))), {n: di.SIGNALS[n] for n in _REST})
+    said = snippets.with_signals(snippets.prose(snippets.blocks(facts(spark, sf, "main"))), {n: di.SIGNALS[n] for n in _REST})
     rows = said.filter("text NOT RLIKE '^(He|She|They) worked|^“The .* came on time|^[A-Z]+$'").select("site", F.explode("signals").alias("field"), F.col("page_type").alias("source"), *snippets.ORDER, "text")
     return profile.signal_bundle(rows, ["site", "field"], None, snippets.ORDER).select("site", "field", "place", "text")
 
@@ -303,7 +309,8 @@ pool AS (SELECT site, 'about' AS kind, ord, text FROM p WHERE page_type = 'about
 
 def _positioning(field: str):
     def run(spark, sf):
-        rows = facts(spark, sf, "heading", "main")
+        # three parts read what is parsed once; other pages' texts are no part of it
+        rows = facts(spark, sf, "heading", "main").filter(F.col("page_type").isin("about", "homepage")).persist()
         plain = rows.filter("relation <> 'main' OR main.text NOT RLIKE '^(He|She|They) worked|^“The .* came on time|^[A-Z]+$'")
         none = spark.createDataFrame([], "site long, text string")
         return snippets.positioning(snippets.blocks(plain), none, K, _KIND_RANK[field]).select("site", "place", "kind", "text")
