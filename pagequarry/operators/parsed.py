@@ -11,11 +11,14 @@ relation later reads its files alone.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from . import dom, readability
 
@@ -26,7 +29,8 @@ RELATIONS = {
 }
 
 
-def _facts(root: dom.Node, wanted: list[str]) -> Iterable[tuple[str, int, dict]]:
+def _read(root: dom.Node, wanted: list[str]) -> Iterable[tuple[str, list[tuple]]]:
+    """The wanted relations' rows, relation by relation."""
     offers: set[str] = set()
     for name in (n for n in RELATIONS if n in wanted or n == "offer" and "person" in wanted):
         rows = RELATIONS[name].of_tree(root)
@@ -35,7 +39,12 @@ def _facts(root: dom.Node, wanted: list[str]) -> Iterable[tuple[str, int, dict]]
         if name == "person":
             rows = [r for r in rows if (r[0] or "").strip().lower() not in offers]
         if name in wanted:
-            yield from ((name, pos, dict(zip(RELATIONS[name].names, r, strict=True))) for pos, r in enumerate(rows))
+            yield name, rows
+
+
+def _facts(root: dom.Node, wanted: list[str]) -> Iterable[tuple[str, int, dict]]:
+    for name, rows in _read(root, wanted):
+        yield from ((name, pos, dict(zip(RELATIONS[name].names, r, strict=True))) for pos, r in enumerate(rows))
 
 
 #: what stands in all markup that gives rows of a relation, in lower case; relations that aren't named may come from any markup
@@ -58,32 +67,57 @@ def may_have(html: str, marks: frozenset[str]) -> bool:
     return any(m in low for m in marks)
 
 
+def _may_have(html: Column, low: Column, marks: frozenset[str]) -> Column:
+    """The same as an expression, so that such pages aren't handed to Python."""
+    return functools.reduce(lambda x, y: x | y, [*[F.contains(html, F.lit(e)) for e in _ESCAPES], *[F.contains(low, F.lit(m)) for m in sorted(marks)]])
+
+
 def parse(pages: DataFrame, relations: Iterable[str] | None = None, html: str = "html") -> DataFrame:
     """The rows of the relations (all, if none is named) over the pages' markup, which goes; null markup gives no rows."""
     wanted = [n for n in RELATIONS if relations is None or n in set(relations)]
-    blank = dict.fromkeys(wanted)
     marks = frozenset(m for n in wanted for m in MARKS[n]) if all(n in MARKS for n in wanted) else frozenset()
-
-    def rows_of(h: str | None) -> list[dict]:
-        return [{"relation": n, "pos": p, **blank, n: row} for n, p, row in _facts(dom.parse(h), wanted)] if h and may_have(h, marks) else []
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = ", ".join(f"{n}: struct<{RELATIONS[n].schema}>" for n in wanted)
+    schema = StructType.fromDDL(f"relation: string, pos: int, {kind}")
+    types = [to_arrow_type(schema[n].dataType) for n in wanted]
+
+    def table_of(chunk: list[str | None]) -> pa.Array:
+        """An array of rows for each page."""
+        ends, names, places, rows = [0], [], [], {n: [] for n in wanted}
+        for h in chunk:
+            if h and may_have(h, marks):
+                root = dom.parse(h)
+                for name, found in _read(root, wanted):
+                    if found:
+                        n = len(found)
+                        names += [name] * n
+                        places += range(n)
+                        for other, held in rows.items():
+                            held += found if other == name else [None] * n
+                root.tree.part()
+            ends.append(len(names))
+        fields = [pa.array(names, pa.string()), pa.array(places, pa.int32()), *[pa.array(rows[n], t) for n, t in zip(wanted, types, strict=True)]]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["relation", "pos", *wanted]))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             held, size = [], 0
-            for h in column:
-                held.append(rows_of(h))
+            for h in column.to_pylist():
+                held.append(h)
                 size += len(h or "")
                 if size >= CHUNK:
-                    yield pd.Series(held, dtype=object)
+                    yield table_of(held)
                     held, size = [], 0
             if held:
-                yield pd.Series(held, dtype=object)
+                yield table_of(held)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    kind = ", ".join(f"{n}: struct<{RELATIONS[n].schema}>" for n in wanted)
-    facts = F.pandas_udf(run, f"array<struct<relation: string, pos: int, {kind}>>")
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    facts = F.arrow_udf(run, ArrayType(schema))
     kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, F.explode(facts(F.col(html))).alias("__fact")).select(*kept, "__fact.*")
+    read = F.col(html)
+    if marks:
+        pages = pages.withColumn("__low", F.lower(html))
+        read = F.when(_may_have(F.col(html), F.col("__low"), marks), F.col(html))
+    return pages.select(*kept, F.explode(facts(read)).alias("__fact")).select(*kept, "__fact.*")
 
 
 def of(rows: DataFrame, relation: str) -> DataFrame:

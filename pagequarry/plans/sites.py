@@ -55,15 +55,15 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     person = said("'<div class=\"team-member\"><h4>", "s_name", "'</h4><span class=\"role\">Lead ", "lead", "'</span><p>", "who", "' worked with us for years.</p></div>")
     quote = said("'<blockquote>“The ", "p_name", "' of ", "p_brand", "' came on time”<cite>— ", "s_name", "'</cite></blockquote>")
     asked = said("'<details><summary>How big is the ", "p_name", "'?</summary>Size ", "size", "' of ", "p_brand", "'.</details>")
-    # each line gives what its page shows alone
-    on = lambda types, block: F.when(F.expr(cycle("l_orderkey", TYPES)).isin(types), block)
-    shown = named.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", on(["services", "homepage"], card).alias("card"), on(["team", "about", "homepage"], person).alias("person"), on(["testimonials", "about"], quote).alias("quote"), on(["faq", "services"], asked).alias("asked")).alias("x"))
-    shown = shown.filter(F.coalesce("x.card", "x.person", "x.quote", "x.asked").isNotNull())
+    # each line gives what its page shows alone, in the order of cards, people, quotes and questions: no page shows more than two of them
+    kind = F.expr(cycle("l_orderkey", TYPES))
+    first = F.when(kind.isin("services", "homepage"), card).when(kind.isin("team", "about"), person).when(kind == "testimonials", quote).when(kind == "faq", asked)
+    second = F.when(kind == "services", asked).when(kind == "homepage", person).when(kind == "about", quote)
+    shown = named.filter(kind != "contact").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", first.alias("first"), second.alias("second")).alias("x"))
     pages = table(spark, sf, "orders")
     n = tasks(spark, pages.count())
     rows = shown.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # an order has seven lines at most
-    part = lambda field: F.array_join(F.col(f"xs.{field}"), "")
-    blocks = rows.select("l_orderkey", part("card").alias("cards"), part("person").alias("persons"), part("quote").alias("quoted"), part("asked").alias("asks"))
+    blocks = rows.select("l_orderkey", F.concat(F.array_join("xs.first", ""), F.array_join("xs.second", "")).alias("blocks"))
     ld = [
         """'{"@type":"WebPage","name":"Page ' || o_orderkey || '"}'""",
         """'{"@graph":[{"@type":["Thing","AccountingService"],"name":"Books ' || o_orderkey || '","numberOfEmployees":{"value":' || (o_orderkey % 90) || '},"alternateName":["Alt ' || o_orderkey || '",7,"Firm B"]},{"@type":"BreadcrumbList","itemListElement":[{"name":"Home"},{"item":{"name":"Tools ' || o_custkey || '"}}]}]}'""",
@@ -75,7 +75,7 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     node = f"CASE {NODE} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(ld)) + " END"
     html = f"""'<html><head><title>Firm ' || o_custkey || ' | Page ' || o_orderkey || '</title>' || CASE WHEN o_orderkey % 6 = 0 THEN '<meta property="og:site_name" content="Firm ' || o_custkey || ' Online">' ELSE '' END
       || CASE WHEN o_orderkey % 5 = 0 THEN '<meta name="keywords" content="ab, hand tools ' || o_custkey || ', saws">' ELSE '' END || '<script type="application/ld+json">' || {node} || '</script>' || CASE WHEN o_orderkey % 50 = 0 THEN '<script src="https://cdn.shopify.com/x.js"></script>' ELSE '' END
-      || '</head><body><main><h1>Order ' || o_orderkey || ' of firm ' || o_custkey || '</h1><p>' || {TEXT} || '</p>' || coalesce(cards, '') || coalesce(persons, '') || coalesce(quoted, '') || coalesce(asks, '') || '</main><a class="btn" href="/order/' || o_orderkey || '">Order number ' || (o_orderkey % 50) || '</a>'
+      || '</head><body><main><h1>Order ' || o_orderkey || ' of firm ' || o_custkey || '</h1><p>' || {TEXT} || '</p>' || coalesce(blocks, '') || '</main><a class="btn" href="/order/' || o_orderkey || '">Order number ' || (o_orderkey % 50) || '</a>'
       || CASE WHEN page_type = 'contact' THEN '<a href="tel:(555) 010-' || (1000 + o_orderkey % 9000) || '">Call now</a><a href="mailto:m' || (o_orderkey % 9) || '@firm.example?subject=x">m</a>' ELSE '' END
       || '<footer>' || CASE WHEN o_orderkey % 4 = 0 THEN 'certified by the board of firm ' || (o_orderkey % 12) || ' in ' || ({YEAR}) || '. ' ELSE '' END || 'All rights reserved.</footer></body></html>'"""
     orders = pages.repartition(n, "o_orderkey").withColumn("page_type", F.expr(PAGE_TYPE)).join(blocks, F.col("o_orderkey") == F.col("l_orderkey"), "left")

@@ -53,3 +53,24 @@ def test_paragraphs_alone_need_no_windows(spark):
 def test_pages_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(tables, "PAGES_A_TASK", 100)
     assert sites.site_pages(spark, SF).rdd.getNumPartitions() == 15
+
+
+@pytest.mark.parametrize("html", [*MARKUP, "<div>a<noscript><p>b</p></noscript><br>c<svg>d</svg></div><p>e", "<div x=\"a>b\">t</div>", "<script>'</script >'</script><p>x</p>"])
+def test_listed_pieces_give_the_same_text(html):
+    listed, walked = dom.parse(html), dom._by_parser(html)
+    assert [(n.tag, n.end, n.text()) for n in listed.tree] == [(n.tag, n.end, n.text()) for n in walked.tree]
+
+
+def test_pages_without_rows_stay_out_of_python(spark):
+    df = spark.createDataFrame([(1, "<p>x</p>"), (2, "<BLOCKQUOTE>a quote that is long enough to be one</BLOCKQUOTE>"), (3, None)], "ord int, html string")
+    rows = parsed.parse(df, ["testimonial"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Contains" in plan or "contains(" in plan.lower()
+    assert [r.ord for r in rows.collect()] == [2]
+
+
+def test_a_read_tree_is_taken_apart():
+    tree = dom.parse("<div><p>a</p></div>").tree
+    nodes = list(tree)
+    tree.part()
+    assert not tree and all(n.parent is None and n.children is None for n in nodes)
