@@ -82,6 +82,8 @@ STEPS = 12
 BLOCK = 1 << 17
 FREQUENT = 1 << 16
 CHUNK = 3_000_000
+#: bytes of text whose contexts a task counts at once, of which it holds some two hundred bytes each
+GATHER = 1 << 20
 END, GAP = 0x0A, 0x20
 DELTA = 0.05
 #: distinct contexts of a training step, and the curvature that a gate's first weights count for
@@ -334,11 +336,17 @@ def whole(data: bytes, rows: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Parts (code, key, began, n) as one, with the counts of equal codes added up, by code."""
-    code, key, began, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    codes, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-    return codes, key[first], began[first], np.bincount(inverse, n, len(codes)).astype(np.int64)
+def _merge(parts: list[tuple[np.ndarray, ...]], coded: bool) -> tuple[np.ndarray, ...]:
+    """Parts (key, began, n), which it empties, as one, with the counts of equal codes (keys, if they aren't coded) added up, by code."""
+    key, began, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    code = code_of(key, began) if coded else key
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    start = np.flatnonzero(np.concatenate([[len(code) > 0], code[1:] != code[:-1]]))
+    del code
+    first = order[start]
+    return key[first], began[first], np.add.reduceat(n[order], start).astype(np.int64) if len(start) else n.astype(np.int64)
 
 
 def code_of(g: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -362,7 +370,7 @@ def _gather(parts: int):
         ends = 0
 
         def out(kind: int) -> Iterator[pa.RecordBatch]:
-            _, k, w, n = _merge(held[kind])
+            k, w, n = _merge(held[kind], kind == 0)
             if not len(k):
                 return
             bucket = bucket_of(k, w, parts) if kind == 0 else top(tk.mix(k), parts)
@@ -373,18 +381,17 @@ def _gather(parts: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), KINDS, strict=True)], names)
 
         for b in batches:
-            for i, j, buf, off in tk.chunks(b["text"], CHUNK):
+            for i, j, buf, off in tk.chunks(b["text"], GATHER):
                 stream, doff, words, _ = streams(buf, off)
                 ends += j - i
                 g, w = grams(stream, doff), beginnings(stream, doff)
-                for kind, code, key, began in ((0, code_of(g, w), g, w), (1, words, words, np.zeros(len(words), np.uint64))):
+                for kind, code, key, began in ((0, code_of(g, w), g, w), (1, words, words, np.zeros(len(words), np.uint8))):
                     first, inverse = distinct(code)
-                    held[kind].append((code[first], key[first], began[first], np.bincount(inverse, minlength=len(first))))
+                    held[kind].append((key[first], began[first], np.bincount(inverse, minlength=len(first))))
                     if sum(len(x[0]) for x in held[kind]) > KEEP:
-                        held[kind] = [_merge(held[kind])]
+                        held[kind] = [_merge(held[kind], kind == 0)]
                         if len(held[kind][0][0]) > KEEP // 2:
                             yield from out(kind)
-                            held[kind] = []
         for kind in (0, 1):
             if held[kind]:
                 yield from out(kind)
@@ -403,10 +410,20 @@ def _by_slot(slots: np.ndarray, checks: np.ndarray, bit: np.ndarray, n: np.ndarr
 
 def _begun(g: np.ndarray, w: np.ndarray, n: np.ndarray, bits: int, parts: int) -> tuple[np.ndarray, ...]:
     """The table of the word's beginning, of bytes that all lie in its parts: each slot with the context that was seen most often."""
-    base, rows = bases(g, w)[ORDERS], []
-    for node, bit in nodes(g & np.uint64(0xFF)):
-        rows.append((*place(base, node, bits, parts), bit))
-    slot, check, n0, n1 = _by_slot(np.concatenate([s for s, _, _ in rows]), np.concatenate([c for _, c, _ in rows]), np.concatenate([b for _, _, b in rows]), np.tile(n, 8))
+    base = bases(g, w)[ORDERS]
+    seen = np.empty((8, len(g)), np.uint32)  # slot, check and bit; a slot has MOST_BITS at most
+    for at, (node, bit) in zip(seen, nodes(g & np.uint64(0xFF)), strict=True):
+        slot, check = place(base, node, bits, parts)
+        at[:] = slot << 9 | check.astype(np.int64) << 1 | bit
+    del base
+    seen = seen.reshape(-1)
+    order = np.argsort(seen, kind="stable")
+    seen, times = seen[order], n[order % max(len(n), 1)]
+    del order
+    start = np.flatnonzero(np.concatenate([[len(seen) > 0], seen[1:] >> 1 != seen[:-1] >> 1]))
+    key, both = seen[start] >> 1, np.add.reduceat(times, start) if len(start) else times
+    n1 = np.add.reduceat(times * (seen & 1), start) if len(start) else times
+    slot, check, n0 = key.astype(np.int64) >> 8, (key & 0xFF).astype(np.uint8), both - n1
     order = np.lexsort((check, n0 + n1, slot))
     last = np.append(np.diff(slot[order]) != 0, True) if len(order) else np.zeros(0, bool)
     k = order[last]
@@ -424,11 +441,11 @@ def _pack(bits: int, parts: int):
                     ends += rows
                     continue
                 k, w, c = whole(key, rows), whole(began, rows) if kind == 0 else none, whole(n, rows).astype(np.int64)
-                w = w << np.uint64(8) | k & np.uint64(0xFF) if kind == 0 else np.zeros(rows, np.uint64)
-                parts_[kind].append((code_of(k, w) if kind == 0 else k, k, w, c))
-        blank_ = (none, none, none, none.astype(np.int64))
-        _, g, w, counts = _merge(parts_[0] or [blank_])
-        _, words, _, word_counts = _merge(parts_[1] or [blank_])
+                w = w << np.uint64(8) | k & np.uint64(0xFF) if kind == 0 else np.zeros(rows, np.uint8)
+                parts_[kind].append((k, w, c))
+        blank_ = (none, none, none.astype(np.int64))
+        g, w, counts = _merge(parts_[0] or [blank_], True)
+        words, _, word_counts = _merge(parts_[1] or [blank_], False)
         d = deep(g)
         made = _begun(g[d], w[d], counts[d], bits, parts)
         names = [x.split()[0] for x in PACKED.split(", ")]
