@@ -92,7 +92,7 @@ EDGES = np.array([1, 3, 12, 100])  # sightings at which a context counts as bett
 GATES = (len(EDGES) + 1) ** 2
 LEVELS = 33
 FLOOR = 1e-6
-KEEP = 2_000_000
+KEEP = 1_000_000
 #: bytes of text for a bucket of contexts (rounded to a power of two of buckets), and for each gram that the table of word beginnings has room for
 BUCKET_BYTES, BYTES_A_GRAM = 8 << 20, 8
 #: stands for a text's end among the hashes of its words
@@ -408,21 +408,23 @@ def _by_slot(slots: np.ndarray, checks: np.ndarray, bit: np.ndarray, n: np.ndarr
     return u >> 8, (u & 0xFF).astype(np.uint8), np.bincount(inverse, n, len(u)).astype(np.int64) - n1, n1
 
 
+def _added(key: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """The keys in order, once each, with their counts added up."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[len(key) > 0], key[1:] != key[:-1]]))
+    return [key[start], *(np.add.reduceat(c[order], start) if len(start) else c[:0] for c in counts)]
+
+
 def _begun(g: np.ndarray, w: np.ndarray, n: np.ndarray, bits: int, parts: int) -> tuple[np.ndarray, ...]:
     """The table of the word's beginning, of bytes that all lie in its parts: each slot with the context that was seen most often."""
-    base = bases(g, w)[ORDERS]
-    seen = np.empty((8, len(g)), np.uint32)  # slot, check and bit; a slot has MOST_BITS at most
-    for at, (node, bit) in zip(seen, nodes(g & np.uint64(0xFF)), strict=True):
+    base, found = bases(g, w)[ORDERS], []
+    for node, bit in nodes(g & np.uint64(0xFF)):  # one bit of the bytes at a time: all eight would be eight times as long
         slot, check = place(base, node, bits, parts)
-        at[:] = slot << 9 | check.astype(np.int64) << 1 | bit
-    del base
-    seen = seen.reshape(-1)
-    order = np.argsort(seen, kind="stable")
-    seen, times = seen[order], n[order % max(len(n), 1)]
-    del order
-    start = np.flatnonzero(np.concatenate([[len(seen) > 0], seen[1:] >> 1 != seen[:-1] >> 1]))
-    key, both = seen[start] >> 1, np.add.reduceat(times, start) if len(start) else times
-    n1 = np.add.reduceat(times * (seen & 1), start) if len(start) else times
+        found.append(_added((slot << 8 | check.astype(np.int64)).astype(np.uint32), n, n * bit))  # a slot has MOST_BITS at most
+    del base, slot, check
+    key, both, n1 = _added(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    del found
     slot, check, n0 = key.astype(np.int64) >> 8, (key & 0xFF).astype(np.uint8), both - n1
     order = np.lexsort((check, n0 + n1, slot))
     last = np.append(np.diff(slot[order]) != 0, True) if len(order) else np.zeros(0, bool)
@@ -449,9 +451,13 @@ def _pack(bits: int, parts: int):
         d = deep(g)
         made = _begun(g[d], w[d], counts[d], bits, parts)
         names = [x.split()[0] for x in PACKED.split(", ")]
+        del d
         row = [table["bucket"][0].as_py(), len(g), planes(g, 5), planes(w >> np.uint64(8), 5), planes(counts), len(words), planes(words, 8), planes(word_counts), ends, *(x.tobytes() for x in made)]
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 2, pa.int64(), *[pa.binary()] * 4]
-        return pa.Table.from_arrays([pa.array([x], y) for x, y in zip(row, kinds, strict=True)], names)
+        packed = pa.Table.from_arrays([pa.array([x], y) for x, y in zip(row, kinds, strict=True)], names)
+        del row, made, g, w, counts, words, word_counts
+        tk.give_back()
+        return packed
 
     return run
 

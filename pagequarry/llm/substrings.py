@@ -318,6 +318,7 @@ def _remove(texts: bool):
             names = [c for c in b.schema.names if c not in (ID, TWIN, SPANS_AT) and (texts or c != "text")]
             cols = [pa.array(kept, pa.string()) if c == "text" else b[c] for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], [*names, WORDS, REMOVED, SHA])
+        tk.give_back()
 
     return run
 
