@@ -12,6 +12,7 @@ relation later reads its files alone.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -53,12 +54,29 @@ MARKS = {
     "meta": ("<meta",), "title": ("<title",), "heading": _HEADED, "item": ("<li",), "testimonial": ("<blockquote", "testimonial", "review", "quote-card"), "question": ("question", "<details", *_HEADED),
     "person": ("person", "team-member", "staff-member", "team-card", *_HEADED[1:]), "offer": ("product", "service", "offer", "menuitem", "course", "event", *_HEADED[1:]),
 }
+#: relations that need some elements' attributes and text alone, with these elements, and what in lower-case markup asks for the whole tree nevertheless; references in attributes may hide it
+SKIMMED = {
+    "json_ld": (frozenset({"script"}), None), "meta": (frozenset({"meta"}), None), "title": (frozenset({"title"}), None), "credential": (frozenset({"footer"}), dom.MAY_BE_CREDENTIAL),
+    "offer": (frozenset({"script"}), re.compile("<h[23]|<h4.*<[^<>]*(?:product|service|offer|pricing-card|menu-item)|<[^<>]*(?:product|service|offer|pricing-card|menu-item).*<h4", re.S)),
+}
+_TAG_REFERENCE = re.compile("<[^<>]*&")
 #: letters may hide in references and in JSON's escapes
 _ESCAPES = ("&#", "\\u")
 #: characters of markup whose rows are handed on at once, however many pages a batch has
 CHUNK = 1 << 20
 
 
+def tree_of(html: str, wanted: list[str]) -> dom.Node:
+    """As much of a page's tree as the wanted relations are read from."""
+    if all(n in SKIMMED for n in wanted):
+        low, odd = html.lower(), [x for x in (SKIMMED[n][1] for n in wanted) if x is not None]
+        if not odd or not (_TAG_REFERENCE.search(low) if "&" in low else None) and not any(x.search(low) for x in odd):
+            root = dom.skim(html, frozenset().union(*(SKIMMED[n][0] for n in wanted)))
+            if root is not None:
+                return root
+    return dom.parse(html)
+
+
 def may_have(html: str, marks: frozenset[str]) -> bool:
     """Whether a page's markup can give rows, told without reading it as a tree."""
     if not marks or any(e in html for e in _ESCAPES):
@@ -85,7 +103,7 @@ def parse(pages: DataFrame, relations: Iterable[str] | None = None, html: str =
         ends, names, places, rows = [0], [], [], {n: [] for n in wanted}
         for h in chunk:
             if h and may_have(h, marks):
-                root = dom.parse(h)
+                root = tree_of(h, wanted)
                 for name, found in _read(root, wanted):
                     if found:
                         n = len(found)
