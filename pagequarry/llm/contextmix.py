@@ -80,8 +80,11 @@ LEAST_BITS, MOST_BITS, ROOM = 16, 23, 4
 STEPS = 12
 #: grams whose bits are counted at once
 BLOCK = 1 << 17
+#: grams whose bits are coded at once
+CODED = 1 << 16
 FREQUENT = 1 << 16
-CHUNK = 3_000_000
+#: bytes of text that are scored at once, of which a task holds some hundred bytes each
+CHUNK = 500_000
 #: bytes of text whose contexts a task counts at once, of which it holds some two hundred bytes each
 GATHER = 1 << 20
 END, GAP = 0x0A, 0x20
@@ -248,6 +251,10 @@ class Mixer(NamedTuple):
         pairs |= np.frombuffer(zlib.decompress(x[1]), np.uint8)
         return Mixer(pairs, np.frombuffer(zlib.decompress(x[2]), np.uint8), *x[3:])
 
+    def __reduce__(self) -> tuple:
+        """Sent packed; who receives it holds the tables alone, however many of its tasks read them."""
+        return Mixer.unpacked, (self.packed(),)
+
     def inputs(self, slots: list[np.ndarray], checks: list[np.ndarray], leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each predictor (and a constant), and the gate; leave: bits to be left out of their own counts."""
         n = len(slots[0])
@@ -277,10 +284,12 @@ class Mixer(NamedTuple):
     def log10(self, g: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 probability of each byte (`grams` and `beginnings`) after its contexts."""
         out = np.ones(len(g))
-        for bit, slots, checks in contexts(g, w, self.bits, self.parts):
-            x, gate = self.inputs(slots, checks)
-            p = self.refined(self.mix(x, gate), gate)
-            out *= np.where(bit, p, 1 - p)
+        for lo in range(0, len(g), CODED):
+            part = out[lo : lo + CODED]
+            for bit, slots, checks in contexts(g[lo : lo + CODED], w[lo : lo + CODED], self.bits, self.parts):
+                x, gate = self.inputs(slots, checks)
+                p = self.refined(self.mix(x, gate), gate)
+                part *= np.where(bit, p, 1 - p)
         return np.log10(out)  # FLOOR**8 at least
 
 
@@ -630,14 +639,16 @@ def learn(docs: DataFrame) -> Trained:
     model.pairs[slot[more]], model.checks[slot[more]] = pairs[more], check[more].view(np.uint8)
     del table, slot, q0, q1, check, pairs, more
     sc = docs.sparkSession.sparkContext
-    bytes_, shared = packed.select("bucket", "rows", "keys", "began", "counts"), sc.broadcast(model.packed())
-    trained = bytes_.mapInArrow(lambda it: _train(Mixer.unpacked(shared.value))(it), "bucket int, w binary, n double").collect()  # one row of some kB a bucket
+    bytes_, shared = packed.select("bucket", "rows", "keys", "began", "counts"), sc.broadcast(model)
+    trained = bytes_.mapInArrow(lambda it: _train(shared.value)(it), "bucket int, w binary, n double").collect()  # one row of some kB a bucket
+    shared.unpersist()
     if trained:
         total = sum(r.n for r in trained)
         weights = sum(np.frombuffer(r.w).reshape(GATES, PREDICTORS + 1) * (r.n / total) for r in sorted(trained, key=lambda r: r.bucket))
         model = model._replace(weights=weights.astype(np.float32))
-        again = sc.broadcast(model.packed())
-        levels = bytes_.mapInArrow(lambda it: _calibrate(Mixer.unpacked(again.value))(it), "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
+        again = sc.broadcast(model)
+        levels = bytes_.mapInArrow(lambda it: _calibrate(again.value)(it), "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
+        again.unpersist()
         refine = model.refine.copy().reshape(-1)
         for r in levels:
             refine[r.at] = (r.n1 + 20 * refine[r.at]) / (r.n0 + r.n1 + 20)
@@ -687,8 +698,8 @@ def text_scores(mixer: Mixer, stream: np.ndarray, doff: np.ndarray, words: np.nd
 
 def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0) with what needs no join, and one for each of its less frequent words (kind 1)."""
-    packed, (keys, counts), ends = trained
-    mixer, memo = Mixer.unpacked(packed), Memo()
+    mixer, (keys, counts), ends = trained
+    memo = Memo()
     names = [x.split()[0] for x in ROWS.split(", ")]
     value = np.log10(counts + 0.1)
     for b in batches:
@@ -712,7 +723,7 @@ def _score(trained: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 def score(docs: DataFrame, trained: Trained, folds: int = 10) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
-    shared = docs.sparkSession.sparkContext.broadcast((trained.mixer.packed(), trained.frequent, trained.ends))
+    shared = docs.sparkSession.sparkContext.broadcast((trained.mixer, trained.frequent, trained.ends))
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), (fold(folds=folds) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(lambda it: _score(shared.value, it), ROWS)
     counted = rows.join(trained.counts.select(F.lit(1).alias("kind"), "word", "c"), ["kind", "word"], "left")
@@ -733,10 +744,10 @@ def score(docs: DataFrame, trained: Trained, folds: int = 10) -> DataFrame:
 
 def mixer_alone(docs: DataFrame, trained: Trained) -> DataFrame:
     """One row, to tell what the bit mixer is worth by itself, without the texts' own words: n_bytes, bits_per_byte."""
-    shared = docs.sparkSession.sparkContext.broadcast(trained.mixer.packed())
+    shared = docs.sparkSession.sparkContext.broadcast(trained.mixer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer.unpacked(shared.value)
+        mixer = shared.value
         for b in batches:
             for _, _, buf, off in tk.chunks(b["text"], CHUNK):
                 stream, doff, _, _ = streams(buf, off)
