@@ -25,7 +25,7 @@ APART = "\n"
 
 
 @functools.lru_cache(maxsize=16)
-def _automaton(patterns: tuple[tuple[str, int], ...]):
+def automaton(patterns: tuple[tuple[str, int], ...]):
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -60,7 +60,7 @@ class Phrases:
         def run(column: pd.Series) -> pd.Series:
             if not patterns:
                 return pd.Series([[]] * len(column), dtype=object)
-            found = _automaton(patterns)
+            found = automaton(patterns)
             return pd.Series([sorted({i for _, numbers in found.iter(x) for i in numbers}) if x else [] for x in column], dtype=object)
 
         run.__annotations__ = {"column": pd.Series, "return": pd.Series}

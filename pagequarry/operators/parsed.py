@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructType
 
+from ..functions import matcher
 from . import dom, readability
 
 #: in the order in which a page is read: declared data, then structure, then text
@@ -56,7 +57,7 @@ MARKS = {
 }
 #: relations that need some elements' attributes and text alone, with these elements, and what in lower-case markup asks for the whole tree nevertheless; references in attributes may hide it
 SKIMMED = {
-    "json_ld": (frozenset({"script"}), None), "meta": (frozenset({"meta"}), None), "title": (frozenset({"title"}), None), "credential": (frozenset({"footer"}), dom.MAY_BE_CREDENTIAL),
+    "json_ld": (frozenset({"script"}), None), "reference": (frozenset({"script", "iframe", "link"}), None), "meta": (frozenset({"meta"}), None), "title": (frozenset({"title"}), None), "credential": (frozenset({"footer"}), dom.MAY_BE_CREDENTIAL),
     "offer": (frozenset({"script"}), re.compile("<h[23]|<h4.*<[^<>]*(?:product|service|offer|pricing-card|menu-item)|<[^<>]*(?:product|service|offer|pricing-card|menu-item).*<h4", re.S)),
 }
 _TAG_REFERENCE = re.compile("<[^<>]*&")
@@ -85,13 +86,45 @@ def may_have(html: str, marks: frozenset[str]) -> bool:
     return any(m in low for m in marks)
 
 
+#: whole pages of plain tags, and the elements whose text is hidden or raw
+_ALL_PLAIN = re.compile(rf"(?:[^<]++|<{dom.NAMED}{dom.ATTRS}/?+>|</{dom.NAMED}\s*+>|<!--[^-<>]++-->|<![dD][oO][cC][tT][yY][pP][eE][^<>]*+>)*+")
+_HIDDEN_TAG = re.compile(rf"</?(?:{'|'.join(sorted(dom.HIDDEN))})(?![a-z0-9-])[^<>]*>")
+_TAG = re.compile("<[^<>]*>")
+
+
+class Said:
+    """Whether a page's text may have any of some phrases, in any case and with any white space, told without reading it as a tree."""
+
+    def __init__(self, phrases: Iterable[str]):
+        all_ = {"".join(p.lower().split()) for p in phrases}
+        self.phrases = tuple((p, i) for i, p in enumerate(sorted(all_)) if p)
+        self.begun = tuple(sorted({p[:i] for p in all_ for i in range(1, len(p))}))
+
+    def may_be_in(self, html: str) -> bool:
+        # what is hidden may stand between two parts of a phrase, and where a tag ends is known of plain ones alone
+        if not _ALL_PLAIN.fullmatch(html):
+            return True
+        parts = _HIDDEN_TAG.split(html.lower())
+        for i, part in enumerate(parts):
+            said = _TAG.sub("", part)
+            for x in (said, dom.decoded(said).lower()) if "&" in said else (said,):
+                x = "".join(x.split())
+                if next(matcher.automaton(self.phrases).iter(x), None) or i < len(parts) - 1 and x.endswith(self.begun):
+                    return True
+        return False
+
+
 def _may_have(html: Column, low: Column, marks: frozenset[str]) -> Column:
     """The same as an expression, so that such pages aren't handed to Python."""
     return functools.reduce(lambda x, y: x | y, [*[F.contains(html, F.lit(e)) for e in _ESCAPES], *[F.contains(low, F.lit(m)) for m in sorted(marks)]])
 
 
-def parse(pages: DataFrame, relations: Iterable[str] | None = None, html: str = "html") -> DataFrame:
-    """The rows of the relations (all, if none is named) over the pages' markup, which goes; null markup gives no rows."""
+def parse(pages: DataFrame, relations: Iterable[str] | None = None, html: str = "html", saying: dict[str, Iterable[str]] | None = None) -> DataFrame:
+    """The rows of the relations (all, if none is named) over the pages' markup, which goes; null markup gives no rows.
+
+    saying: phrases for relations whose rows are asked for only where they have one of these; pages that can't may give none of the relation's rows.
+    """
+    asked = {n: Said(p) for n, p in (saying or {}).items()}
     wanted = [n for n in RELATIONS if relations is None or n in set(relations)]
     marks = frozenset(m for n in wanted for m in MARKS[n]) if all(n in MARKS for n in wanted) else frozenset()
     kind = ", ".join(f"{n}: struct<{RELATIONS[n].schema}>" for n in wanted)
@@ -103,8 +136,9 @@ def parse(pages: DataFrame, relations: Iterable[str] | None = None, html: str =
         ends, names, places, rows = [0], [], [], {n: [] for n in wanted}
         for h in chunk:
             if h and may_have(h, marks):
-                root = tree_of(h, wanted)
-                for name, found in _read(root, wanted):
+                some = [n for n in wanted if n not in asked or asked[n].may_be_in(h)] if asked else wanted
+                root = tree_of(h, some)
+                for name, found in _read(root, some):
                     if found:
                         n = len(found)
                         names += [name] * n

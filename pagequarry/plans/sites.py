@@ -82,8 +82,8 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("ord"), "page_type", F.expr(html).alias("html"))
 
 
-def facts(spark: SparkSession, sf: str, *relations: str) -> DataFrame:
-    return parsed.parse(site_pages(spark, sf), relations)
+def facts(spark: SparkSession, sf: str, *relations: str, saying: dict[str, list[str]] | None = None) -> DataFrame:
+    return parsed.parse(site_pages(spark, sf), relations, saying=saying)
 
 
 P = f"p AS MATERIALIZED (SELECT o_custkey AS site, o_orderkey AS ord, {PAGE_TYPE} AS page_type, {TEXT} AS text, {NODE} AS node, {YEAR} AS year FROM orders)"
@@ -125,7 +125,7 @@ x AS (SELECT hv.site, coalesce(name, legal, og, title) AS name, {_ALTS} AS alts
 a AS (SELECT site, string_agg(alt, '|' ORDER BY i) AS alts FROM (SELECT site, alt, min(i) AS i FROM (SELECT site, unnest(alts) AS alt, unnest(range(len(alts))) AS i, name FROM x) WHERE lower(alt) <> lower(name) GROUP BY site, alt) GROUP BY site)
 SELECT site, name, coalesce(a.alts, '') AS alternatives FROM x LEFT JOIN a USING (site)""")
 def site_names(spark, sf):
-    rows = facts(spark, sf, "json_ld", "meta", "title", "main").persist()
+    rows = facts(spark, sf, "json_ld", "meta", "title", "main", saying={"main": profile.DBA_PHRASES}).persist()
     dba = structured.doing_business_as(parsed.of(rows, "main"), K, ["ord", "pos"])
     return structured.names(_organizations(rows), _home(rows), dba, K).withColumn("alternatives", F.array_join("alternatives", "|"))
 
