@@ -153,10 +153,10 @@ _ROLE = " ".join(f"WHEN {' OR '.join(f'{chr(39)}{t}{chr(39)} = ANY(types)' for t
 @query(f"""WITH {P}, {ORG}, t AS (SELECT site, {q_labels({k: q_any('text', v) for k, v in di.ROLES.items()})} AS r, {q_labels({k: q_any('text', v) for k, v in di.AUDIENCES.items()})} AS a, bool_or(ord % 50 = 0) AS shop FROM p GROUP BY site)
 SELECT site, coalesce(CASE {_ROLE} END, CASE WHEN len(r) > 0 THEN trim(array_to_string(a, ' and ') || ' ' || r[1]) END, CASE WHEN shop THEN 'Retailer' END) AS role FROM t LEFT JOIN org USING (site)""")
 def site_roles(spark, sf):
-    rows = facts(spark, sf, "json_ld", "main", "reference").persist()
+    rows = facts(spark, sf, "json_ld", "main", "reference", saying={"main": [p for ps in (*di.ROLES.values(), *di.AUDIENCES.values()) for p in ps]}).persist()
     vendors = extract.vendors_of(parsed.of(rows, "reference"), [*K, "ord"], ["pos"], di.VENDORS)
     shops = vendors.filter(F.col("name").isin(profile.SHOPS)).select(*K, "ord", F.lit(None).cast("string").alias("text"), F.col("name").alias("vendor"))
-    said = parsed.of(rows, "main").select(*K, "ord", "text", F.lit(None).cast("string").alias("vendor"))
+    said = rows.select(*K, "ord", F.col("main.text").alias("text"), F.lit(None).cast("string").alias("vendor"))  # rows of all relations: sites that say nothing of a role stay
     kinds = _organizations(rows).select(*K, structured.role_of(F.col("types")).alias("typed"))
     return profile.company_role(said.unionByName(shops), kinds, K, di.ROLES, di.AUDIENCES)
 
