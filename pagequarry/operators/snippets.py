@@ -31,11 +31,15 @@ def blocks(rows: DataFrame, headings: int = 60, items: int = 120, longest_item:
     text, is_ = F.coalesce(*[F.col(f"{r}.text") for r in there]), lambda k: F.col("kind") == k
     kind = F.when(F.col("relation") == "main", "paragraph").when(F.col("relation").isin("heading", "item"), F.col("relation"))
     level = F.col("heading.level") if "heading" in there else F.lit(None).cast("int")
-    all_ = rows.select(*page, "pos", kind.alias("kind"), level.alias("level"), tx.visible(text).alias("text")).filter(F.col("kind").isNotNull() & (F.length("text") > 0))
-    shown = all_.filter(tx.noise_reason(F.col("text"), di.NOISE_EXACT, di.NOISE_CONTAINS).isNull() & (~is_("item") | (F.length("text") < longest_item)))
+    # a text is cleaned and judged once: filters over it would write both into each other, and work them out again wherever they are named
+    fit = F.filter(F.array(tx.visible(text)), lambda x: (F.length(x) > 0) & tx.noise_reason(x, di.NOISE_EXACT, di.NOISE_CONTAINS).isNull())
+    all_ = rows.select(*page, "pos", kind.alias("kind"), level.alias("level"), F.explode(fit).alias("text")).filter(F.col("kind").isNotNull())
+    shown = all_.filter(~is_("item") | (F.length("text") < longest_item))
     out = shown
     if {"heading", "item"} & set(there):  # paragraphs are neither counted nor compared
-        first = shown.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind", "text").orderBy("pos"))).filter(~is_("item") | (F.col("__nth") == 1))
+        first = shown
+        if "item" in there:  # items alone are compared
+            first = shown.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind", "text").orderBy("pos"))).filter(~is_("item") | (F.col("__nth") == 1))
         room = F.when(is_("heading"), headings).when(is_("item"), items)
         out = first.withColumn("__nth", F.row_number().over(Window.partitionBy(*page, "kind").orderBy("pos"))).filter(room.isNull() | (F.col("__nth") <= room)).drop("__nth")
     return out.withColumn("kind_rank", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int"))

@@ -309,11 +309,11 @@ pool AS (SELECT site, 'about' AS kind, ord, text FROM p WHERE page_type = 'about
 
 def _positioning(field: str):
     def run(spark, sf):
-        # three parts read what is parsed once; other pages' texts are no part of it
-        rows = facts(spark, sf, "heading", "main").filter(F.col("page_type").isin("about", "homepage")).persist()
+        # three parts read what is parsed and cleaned once; other pages' texts are no part of it
+        rows = facts(spark, sf, "heading", "main").filter(F.col("page_type").isin("about", "homepage"))
         plain = rows.filter("relation <> 'main' OR main.text NOT RLIKE '^(He|She|They) worked|^“The .* came on time|^[A-Z]+$'")
         none = spark.createDataFrame([], "site long, text string")
-        return snippets.positioning(snippets.blocks(plain), none, K, _KIND_RANK[field]).select("site", "place", "kind", "text")
+        return snippets.positioning(snippets.blocks(plain).persist(), none, K, _KIND_RANK[field]).select("site", "place", "kind", "text")
 
     return run
 
