@@ -52,7 +52,7 @@ def _facts(root: dom.Node, wanted: list[str]) -> Iterable[tuple[str, int, dict]]
 #: what stands in all markup that gives rows of a relation, in lower case; relations that aren't named may come from any markup
 _HEADED = ("<h1", "<h2", "<h3", "<h4")
 MARKS = {
-    "meta": ("<meta",), "title": ("<title",), "heading": _HEADED, "item": ("<li",), "testimonial": ("<blockquote", "testimonial", "review", "quote-card"), "question": ("question", "<details", *_HEADED),
+    "meta": ("<meta",), "title": ("<title",), "heading": _HEADED, "item": ("<li",), "testimonial": ("<blockquote", "testimonial", "review", "quote-card"), "question": ("question", "<details", "accordion", "faq", "<strong", *_HEADED[1:]),
     "person": ("person", "team-member", "staff-member", "team-card", *_HEADED[1:]), "offer": ("product", "service", "offer", "menuitem", "course", "event", *_HEADED[1:]),
 }
 #: relations that need some elements' attributes and text alone, with these elements, and what in lower-case markup asks for the whole tree nevertheless; references in attributes may hide it
