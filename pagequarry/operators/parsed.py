@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import matcher
-from . import dom, readability
+from . import dom, readability, templates
 
 #: in the order in which a page is read: declared data, then structure, then text
 RELATIONS = {
@@ -75,7 +75,7 @@ def tree_of(html: str, wanted: list[str]) -> dom.Node:
             root = dom.skim(html, frozenset().union(*(SKIMMED[n][0] for n in wanted)))
             if root is not None:
                 return root
-    return dom.parse(html)
+    return templates.tree_of(html) if wanted == ["main"] else dom.parse(html)
 
 
 def may_have(html: str, marks: frozenset[str]) -> bool:
