@@ -56,6 +56,15 @@ def with_signals(snippets: DataFrame, signals: dict[str, list[str]] = di.SIGNALS
     return snippets.withColumn("__hits", lists.hits(F.col("text"))).withColumn("signals", lists.labels(F.col("__hits"), "signals")).drop("__hits")
 
 
+def passages_with_signals(rows: DataFrame, signals: dict[str, list[str]]) -> DataFrame:
+    """What `with_signals` gives of the passages of rows parsed with main, where it gives any; only texts that have a phrase are judged, which costs far more than to look for one."""
+    page, text = _page_keys(rows), F.col("text")
+    said = with_signals(rows.filter(F.col("relation") == "main").select(*page, "pos", F.explode(F.array(tx.visible(F.col("main.text")))).alias("text")), signals)
+    # one condition, so that its second part isn't asked before the first
+    fit = F.when(F.size("signals") > 0, (F.length("text") > 0) & tx.noise_reason(text, di.NOISE_EXACT, di.NOISE_CONTAINS).isNull() & tx.substantive(text))
+    return said.filter(fit).withColumns({"kind": F.lit("paragraph"), "kind_rank": F.lit(KINDS.index("paragraph") + 1)})
+
+
 def hero(snippets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text): each site's first h1 or h2 of its homepage, if it is a passage."""
     first = snippets.filter("kind = 'heading' AND level <= 2 AND page_type = 'homepage'").groupBy(*keys).agg(F.min_by("text", F.struct(*ORDER)).alias("text"))

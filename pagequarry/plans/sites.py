@@ -297,7 +297,7 @@ _REST = ["targetBuyers", "customerNeeds", "differentiators", "values"]
 @query(" UNION ALL ".join(f"SELECT site, '{n}' AS field, place, text FROM ({q_bundle(['SELECT site, page_type AS source, ord, 0 AS pos, text FROM p'], di.SIGNALS[n]).replace(PROFILE_P, P)})" for n in _REST))
 def site_evidence(spark, sf):
     """All fields' evidence from one table of snippets, whose signals are found in one pass."""
-    said = snippets.with_signals(snippets.prose(snippets.blocks(facts(spark, sf, "main"))), {n: di.SIGNALS[n] for n in _REST})
+    said = snippets.passages_with_signals(facts(spark, sf, "main"), {n: di.SIGNALS[n] for n in _REST})
     rows = said.filter("text NOT RLIKE '^(He|She|They) worked|^“The .* came on time|^[A-Z]+$'").select("site", F.explode("signals").alias("field"), F.col("page_type").alias("source"), *snippets.ORDER, "text")
     return profile.signal_bundle(rows, ["site", "field"], None, snippets.ORDER).select("site", "field", "place", "text")
 
